@@ -167,3 +167,29 @@ def weather_long(spark, sf_dir) -> DataFrame:
         cat.alias("category"),
         value_text.alias("fcst_value"),
     )
+
+
+def forecast_results(spark, sf_dir) -> DataFrame:
+    """Stored forecasts (target_date, product, predicted_qty, created_at, forecast_period).
+
+    Two runs per (target date, item), both seasonal-naive over the daily
+    demand grid: a 7-day-ahead run (lag 7, created 7 days before) and a
+    1-day-ahead run (lag 1, created the day before).  So every key has two
+    forecasts and "latest wins" matters.
+    """
+    from pyspark.sql import Window
+    li = _lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_type")
+    daily = (li.groupBy(F.col("l_shipdate").cast("date").alias("date"), "l_partkey").agg(F.sum("l_quantity").alias("q"))
+               .join(part, F.col("l_partkey") == F.col("p_partkey"))
+               .groupBy("date", F.col("p_type").alias("product")).agg(F.sum("q").alias("q")))
+    o = Window.partitionBy("product").orderBy("date")
+    runs = []
+    for k in (7, 1):
+        runs.append(daily.select(
+            F.col("date").alias("target_date"), "product",
+            F.lag("q", k).over(o).alias("predicted_qty"),
+            F.date_sub("date", k).alias("created_at"),
+            F.lit(k).alias("forecast_period")))
+    out = runs[0].unionByName(runs[1]).where(F.col("predicted_qty").isNotNull())
+    return out.withColumn("forecast_id", F.xxhash64("target_date", "product", "forecast_period"))
