@@ -193,3 +193,27 @@ def forecast_results(spark, sf_dir) -> DataFrame:
             F.lit(k).alias("forecast_period")))
     out = runs[0].unionByName(runs[1]).where(F.col("predicted_qty").isNotNull())
     return out.withColumn("forecast_id", F.xxhash64("target_date", "product", "forecast_period"))
+
+
+def event_attributes(spark, sf_dir) -> DataFrame:
+    """Event rows with the inputs of the impact score (derived from events columns)."""
+    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return ev.select(
+        "event_id", F.col("ts").cast("date").alias("date"),
+        (F.col("user_id") % 17).alias("region_no"),
+        (k * 50).alias("expected_visitors"),
+        (F.col("value") * 10).alias("distance_m"),
+        (F.col("user_id") % 2 == 0).alias("on_main_flow"),
+        ((k % 10) / 10.0).alias("overlap_ratio"),
+        (F.col("value") / 400.0).alias("customer_fit"),
+        (k / 20.0).alias("dwell_hours"),
+        (F.col("event_type") != "error").alias("public_event"))
+
+
+def customer_locations(spark, sf_dir) -> DataFrame:
+    """Customer coordinates spread over the peninsula, derived from the customer key."""
+    c = read(spark, sf_dir, "customer").select("c_custkey")
+    return c.select(F.col("c_custkey").alias("id"),
+                    (33.0 + (F.col("c_custkey") % 1000) * 0.0055).alias("lat"),
+                    (125.0 + ((F.col("c_custkey") * 7919) % 1000) * 0.0045).alias("lon"))
