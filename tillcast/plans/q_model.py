@@ -1 +1,71 @@
-"""placeholder"""
+"""Registered queries: quantile models, metrics, importances, recursive forecast, model plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tillcast.operators import features, forecast, recursive
+from tillcast.plans import common, model_run
+from tillcast.plans.common import SQL_DAILY, sql_roll
+from tillcast.plans.registry import query
+
+_RUNS: dict = {}
+
+
+def _run(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _RUNS:
+        _RUNS[key] = model_run.fit_and_evaluate(common.raw(spark, d))
+    return _RUNS[key]
+
+
+@query("forecast_metrics", f"""WITH {SQL_DAILY},
+f AS (SELECT date, demand_qty, {sql_roll('demand_qty', 7, 1, 'avg', 7)} AS q50,
+             {sql_roll('demand_qty', 7, 1, 'avg', 7)} + 1.645 * {sql_roll('demand_qty', 7, 1, 'stddev_samp', 7)} AS q95
+      FROM daily),
+t AS (SELECT * FROM f WHERE q50 IS NOT NULL AND date > (SELECT max(date) FROM daily) - INTERVAL 28 DAY),
+m AS (SELECT avg(abs(demand_qty - q50)) AS mae, sqrt(avg(pow(demand_qty - q50, 2))) AS rmse,
+             avg(greatest(0.95 * (demand_qty - q95), (0.95 - 1) * (demand_qty - q95))) AS pin FROM t)
+SELECT 'MAE (q50)' AS metric, round(mae, 6) AS value FROM m UNION ALL
+SELECT 'RMSE (q50)', round(rmse, 6) FROM m UNION ALL SELECT 'Pinball Loss (q95)', round(pin, 6) FROM m""",
+       ops="A20 P8")
+def q_forecast_metrics(spark, d):
+    """A20 on the rolling-mean baseline over the last 28 days (holdout)."""
+    dd = features.rolling_features(common.daily(spark, d), windows=(7,), trend=28)
+    dd = dd.withColumns({"q50": F.col("roll_mean_7"), "q95": F.col("roll_mean_7") + 1.645 * F.col("roll_std_7")})
+    mx = dd.agg(F.max("date").alias("mx")).withColumn("_k", F.lit(0))
+    t = (dd.where(F.col("q50").isNotNull()).withColumn("_k", F.lit(0)).join(F.broadcast(mx), "_k")
+           .where(F.col("date") > F.date_sub("mx", 28)))
+    return forecast.forecast_metrics(t).withColumn("value", F.round("value", 6))
+
+
+@query("quantile_model_predict", ops="M1 M2 M3 M5")
+def q_model_predict(spark, d):
+    r = _run(spark, d)
+    return r.predictions.select("date", "item_id", "demand_qty", F.round("q50", 4).alias("q50"),
+                                F.round("q95", 4).alias("q95"))
+
+
+@query("model_metrics", ops="A20 M5")
+def q_model_metrics(spark, d):
+    return _run(spark, d).metrics
+
+
+@query("feature_importance", ops="M6 T8")
+def q_feature_importance(spark, d):
+    return model_run.importance_frame(spark, _run(spark, d).models).orderBy(F.col("importance").desc(), "feature")
+
+
+@query("recursive_forecast", ops="M7 M8 J12 M10")
+def q_recursive(spark, d):
+    r = _run(spark, d)
+    paths = recursive.recursive_forecast(r.models, common.raw(spark, d), r.feature_df, horizon=30)
+    return recursive.explode_paths(paths)
+
+
+@query("model_order_plan", ops="M11 I8")
+def q_model_plan(spark, d):
+    r = _run(spark, d)
+    raw = common.raw(spark, d)
+    plan = model_run.model_plan(raw, r, lots=common.lots_on_hand(spark, d), unit_costs=common.unit_costs(spark, d))
+    return plan.drop(*[c for c in plan.columns if c.startswith("forecast_")])
