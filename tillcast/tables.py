@@ -148,7 +148,12 @@ def waste_history(spark, sf_dir) -> DataFrame:
 
 def weather_long(spark, sf_dir) -> DataFrame:
     """Long forecast rows (region, date, time, category, value text) from events."""
-    ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return weather_long_from(read(spark, sf_dir, "events"))
+
+
+def weather_long_from(events: DataFrame) -> DataFrame:
+    """Same mapping for any events frame (batch or streaming)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value")
     cat = None
     for et, c in WEATHER_CATEGORY_OF_EVENT:
         cat = F.when(F.col("event_type") == et, F.lit(c)) if cat is None else cat.when(F.col("event_type") == et, F.lit(c))
