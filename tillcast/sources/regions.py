@@ -13,14 +13,18 @@ def regions_from_geojson(spark: SparkSession, path) -> DataFrame:
     Features missing properties or coordinates are skipped.  Coordinates
     are read as JSON text so both geometry shapes share one schema.
     """
-    raw = spark.read.option("multiLine", True).option("primitivesAsString", False).json(path)
+    # coordinates declared as a string: the reader keeps the raw JSON text of
+    # either nesting depth (Polygon or MultiPolygon); property names vary, so a map
+    schema = ("features array<struct<properties: map<string,string>, "
+              "geometry: struct<type: string, coordinates: string>>>")
+    raw = spark.read.option("multiLine", True).schema(schema).json(path)
     feats = raw.select(F.explode("features").alias("f"))
-    geom_json = F.to_json(F.col("f.geometry"))
+    props = F.col("f.properties")
     g = feats.select(
-        F.coalesce(F.col("f.properties.adm_cd").cast("string"), F.col("f.properties.id").cast("string")).alias("id"),
-        F.coalesce(F.col("f.properties.adm_nm"), F.col("f.properties.name")).alias("name"),
+        F.coalesce(props["adm_cd"], props["id"]).alias("id"),
+        F.coalesce(props["adm_nm"], props["name"]).alias("name"),
         F.col("f.geometry.type").alias("gtype"),
-        F.get_json_object(geom_json, "$.coordinates").alias("coords"))
+        F.col("f.geometry.coordinates").alias("coords"))
     first = (F.when(F.col("gtype") == "Polygon", F.get_json_object("coords", "$[0][0]"))
              .when(F.col("gtype") == "MultiPolygon", F.get_json_object("coords", "$[0][0][0]")))
     pt = F.from_json(first, "array<double>")
@@ -72,9 +76,13 @@ def nearest_region(points: DataFrame, regions: DataFrame, *, point_id="id", lat=
         d = F.pow(F.col("rlat") - F.col("plat"), 2) + F.pow(F.col("rlon") - F.col("plon"), 2)
         best = cand.groupBy("pid").agg(F.min_by(F.struct("rid", "rname", d.alias("dist")), F.struct(d, F.col("rid"))).alias("b"))
         done = best if last else best.where(F.col("b.dist") <= w * w)
-        done = done.select("pid", F.col("b.rid").alias("region_id"), F.col("b.rname").alias("region_name"))
+        # cut lineage each round (reliable checkpoint): later rounds never re-plan earlier ones
+        done = done.select("pid", F.col("b.rid").alias("region_id"), F.col("b.rname").alias("region_name")) \
+                   .checkpoint(eager=True)
         found = done if found is None else found.unionByName(done)
         if last:
             break
-        todo = todo.join(done.select("pid"), "pid", "left_anti")
+        todo = todo.join(done.select("pid"), "pid", "left_anti").checkpoint(eager=True)
+        if todo.limit(1).count() == 0:
+            break
     return found.withColumnRenamed("pid", point_id)

@@ -33,37 +33,54 @@ def _run(stream_df: DataFrame, fn, checkpoint: str, *, available_now: bool = Tru
     return q
 
 
+def _parse_delay(delay: str) -> int:
+    n, unit = delay.split()
+    return int(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]
+
+
+def _watermark_before(spark: SparkSession, wm_path: str, batch_id: int, delay_s: int):
+    """max event time of all earlier micro-batches minus the delay (None before any data)."""
+    try:
+        r = (spark.read.parquet(wm_path).where(F.col("batch_id") < batch_id)
+             .agg((F.max("max_ts").cast("long") - delay_s).cast("timestamp").alias("wm")).first())
+        return r["wm"] if r else None
+    except Exception:          # no batch written yet
+        return None
+
+
 def daily_demand_stream(lines: DataFrame, products: DataFrame, out_path: str, checkpoint: str, *,
                         watermark: str = "2 days", available_now: bool = True):
-    """POS lines (ts, product_id, qty, amount, is_return) -> daily demand per item.
-
-    A stateful windowed aggregation in update mode: the event time is cast
-    to TIMESTAMP (watermarks reject TIMESTAMP_NTZ), rows older than the
-    watermark are dropped by Spark, and state for closed days is evicted.
-    Each micro-batch's updated totals are appended to the log and the
-    reader keeps the newest total per (day, item).
+    """POS lines (ts, product_id, qty, amount, is_return) -> daily demand deltas per item.
+
+    Late-data rule (deterministic): a row whose event time is older than
+    (max event time of all earlier micro-batches - ``watermark``) is dropped.
+    Spark's built-in watermark only promises that such rows *may* be
+    dropped, and an update-mode aggregation that re-creates an evicted
+    window would overwrite its total; here each batch writes sums (deltas)
+    and the reader adds them, so any accepted row counts exactly once.
+    The batch's max event time goes to a one-row-per-batch table.
     """
-    ev = (lines.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-               .where(~F.col("is_return")))
+    delay_s = _parse_delay(watermark)
+    wm_path = out_path.rstrip("/") + "_watermarks"
+    ev = lines.withColumn("ts", F.col("ts").cast("timestamp")).where(~F.col("is_return"))
     j = ev.join(products.select("product_id", "item_id"), "product_id")
-    agg = (j.groupBy(F.window("ts", "1 day").alias("w"), "item_id")
-             .agg(F.sum("qty").alias("demand_qty"), F.sum("amount").alias("sales_amount")))
 
     def per_batch(df: DataFrame, batch_id: int):
-        _append_batch(df.select(F.to_date(F.col("w.start")).alias("date"), "item_id", "demand_qty", "sales_amount"),
-                      batch_id, out_path)
+        spark = df.sparkSession
+        wm = _watermark_before(spark, wm_path, batch_id, delay_s)
+        kept = df if wm is None else df.where(F.col("ts") >= F.lit(wm))
+        delta = (kept.groupBy(F.to_date("ts").alias("date"), "item_id")
+                     .agg(F.sum("qty").alias("demand_qty"), F.sum("amount").alias("sales_amount")))
+        _append_batch(delta, batch_id, out_path)
+        _append_batch(df.agg(F.max("ts").alias("max_ts")), batch_id, wm_path)
 
-    w = (agg.writeStream.outputMode("update").foreachBatch(per_batch).option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    q = w.start()
-    if available_now:
-        q.awaitTermination()
-    return q
+    return _run(j, per_batch, checkpoint, available_now=available_now)
 
 
 def read_daily_demand(spark: SparkSession, path: str) -> DataFrame:
     log = spark.read.parquet(path)
-    return dedupe_latest(log, ["date", "item_id"], [F.col("batch_id").desc()]).drop("batch_id")
+    return log.groupBy("date", "item_id").agg(F.sum("demand_qty").alias("demand_qty"),
+                                              F.sum("sales_amount").alias("sales_amount"))
 
 
 def waste_stream(wastes: DataFrame, out_path: str, checkpoint: str, *, available_now: bool = True):
