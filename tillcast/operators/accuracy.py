@@ -15,6 +15,13 @@ from tillcast.functions.numeric import pct_change
 from tillcast.operators import reports
 
 
+def _avg_tenths(c: str):
+    """Mean of 1-decimal values, half up to 1 decimal, computed on exact integer tenths
+    (so the result does not depend on summation order)."""
+    t = F.round(F.col(c) * 10)
+    return F.floor(F.sum(t) / F.count(t) + 0.5) / 10
+
+
 def forecast_accuracy(forecasts: DataFrame, sales: DataFrame, *, product_col="item_id") -> DataFrame:
     """Per (date, product): latest prediction vs summed actual (0 if none).
 
@@ -35,11 +42,11 @@ def daily_accuracy_trend(acc: DataFrame, as_of, *, days: int = 7) -> DataFrame:
     """Mean accuracy per day on a 7-day spine ending at as_of (NULL when no forecast)."""
     a = as_of_date(as_of)
     per = (acc.where((F.col("date") > F.date_sub(a, days)) & (F.col("date") <= a))
-           .groupBy("date").agg(F.avg("accuracy").alias("accuracy")))
+           .groupBy("date").agg(_avg_tenths("accuracy").alias("accuracy")))
     spine = reports.date_spine(acc.sparkSession, as_of, -(days - 1), 0)
     return (F.broadcast(spine).join(per, "date", "left")
             .select("date", month_day_label("date").alias("label"),
-                    (F.floor(F.col("accuracy") * 10 + 0.5) / 10).alias("accuracy"),
+                    "accuracy",
                     (F.col("date") == a).alias("is_today")))
 
 
@@ -49,7 +56,9 @@ def volume_score(sales: DataFrame, as_of, *, days: int = 30, k: int = 5) -> Data
     (A volume score, not an accuracy.)"""
     a = as_of_date(as_of)
     agg = (sales.where((F.col("date") > F.date_sub(a, days)) & (F.col("date") <= a))
-           .groupBy(F.col("menu").alias("name")).agg(F.sum("qty").alias("qty"), F.count(F.lit(1)).alias("runs"))
+           .groupBy(F.col("menu").alias("name"))
+           .agg(F.sum("qty").alias("qty"),
+                (F.sum("n_lines") if "n_lines" in sales.columns else F.count(F.lit(1))).cast("long").alias("runs"))
            .where(F.col("qty") > fixed.VOLUME_MIN_QTY))
     top = agg.orderBy(F.col("qty").desc(), F.col("name")).limit(k)
     score = F.least(F.lit(float(fixed.VOLUME_SCORE_CAP)),
@@ -69,7 +78,7 @@ def run_accuracy(predicted, actual):
 
 def insight_rules(acc: DataFrame, trend: DataFrame, volume: DataFrame) -> DataFrame:
     """Three insight rows from measured accuracy (mean), the oldest trend point and the top menu."""
-    m = acc.agg(F.floor(F.avg("accuracy") * 10 + 0.5).alias("m10")).select((F.col("m10") / 10).alias("mean_acc"))
+    m = acc.agg(_avg_tenths("accuracy").alias("mean_acc"))
     first = trend.agg(F.min_by("accuracy", "date").alias("first_acc"))
     top = volume.agg(F.max_by("name", F.struct("qty", F.col("name"))).alias("top_name"),
                      F.max_by("volume_score", F.struct("qty", F.col("name"))).alias("top_score"))

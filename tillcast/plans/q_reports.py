@@ -13,6 +13,11 @@ AD = f"DATE '{A}'"
 
 
 def _sales(spark, d):
+    """Sales pre-aggregated per (date, product) before the product join (sums and line counts only)."""
+    return tables.product_day_sales(spark, d)
+
+
+def _sales_rows(spark, d):
     return tables.sales_lines(spark, d).where(~F.col("is_return"))
 
 
@@ -68,7 +73,7 @@ SELECT 'TX-' || CAST(line_id AS VARCHAR) AS id, date, menu, category, qty AS qua
        CASE WHEN amount <> 0 THEN floor(amount / COALESCE(NULLIF(qty, 0.0), 1.0) + 0.5) ELSE 0.0 END AS unit_price,
        round(amount, 4) AS amount FROM sales""", ops="P11 F9")
 def q_sales_view(spark, d):
-    v = reports.sales_view(_sales(spark, d))
+    v = reports.sales_view(_sales_rows(spark, d))
     return v.withColumn("amount", F.round("amount", 4))
 
 
@@ -293,7 +298,8 @@ def q_forecast_accuracy(spark, d):
 
 
 SQL_TREND = f"""spine AS (SELECT CAST(unnest(generate_series({AD} - 6, {AD}, INTERVAL 1 DAY)) AS DATE) AS date),
-tr AS (SELECT s.date, strftime(s.date, '%-m/%-d') AS label, floor(avg(a.accuracy) * 10 + 0.5) / 10 AS accuracy,
+tr AS (SELECT s.date, strftime(s.date, '%-m/%-d') AS label,
+              floor(sum(round(a.accuracy * 10)) / count(a.accuracy) + 0.5) / 10 AS accuracy,
               s.date = {AD} AS is_today
        FROM spine s LEFT JOIN accv a ON a.date = s.date GROUP BY s.date)"""
 
@@ -319,7 +325,7 @@ def q_volume(spark, d):
 
 
 @query("insight_rules", f"""WITH {SQL_ACC}, {SQL_TREND}, {SQL_VOLUME},
-m AS (SELECT floor(avg(accuracy) * 10 + 0.5) / 10 AS mean_acc FROM accv),
+m AS (SELECT floor(sum(round(accuracy * 10)) / count(accuracy) + 0.5) / 10 AS mean_acc FROM accv),
 f AS (SELECT arg_min(accuracy, date) AS first_acc FROM tr WHERE accuracy IS NOT NULL),
 t AS (SELECT arg_max(name, qty) AS top_name, arg_max(volume_score, qty) AS top_score FROM vs)
 SELECT 1 AS n, CASE WHEN mean_acc >= 85 THEN 'success' ELSE 'info' END AS type,
