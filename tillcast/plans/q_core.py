@@ -65,7 +65,7 @@ def q_qty_column_inference(spark, d):
 # ------------------------------------------------------------- features
 @query("enriched_daily", f"""WITH {SQL_RAW}
 SELECT date, item_id, is_holiday, current_inventory, lead_time_days, review_period_days, moq FROM raw""",
-       ops="P1 W9")
+       ops="P1 W9 F10")
 def q_enriched(spark, d):
     r = common.raw(spark, d)
     return r.select("date", "item_id", "is_holiday", "current_inventory", "lead_time_days", "review_period_days", "moq")
@@ -123,7 +123,7 @@ def q_rolling(spark, d):
 
 @query("shop_total_lag", f"""WITH {SQL_DAILY}
 SELECT date, round(tot, 4) AS shop_total, round(lag(tot, 7) OVER (ORDER BY date), 4) AS shop_total_lag_7
-FROM (SELECT date, SUM(demand_qty) AS tot FROM daily GROUP BY date)""", ops="A2 W7")
+FROM (SELECT date, SUM(demand_qty) AS tot FROM daily GROUP BY date)""", ops="A2 W7 J1")
 def q_shop_total(spark, d):
     dd = common.daily(spark, d)
     tot = demand.shop_daily_total(dd)
@@ -179,7 +179,7 @@ _STRICT_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in ("shop_total_lag_7",
                                                               "roll_std_7", "lag_14", "lag_7", "lag_1"))
 
 
-@query("model_features", _sql_features(True) + "\n" + _sql_feature_select(f"WHERE {_STRICT_NOT_NULL}"), ops="W1 P4 P6")
+@query("model_features", _sql_features(True) + "\n" + _sql_feature_select(f"WHERE {_STRICT_NOT_NULL}"), ops="W1 P4 P5 P6")
 def q_model_features(spark, d):
     f = features.create_features(common.raw(spark, d))
     return f.select(*_FEATURE_OUT, *_r(_FEATURE_ROUND))

@@ -198,7 +198,7 @@ SELECT date, name AS item_id, CAST(round_even(base * mult * 1.0, 0) AS INTEGER)
        CAST(round_even(base * mult * 1.0, 0) AS INTEGER) * 4 AS target_stock,
        CASE WHEN date = DATE '2001-06-30' THEN greatest(0, CAST(round_even(base * mult * 1.0, 0) AS INTEGER) * 4 - 20) ELSE 0 END
          AS recommended_order_qty
-FROM m""", ops="M12 J5 J6")
+FROM m""", ops="M12 J5 J6 A4")
 def q_forecast_grid(spark, d):
     s = tables.sales_lines(spark, d).where(~F.col("is_return"))
     avg_qty = s.groupBy(F.col("product_name").alias("name")).agg(F.avg("qty").alias("avg_qty"))

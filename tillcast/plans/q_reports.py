@@ -122,7 +122,7 @@ agg AS (SELECT menu, SUM(CASE WHEN date > {AD} - 30 THEN qty END) AS sales,
 top AS (SELECT * FROM agg WHERE sales IS NOT NULL ORDER BY sales DESC, menu LIMIT 5)
 SELECT CAST(row_number() OVER (ORDER BY sales DESC, menu) AS INTEGER) AS rank, menu AS name, sales, round(revenue, 4) AS revenue,
        prev_sales, CASE WHEN sales > prev_sales * 1.05 THEN 'up' WHEN sales < prev_sales * 0.95 THEN 'down' ELSE 'stable' END AS trend
-FROM top""", ops="T2 W11 A13 R5")
+FROM top""", ops="T2 W11 A13 R5 J10")
 def q_top_products(spark, d):
     t = reports.top_products(_sales(spark, d), A)
     return t.withColumn("revenue", F.round("revenue", 4))
