@@ -73,15 +73,16 @@ def fefo_expected_waste(paths: DataFrame, lots: DataFrame, *, path_col: str, hor
 
 def fefo_deduction(batches: DataFrame, waste: DataFrame, *, product_col="product_id",
                    qty_col="current_qty", expiry_col="expiration_date", id_col="batch_id",
-                   waste_qty_col="quantity") -> DataFrame:
+                   waste_qty_col="quantity", tiebreak: list | None = None) -> DataFrame:
     """Subtract each product's total waste from its batches, earliest expiry first.
 
     Several waste events of one product are summed first (FEFO deductions
-    compose).  Returns every batch with ``deducted`` and ``new_qty``.
+    compose).  Returns every batch with ``deducted`` and ``new_qty``.  The order is
+    (expiry, id, *tiebreak) and must be total for a deterministic result.
     """
     w = waste.groupBy(product_col).agg(F.sum(waste_qty_col).cast("long").alias("_w"))
     live = batches.where(F.col(qty_col) > 0)
-    pref = exclusive_prefix_sum(live, keys=[product_col], order=[expiry_col, id_col], value=qty_col,
+    pref = exclusive_prefix_sum(live, keys=[product_col], order=[expiry_col, id_col, *(tiebreak or [])], value=qty_col,
                                 out="_prev", coarse=[expiry_col], unique_id=id_col)
     j = pref.join(w, product_col, "left")
     take = F.greatest(F.lit(0), F.least(F.col(qty_col), F.coalesce(F.col("_w"), F.lit(0)) - F.col("_prev")))

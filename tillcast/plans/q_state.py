@@ -89,7 +89,7 @@ def q_stream_daily(spark, d):
 @query("stream_waste_decrement", f"""WITH {SQL_BATCHES},
 w AS (SELECT l_partkey AS product_id, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS w FROM lineitem
       WHERE l_returnflag = 'R' GROUP BY 1),
-p AS (SELECT b.*, COALESCE(SUM(current_qty) OVER (PARTITION BY product_id ORDER BY expiration_date, batch_id
+p AS (SELECT b.*, COALESCE(SUM(current_qty) OVER (PARTITION BY product_id ORDER BY expiration_date, batch_id, supplier_id, received_qty, line_price, received_date
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
       FROM batches b WHERE current_qty > 0)
 SELECT p.batch_id, p.product_id, p.current_qty - CAST(greatest(0, least(p.current_qty, COALESCE(w.w, 0) - p.prev)) AS BIGINT) AS new_qty
@@ -99,7 +99,8 @@ def q_stream_waste(spark, d):
     wastes = _stream_lines(spark, d).where(F.col("is_return")).select(
         "product_id", F.col("qty").cast("long").alias("quantity"))
     incremental.waste_stream(wastes, out, ck)
-    res = incremental.read_batches_after_waste(spark, tables.inventory_batches(spark, d), out)
+    res = incremental.read_batches_after_waste(spark, tables.inventory_batches(spark, d), out,
+                                               tiebreak=tables.BATCH_TIEBREAK)
     return res.where(F.col("current_qty") > 0).select("batch_id", "product_id", "new_qty")
 
 

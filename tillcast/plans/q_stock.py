@@ -14,26 +14,30 @@ from tillcast.plans.sqlgen import fefo_fold_sql
 
 SQL_BATCHES = """batches AS (
   SELECT l_orderkey * 8 + l_linenumber AS batch_id, l_partkey AS product_id, CAST(l_shipdate AS DATE) AS received_date,
-         CAST(l_shipdate AS DATE) + p_size AS expiration_date, CAST(l_quantity AS BIGINT) AS current_qty
+         CAST(l_shipdate AS DATE) + p_size AS expiration_date, CAST(l_quantity AS BIGINT) AS current_qty,
+         l_suppkey AS supplier_id, CAST(l_quantity AS BIGINT) AS received_qty, l_extendedprice AS line_price
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R')"""
 
 
 @query("fefo_deduction", f"""WITH {SQL_BATCHES},
 w AS (SELECT l_partkey AS product_id, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS w FROM lineitem
       WHERE l_returnflag = 'R' GROUP BY 1),
-p AS (SELECT b.*, COALESCE(SUM(current_qty) OVER (PARTITION BY product_id ORDER BY expiration_date, batch_id
+p AS (SELECT b.*, COALESCE(SUM(current_qty) OVER (PARTITION BY product_id ORDER BY expiration_date, batch_id, supplier_id, received_qty, line_price, received_date
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
       FROM batches b WHERE current_qty > 0),
-d AS (SELECT p.batch_id, p.product_id, p.expiration_date, p.current_qty,
+d AS (SELECT p.batch_id, p.product_id, p.supplier_id, p.received_qty, p.line_price, p.received_date,
+             p.expiration_date, p.current_qty,
              CAST(greatest(0, least(p.current_qty, COALESCE(w.w, 0) - p.prev)) AS BIGINT) AS deducted
       FROM p LEFT JOIN w USING (product_id)
       UNION ALL
-      SELECT batch_id, product_id, expiration_date, current_qty, CAST(0 AS BIGINT) FROM batches WHERE NOT (current_qty > 0))
-SELECT *, current_qty - deducted AS new_qty FROM d""", ops="W13 I9")
+      SELECT batch_id, product_id, supplier_id, received_qty, line_price, received_date, expiration_date, current_qty,
+             CAST(0 AS BIGINT) FROM batches WHERE NOT (current_qty > 0))
+SELECT batch_id, product_id, expiration_date, current_qty, deducted, current_qty - deducted AS new_qty FROM d""", ops="W13 I9")
 def q_fefo_deduction(spark, d):
     b = tables.inventory_batches(spark, d)
     w = tables.waste_history(spark, d)
-    return fefo.fefo_deduction(b, w).select("batch_id", "product_id", "expiration_date", "current_qty", "deducted", "new_qty")
+    return fefo.fefo_deduction(b, w, tiebreak=tables.BATCH_TIEBREAK).select(
+        "batch_id", "product_id", "expiration_date", "current_qty", "deducted", "new_qty")
 
 
 def _sql_fefo_per_product(h: int) -> str:

@@ -91,10 +91,11 @@ def waste_stream(wastes: DataFrame, out_path: str, checkpoint: str, *, available
     return _run(wastes, per_batch, checkpoint, available_now=available_now)
 
 
-def read_batches_after_waste(spark: SparkSession, batches: DataFrame, path: str) -> DataFrame:
+def read_batches_after_waste(spark: SparkSession, batches: DataFrame, path: str, *,
+                             tiebreak: list | None = None) -> DataFrame:
     """Batch quantities after every logged waste, FEFO (W13 on the summed deltas)."""
     w = spark.read.parquet(path).groupBy("product_id").agg(F.sum("quantity").alias("quantity"))
-    return fefo.fefo_deduction(batches, w)
+    return fefo.fefo_deduction(batches, w, tiebreak=tiebreak)
 
 
 def weather_stream(long_rows: DataFrame, out_path: str, checkpoint: str, *, available_now: bool = True):

@@ -129,12 +129,20 @@ def inventory_batches(spark, sf_dir) -> DataFrame:
     return j.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("batch_id"),
         F.col("l_partkey").alias("product_id"),
+        F.col("l_suppkey").alias("supplier_id"),
         received.alias("received_date"),
         F.date_add(received, F.col("p_size")).alias("expiration_date"),
+        F.col("l_quantity").cast("long").alias("received_qty"),
+        F.col("l_extendedprice").alias("line_price"),
         F.col("l_quantity").cast("long").alias("current_qty"),
     )
 
 
+# (order, line) repeats in the provided lineitem; these columns together are unique
+BATCH_KEY = ["batch_id", "product_id", "supplier_id", "received_qty", "line_price", "received_date"]
+BATCH_TIEBREAK = ["supplier_id", "received_qty", "line_price", "received_date"]
+
+
 def waste_history(spark, sf_dir) -> DataFrame:
     li = _lines(spark, sf_dir).where(F.col("l_returnflag") == "R")
     return li.select(
