@@ -110,9 +110,9 @@ n AS (SELECT item_id, date, demand_qty, row_number() OVER (PARTITION BY item_id
 w AS (SELECT a.item_id, a.date, CAST(b.rn - (a.rn - 14) AS INTEGER) AS step, b.demand_qty AS v
       FROM n a JOIN n b ON a.item_id = b.item_id AND b.rn BETWEEN a.rn - 14 AND a.rn - 1 WHERE a.rn > 14),
 s AS (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM w)
-SELECT item_id, date, step, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, 6) AS z FROM w, s""", ops="M13 W10")
+SELECT item_id, date, step, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, 4) AS z FROM w, s""", ops="M13 W10")
 def q_seq_std(spark, d):
     seq = features.sequence_windows(common.daily(spark, d), ["demand_qty"], timesteps=14)
     z = features.standardize_sequences(seq, 1)
     return z.select("item_id", "date", F.posexplode("window").alias("step", "v")).select(
-        "item_id", "date", "step", F.round(F.col("v")[0], 6).alias("z"))
+        "item_id", "date", "step", F.round(F.col("v")[0], 4).alias("z"))
