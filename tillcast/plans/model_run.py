@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast import fixed
 from tillcast.operators import features, forecast, quantile, recursive, splits
 from tillcast.plans import order_plan
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillcast import fixed, tables
 from tillcast.functions.stats import inv_norm_cdf_sql
-from tillcast.operators import demand, features, forecast, inventory, fefo
+from tillcast.operators import demand, features, forecast
 from tillcast.plans import common, order_plan
 from tillcast.operators import splits
 from tillcast.plans.common import SQL_DAILY, SQL_RAW, sql_lag, sql_roll

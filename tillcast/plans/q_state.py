@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillcast import tables
-from tillcast.operators import reports, upsert, weather
+from tillcast.operators import upsert, weather
 from tillcast.plans.q_external import SQL_PIVOT
 from tillcast.plans.q_reports import SQL_FORECASTS
 from tillcast.plans.q_stock import SQL_BATCHES

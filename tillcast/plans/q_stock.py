@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillcast import tables
 from tillcast.functions.stats import inv_norm_cdf_sql
-from tillcast.operators import demand, fefo, features, forecast, inventory
+from tillcast.operators import fefo, features, forecast, inventory
 from tillcast.plans import common
 from tillcast.plans.common import SQL_RAW, sql_roll
 from tillcast.plans.registry import query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillcast import tables
-from tillcast.operators import features, inventory, views
+from tillcast.operators import features, views
 from tillcast.plans import common, q_external
 from tillcast.plans.common import SQL_DAILY
 from tillcast.plans.q_reports import SQL_STOCK, _stock
