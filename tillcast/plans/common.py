@@ -27,11 +27,22 @@ def unit_costs(spark, d):
     return p.groupBy(F.col("category").alias("item_id")).agg(F.round(F.avg("selling_price"), 2).alias("unit_cost"))
 
 
-def lots_on_hand(spark, d):
+def raw_materialized(spark, d):
+    """The enriched daily grid, written once to the checkpoint folder.
+
+    It is read by several consumers of one job (quantiles, last rows, the
+    as-of date, lots); materializing it is cheaper than re-deriving it from
+    the sales lines each time, and it is small (items x days).
+    """
+    return raw(spark, d).checkpoint(eager=True)
+
+
+def lots_on_hand(spark, d, daily_frame=None):
     """Batches on hand at the plan date (max sales date): received <= as_of <= expiry."""
     b = tables.inventory_batches(spark, d)
     p = tables.product(spark, d).select("product_id", F.col("category").alias("item_id"))
-    dd = daily(spark, d).agg(F.max("date").alias("as_of")).withColumn("_k", F.lit(0))
+    dd = (daily_frame if daily_frame is not None else daily(spark, d)).agg(F.max("date").alias("as_of")) \
+        .withColumn("_k", F.lit(0))
     j = (b.withColumn("_k", F.lit(0)).join(F.broadcast(dd), "_k")
           .where((F.col("received_date") <= F.col("as_of")) & (F.col("expiration_date") >= F.col("as_of"))))
     return j.join(p, "product_id", "inner").select(

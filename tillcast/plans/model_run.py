@@ -22,6 +22,7 @@ DEFAULT_PARAMS = {"n_stages": 15, "learning_rate": 0.15, "max_depth": 3}
 @dataclass
 class RunResult:
     models: quantile.QuantileModels
+    raw: DataFrame
     feature_df: DataFrame
     train: DataFrame
     test: DataFrame
@@ -41,7 +42,7 @@ def fit_and_evaluate(raw: DataFrame, *, test_days: int | None = None, params: di
         train, test = feat, feat.limit(0)
     models = quantile.train_quantile_models(train, **(params or DEFAULT_PARAMS))
     pred = models.predict(test)
-    return RunResult(models, feat, train, test, pred, forecast.forecast_metrics(pred))
+    return RunResult(models, raw, feat, train, test, pred, forecast.forecast_metrics(pred))
 
 
 def model_plan(raw: DataFrame, run: RunResult, *, horizons=(7, 30), lots=None, unit_costs=None) -> DataFrame:

@@ -302,6 +302,6 @@ FROM ord o, asofd a, {last} s WHERE s.item_id = o.item_id"""
 
 @query("order_plan", _sql_plan(), ops="I1 I2 I3 I4 I5 I6 I8 J2 J13 W14 M9 M10 F15")
 def q_order_plan(spark, d):
-    raw = common.raw(spark, d)
-    plan = order_plan.naive_order_plan(raw, lots=common.lots_on_hand(spark, d), unit_costs=common.unit_costs(spark, d))
+    raw = common.raw_materialized(spark, d)
+    plan = order_plan.naive_order_plan(raw, lots=common.lots_on_hand(spark, d, raw), unit_costs=common.unit_costs(spark, d))
     return plan.drop(*[c for c in plan.columns if c.startswith("forecast_")])

@@ -15,7 +15,7 @@ _RUNS: dict = {}
 def _run(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _RUNS:
-        _RUNS[key] = model_run.fit_and_evaluate(common.raw(spark, d))
+        _RUNS[key] = (model_run.fit_and_evaluate(common.raw_materialized(spark, d)))
     return _RUNS[key]
 
 
@@ -59,13 +59,12 @@ def q_feature_importance(spark, d):
 @query("recursive_forecast", ops="M7 M8 J12 M10")
 def q_recursive(spark, d):
     r = _run(spark, d)
-    paths = recursive.recursive_forecast(r.models, common.raw(spark, d), r.feature_df, horizon=30)
+    paths = recursive.recursive_forecast(r.models, r.raw, r.feature_df, horizon=30)
     return recursive.explode_paths(paths)
 
 
 @query("model_order_plan", ops="M11 I8")
 def q_model_plan(spark, d):
     r = _run(spark, d)
-    raw = common.raw(spark, d)
-    plan = model_run.model_plan(raw, r, lots=common.lots_on_hand(spark, d), unit_costs=common.unit_costs(spark, d))
+    plan = model_run.model_plan(r.raw, r, lots=common.lots_on_hand(spark, d, r.raw), unit_costs=common.unit_costs(spark, d))
     return plan.drop(*[c for c in plan.columns if c.startswith("forecast_")])
