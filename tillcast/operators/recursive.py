@@ -89,7 +89,7 @@ def horizon_calendar(raw: DataFrame, as_of: Column, horizon: int, future_holiday
     if future_exogenous is not None:
         fx = future_exogenous.select("date", *[F.col(x).cast("double").alias(f"fx_{x}") for x in EXOG
                                                if x in future_exogenous.columns])
-        cal = cal.join(F.broadcast(fx), "date", "left")
+        cal = cal.join(fx, "date", "left")          # the planner picks the strategy: fx size is the caller's
         fields += [c for c in fx.columns if c != "date"]
     st = F.array_sort(F.collect_list(F.struct("step", *fields)))
     return cal.agg(st.alias("_cal"))

@@ -46,8 +46,8 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_date,
 
 SQL_STOCK = """stock AS (
   SELECT l_orderkey * 8 + l_linenumber AS batch_id, p_name AS product, p_type AS category,
-         CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS current_stock, 10.0 AS min_stock, 50.0 AS max_stock,
-         5.0 AS daily_usage, p_retailprice AS unit_price,
+         CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) AS current_stock, 10.0::DOUBLE AS min_stock, 50.0::DOUBLE AS max_stock,
+         5.0::DOUBLE AS daily_usage, p_retailprice AS unit_price,
          CAST(floor(CAST(l_quantity AS BIGINT) / 50.0 * 100 + 0.5) AS BIGINT) AS stock_pct,
          CASE WHEN CAST(l_quantity AS BIGINT) < 10 THEN 'low'
               WHEN floor(CAST(l_quantity AS BIGINT) / 50.0 * 100 + 0.5) > 100 THEN 'high' ELSE 'normal' END AS status,
@@ -253,7 +253,7 @@ s AS (SELECT COALESCE(SUM(CASE WHEN date = {AD} THEN qty END), 0.0) AS today_qty
              COALESCE(SUM(CASE WHEN date = {AD} - 1 THEN qty END), 0.0) AS yesterday_qty,
              COALESCE(SUM(CASE WHEN date < {AD} THEN qty END), 0.0) AS last7_qty
       FROM sales WHERE date >= {AD} - 7 AND date <= {AD}),
-p AS (SELECT floor(COALESCE(SUM(predicted_qty), 0.0) + 0.5) AS predicted_today FROM latest WHERE target_date = {AD}),
+p AS (SELECT CAST(floor(COALESCE(SUM(predicted_qty), 0.0) + 0.5) AS BIGINT) AS predicted_today FROM latest WHERE target_date = {AD}),
 l AS (SELECT count(*) FILTER (WHERE status = 'low') AS low_stock FROM stock),
 e AS (SELECT count(*) AS expiring_count FROM stock WHERE date_diff('day', {AD}, expiration_date) BETWEEN 0 AND 3)
 SELECT today_qty, yesterday_qty, last7_qty, predicted_today, low_stock, expiring_count,
@@ -272,8 +272,8 @@ pred AS (SELECT target_date AS date, SUM(COALESCE(predicted_qty, 0.0)) AS predic
          WHERE target_date BETWEEN {AD} - 7 AND {AD} + 2 GROUP BY 1)
 SELECT s.date, strftime(s.date, '%-m/%-d') AS label,
        CASE WHEN s.date > {AD} THEN NULL ELSE COALESCE(act.actual, 0.0) END AS actual,
-       CASE WHEN s.date >= {AD} THEN floor(COALESCE(pred.predicted, 0.0) + 0.5)
-            WHEN pred.predicted > 0 THEN floor(pred.predicted + 0.5) END AS predicted,
+       CAST(CASE WHEN s.date >= {AD} THEN floor(COALESCE(pred.predicted, 0.0) + 0.5)
+            WHEN pred.predicted > 0 THEN floor(pred.predicted + 0.5) END AS BIGINT) AS predicted,
        s.date = {AD} AS is_today
 FROM spine s LEFT JOIN act USING (date) LEFT JOIN pred USING (date)""", ops="R2 J7 U8")
 def q_actual_vs_predicted(spark, d):

@@ -89,7 +89,7 @@ o AS (SELECT date, item_id, current_inventory, round(target, 2) AS target_stock,
       FROM t)
 SELECT *, CASE WHEN target_stock <= 0 THEN '여유' WHEN current_inventory / target_stock < 0.3 THEN '필수'
                WHEN current_inventory / target_stock < 0.7 THEN '권장' ELSE '여유' END AS priority,
-       round(recommended_order_qty * 951.0, 4) AS expected_total_cost
+       round(recommended_order_qty * 951.0::DOUBLE, 4) AS expected_total_cost
 FROM o""", ops="I1 I2 I3 I4 I5 F15")
 def q_order_priority(spark, d):
     raw = common.raw(spark, d)
