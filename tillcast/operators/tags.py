@@ -44,13 +44,15 @@ def request_weights(requests: DataFrame, *, weather_col="weather_tags", event_co
 
 
 def forecast_grid(products: DataFrame, avg_qty: DataFrame, request_date, weight_pct, *,
-                  noise: float = 1.0) -> DataFrame:
+                  noise: float | str = 1.0) -> DataFrame:
     """M12 (J5, J6): for each product and each day in request_date-7 .. +2:
     base = average sold quantity (10 if none) x weekday factor x max(0.1, ...) of (1 + weight).
 
     The date range is an array exploded per product row (no join of dates
     with products).  ``avg_qty`` comes from one grouped aggregate (J5), not
-    one query per cell.
+    one query per cell.  ``noise`` is a constant factor, or ``"hash"`` for a
+    deterministic uniform [0.9, 1.1] per (date, product) from ``xxhash64``
+    (the same cell always gets the same factor).
     """
     a = as_of_date(request_date)
     lo, hi = fixed.GRID_DAYS
@@ -62,8 +64,13 @@ def forecast_grid(products: DataFrame, avg_qty: DataFrame, request_date, weight_
         factor = F.when(wd == day, F.lit(f)).otherwise(factor)
     mult = F.greatest(factor * (F.lit(1.0) + _w(weight_pct) / 100.0), F.lit(fixed.MIN_DAY_FACTOR))
     base = F.coalesce(F.col("avg_qty"), F.lit(fixed.GRID_DEFAULT_BASE))
-    q50 = F.bround(base * mult * noise, 0).cast("int")
-    q95 = F.bround(base * fixed.GRID_Q95_FACTOR * mult * noise, 0).cast("int")
+    if noise == "hash":
+        u = (F.pmod(F.xxhash64(F.col("date").cast("string"), F.col("name")), F.lit(1_000_000)) / 1_000_000.0)
+        nz = F.lit(0.9) + u * 0.2
+    else:
+        nz = F.lit(float(noise))
+    q50 = F.bround(base * mult * nz, 0).cast("int")
+    q95 = F.bround(base * fixed.GRID_Q95_FACTOR * mult * nz, 0).cast("int")
     out = p.select("date", F.col("name").alias("item_id"), q50.alias("q50_daily"), q95.alias("q95_daily"))
     return (out.withColumn("protection_days", F.lit(fixed.GRID_PROTECTION_DAYS))
                .withColumn("target_stock", F.col("q50_daily") * fixed.GRID_PROTECTION_DAYS)

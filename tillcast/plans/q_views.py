@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillcast import tables
 from tillcast.operators import features, views
+from tillcast.operators.running import global_row_number
 from tillcast.plans import common, q_external
 from tillcast.plans.common import SQL_DAILY
 from tillcast.plans.q_reports import SQL_STOCK, _stock
@@ -24,30 +25,12 @@ SELECT 'ORD-' || CASE WHEN length(CAST(order_id AS VARCHAR)) < 3 THEN lpad(CAST(
 FROM o""", ops="P12")
 def q_order_view(spark, d):
     pri = q_order_priority(spark, d).where(F.col("recommended_order_qty") > 0)
-    # ids follow (date, item) order: a global numbering is an ordered zipWithIndex-like step done by
-    # a range-partitioned sort plus per-partition offsets (row_number over a global window would
-    # put every row in one task)
-    o = _global_row_number(pri, ["date", "item_id"], "order_id")
+    # ids follow (date, item) order without a single-partition window
+    o = global_row_number(pri, ["date", "item_id"], "order_id")
     return views.order_view(o.select("order_id", F.col("date").alias("created"), F.col("item_id").alias("product"),
                                      F.col("recommended_order_qty").alias("qty"), F.col("expected_total_cost").alias("cost")))
 
 
-def _global_row_number(df, order_cols, out):
-    """1-based row number in a total order without a single-partition window.
-
-    Rows are range-partitioned by the order, numbered inside each partition,
-    and shifted by the row counts of the earlier partitions (a tiny table).
-    """
-    parts = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id())
-    from pyspark.sql import Window
-    local = parts.withColumn("_ln", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))      # one row per partition
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(F.broadcast(offs), "_pid").withColumn(out, (F.col("_off") + F.col("_ln")).cast("long")) \
-                .drop("_pid", "_ln", "_off")
-
-
 _TAGS_SQL = ORACLE["tag_weights"]
 
 
