@@ -204,3 +204,32 @@ def q_forecast_grid(spark, d):
     avg_qty = s.groupBy(F.col("product_name").alias("name")).agg(F.avg("qty").alias("avg_qty"))
     names = tables.product(spark, d).select("name").distinct()
     return tags.forecast_grid(names, avg_qty, tables.AS_OF_SALES, 30)
+
+
+@query("weather_by_location", f"""WITH {SQL_CUST}, {SQL_PIVOT},
+cells AS (SELECT id, {_NX} AS nx, {_NY} AS ny FROM cust),
+prov(i, name, px, py) AS (VALUES {_PROV_VALUES}),
+near AS (SELECT id, arg_min(px, ((px - nx) * (px - nx) + (py - ny) * (py - ny)) * 100 + i) AS cx,
+                arg_min(py, ((px - nx) * (px - nx) + (py - ny) * (py - ny)) * 100 + i) AS cy FROM cells, prov GROUP BY id),
+wcell AS (SELECT p.px AS cx, p.py AS cy, piv.* FROM piv JOIN prov p ON piv.region = 'R' || CAST(p.i AS VARCHAR)),
+today AS (SELECT cx, cy, arg_min(temperature, base_time) AS temperature, arg_min(precipitation, base_time) AS precipitation,
+                 arg_min(pty_code, base_time) AS pty_code FROM wcell WHERE base_date = strftime({AED}, '%Y%m%d') GROUP BY 1, 2)
+SELECT n.id, n.cx, n.cy, t.temperature, t.precipitation, t.pty_code FROM near n LEFT JOIN today t USING (cx, cy)""",
+       ops="G1 J9 J11 F5")
+def q_weather_by_location(spark, d):
+    """G1: each location's grid cell -> the nearest served cell -> that cell's first forecast of the day."""
+    c = tables.customer_locations(spark, d)
+    nx, ny = grid.grid_cell("lat", "lon")
+    cells = list(fixed.PROVINCE_CELLS)
+    served = [(f"{x}_{y}", x, y) for _, x, y in cells]
+    near = c.select("id", nx.alias("nx"), ny.alias("ny")).select(
+        "id", nearest_of(served, F.col("nx"), F.col("ny")).alias("cell"))
+    near = near.select("id", F.split("cell", "_")[0].cast("int").alias("cx"), F.split("cell", "_")[1].cast("int").alias("cy"))
+    # the served cells of the feed: 17 rows, a fixed bound
+    region_cell = spark.createDataFrame([(f"R{i}", x, y) for i, (_, x, y) in enumerate(cells)], "region string, cx int, cy int")
+    piv = _pivot(spark, d).join(F.broadcast(region_cell), "region")
+    today = weather.first_of_day(piv.where(F.col("base_date") == F.date_format(F.lit(AE).cast("date"), "yyyyMMdd"))
+                                 .withColumn("region", F.concat_ws("_", "cx", "cy")))
+    today = today.select(F.split("region", "_")[0].cast("int").alias("cx"), F.split("region", "_")[1].cast("int").alias("cy"),
+                         "temperature", "precipitation", "pty_code")
+    return near.join(today, ["cx", "cy"], "left").select("id", "cx", "cy", "temperature", "precipitation", "pty_code")
