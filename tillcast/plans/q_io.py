@@ -65,11 +65,13 @@ def q_report_export(spark, d):
 
 
 @query("stock_value_labels", f"""WITH {SQL_STOCK},
-v AS (SELECT category, CAST(floor(SUM(unit_price * current_stock) + 0.5) AS BIGINT) AS value FROM stock GROUP BY 1)
+v AS (SELECT category, CAST(floor(round(SUM(unit_price * current_stock), 2) + 0.5) AS BIGINT) AS value FROM stock GROUP BY 1)
 SELECT category, value, '₩' || format('{{:,}}', value) AS label, value AS parsed FROM v""", ops="F6 F9")
 def q_stock_labels(spark, d):
     st = _stock(spark, d)
-    v = st.groupBy("category").agg(F.floor(F.sum(F.col("unit_price") * F.col("current_stock")) + 0.5).cast("long").alias("value"))
+    # the exact total has cents: round to cents first so summation order cannot move a .50 tie
+    v = st.groupBy("category").agg(
+        F.floor(F.round(F.sum(F.col("unit_price") * F.col("current_stock")), 2) + 0.5).cast("long").alias("value"))
     lab = v.withColumn("label", format_krw("value"))
     return lab.withColumn("parsed", currency_to_number("label"))
 
