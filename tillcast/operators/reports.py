@@ -62,9 +62,10 @@ def month_over_month(sales: DataFrame, as_of) -> DataFrame:
     last_start = F.add_months(this_start, -1)
     d = F.col("date")
     pre = sales.where((d >= last_start) & (d <= a))
+    # totals are rounded to the amounts' 4 decimals so the % does not depend on summation order
     agg = pre.agg(
-        F.coalesce(F.sum(F.when(d >= this_start, F.col("amount"))), F.lit(0.0)).alias("this_month"),
-        F.coalesce(F.sum(F.when(d < this_start, F.col("amount"))), F.lit(0.0)).alias("last_month"))
+        F.round(F.coalesce(F.sum(F.when(d >= this_start, F.col("amount"))), F.lit(0.0)), 4).alias("this_month"),
+        F.round(F.coalesce(F.sum(F.when(d < this_start, F.col("amount"))), F.lit(0.0)), 4).alias("last_month"))
     return agg.withColumn("change_pct", pct_change("this_month", "last_month"))
 
 
@@ -189,8 +190,8 @@ def waste_weekly(waste_rows: DataFrame, as_of) -> DataFrame:
     week_ago = F.date_sub(a, 7)
     prev_start = F.date_sub(a, 14)
     agg = (waste_rows.where((d >= prev_start) & (d <= a))
-           .agg(F.coalesce(F.sum(F.when(d >= week_ago, F.col("loss"))), F.lit(0.0)).alias("weekly_cost"),
-                F.coalesce(F.sum(F.when(d < week_ago, F.col("loss"))), F.lit(0.0)).alias("prev_weekly_cost")))
+           .agg(F.round(F.coalesce(F.sum(F.when(d >= week_ago, F.col("loss"))), F.lit(0.0)), 2).alias("weekly_cost"),
+                F.round(F.coalesce(F.sum(F.when(d < week_ago, F.col("loss"))), F.lit(0.0)), 2).alias("prev_weekly_cost")))
     return agg.withColumn("change_pct", pct_change("weekly_cost", "prev_weekly_cost"))
 
 

@@ -86,8 +86,8 @@ def q_category_month(spark, d):
 
 
 @query("month_over_month", f"""WITH {SQL_SALES},
-m AS (SELECT COALESCE(SUM(CASE WHEN date >= date_trunc('month', {AD}) THEN amount END), 0.0) AS this_month,
-             COALESCE(SUM(CASE WHEN date < date_trunc('month', {AD}) THEN amount END), 0.0) AS last_month
+m AS (SELECT round(COALESCE(SUM(CASE WHEN date >= date_trunc('month', {AD}) THEN amount END), 0.0), 4) AS this_month,
+             round(COALESCE(SUM(CASE WHEN date < date_trunc('month', {AD}) THEN amount END), 0.0), 4) AS last_month
       FROM sales WHERE date >= date_trunc('month', {AD}) - INTERVAL 1 MONTH AND date <= {AD})
 SELECT round(this_month, 4) AS this_month, round(last_month, 4) AS last_month,
        {_half_up_pct('this_month', 'last_month')} AS change_pct FROM m""", ops="A11 F8")
@@ -236,8 +236,8 @@ def q_waste_report(spark, d):
 
 
 @query("waste_weekly", f"""WITH {SQL_WASTE},
-w AS (SELECT COALESCE(SUM(CASE WHEN date >= {AD} - 7 THEN loss END), 0.0) AS weekly_cost,
-             COALESCE(SUM(CASE WHEN date < {AD} - 7 THEN loss END), 0.0) AS prev_weekly_cost
+w AS (SELECT round(COALESCE(SUM(CASE WHEN date >= {AD} - 7 THEN loss END), 0.0), 2) AS weekly_cost,
+             round(COALESCE(SUM(CASE WHEN date < {AD} - 7 THEN loss END), 0.0), 2) AS prev_weekly_cost
       FROM waste WHERE date >= {AD} - 14 AND date <= {AD})
 SELECT round(weekly_cost, 4) AS weekly_cost, round(prev_weekly_cost, 4) AS prev_weekly_cost,
        {_half_up_pct('weekly_cost', 'prev_weekly_cost')} AS change_pct FROM w""", ops="A15 R6 F8")
