@@ -109,7 +109,7 @@ def category_share(sales: DataFrame, as_of) -> DataFrame:
     a = as_of_date(as_of)
     d = F.col("date")
     per = (sales.where((d >= F.trunc(a, "month")) & (d <= a))
-           .groupBy(F.col("category").alias("name")).agg(F.sum("amount").alias("amount")))
+           .groupBy(F.col("category").alias("name")).agg(F.round(F.sum("amount"), 4).alias("amount")))
     total = F.sum("amount").over(Window.partitionBy())          # over the categories only
     return per.withColumn("value", F.when(total > 0, F.floor(F.col("amount") / total * 1000 + 0.5) / 10)
                           .otherwise(F.lit(0.0)))

@@ -129,7 +129,7 @@ def q_top_products(spark, d):
 
 
 @query("category_share", f"""WITH {SQL_SALES},
-per AS (SELECT category AS name, SUM(amount) AS amount FROM sales
+per AS (SELECT category AS name, round(SUM(amount), 4) AS amount FROM sales
         WHERE date >= date_trunc('month', {AD}) AND date <= {AD} GROUP BY 1)
 SELECT name, round(amount, 4) AS amount,
        CASE WHEN SUM(amount) OVER () > 0 THEN floor(amount / SUM(amount) OVER () * 1000 + 0.5) / 10 ELSE 0.0 END AS value
