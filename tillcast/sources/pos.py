@@ -140,3 +140,26 @@ def candidate_files(spark: SparkSession, pattern: str, *, sample_marker: str = "
     files = files.dropDuplicates(["path"])                       # U5
     o = Window.orderBy(F.lower("path").contains(sample_marker).cast("int"), F.col("modified").desc(), "path")
     return files.withColumn("rank", F.row_number().over(o))
+
+
+def first_valid_source(spark: SparkSession, pattern: str, *, min_rows: int = 1, **load_kw):
+    """Try candidate files in rank order; the first whose demand frame passes the checks wins.
+
+    The loop runs over the (bounded) list of candidate files, never over
+    data rows.  Returns (daily frame or None, chosen path or None,
+    [(path, reason), ...] for skipped sources).
+    """
+    ranked = candidate_files(spark, pattern).orderBy("rank").select("path").collect()   # file list only
+    skipped = []
+    for row in ranked:
+        path = row["path"]
+        try:
+            df = load_daily_demand(read_csv(spark, path), **load_kw)
+            n = df.limit(min_rows).count()
+            if n < min_rows:
+                skipped.append((path, "no valid rows"))
+                continue
+            return df, path, skipped
+        except Exception as e:  # unsupported layout, unreadable file
+            skipped.append((path, str(e).splitlines()[0][:200]))
+    return None, None, skipped
