@@ -123,7 +123,7 @@ def q_nearest_region(spark, d):
 
 # ---------------------------------------------------------------- events
 SQL_EVATTR = """ev AS (
-  SELECT event_id, CAST(ts AS DATE) AS date, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id, value, event_type
+  SELECT event_id, CAST(ts AS DATE) AS date, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id, value, event_type
   FROM events),
 ea AS (SELECT event_id, date, k * 50 AS v, value * 10 AS dist, user_id % 2 = 0 AS main, (k % 10) / 10.0 AS ov,
               value / 400.0 AS fit, k / 20.0 AS dwell, event_type <> 'error' AS pub FROM ev),

@@ -211,7 +211,7 @@ def forecast_results(spark, sf_dir) -> DataFrame:
 def event_attributes(spark, sf_dir) -> DataFrame:
     """Event rows with the inputs of the impact score (derived from events columns)."""
     ev = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return ev.select(
         "event_id", F.col("ts").cast("date").alias("date"),
         (F.col("user_id") % 17).alias("region_no"),
