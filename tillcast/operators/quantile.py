@@ -173,6 +173,7 @@ def fit_quantile_boost(df: DataFrame, *, quantile: float, label_col: str = "dema
     init = float(init_row["i"]) if init_row and init_row["i"] is not None else 0.0
     model = QuantileBoostModel(quantile=quantile, init=init, learning_rate=learning_rate, features_col=features_col)
     state = data.withColumn("_F", F.lit(init)).persist(StorageLevel.MEMORY_AND_DISK)
+    prev = None
     q = float(quantile)
     for m in range(n_stages):
         work = (state.withColumn("_r", F.col("_y") - F.col("_F"))
@@ -192,13 +193,16 @@ def fit_quantile_boost(df: DataFrame, *, quantile: float, label_col: str = "dema
         if checkpoint_every and (m + 1) % checkpoint_every == 0:
             nxt = nxt.checkpoint(eager=True)
         nxt = nxt.persist(StorageLevel.MEMORY_AND_DISK)
-        nxt.count()
-        state.unpersist()
-        state = nxt
+        # the previous state may go once the next tree fit has materialized this one
+        if prev is not None:
+            prev.unpersist()
+        prev, state = state, nxt
         model.trees.append(tree)
         model.structures.append(node)
         model.leaf_values.append(leaves)
-    state.unpersist()
+    for s_ in (prev, state):
+        if s_ is not None:
+            s_.unpersist()
     return model
 
 
