@@ -233,3 +233,14 @@ def q_weather_by_location(spark, d):
     today = today.select(F.split("region", "_")[0].cast("int").alias("cx"), F.split("region", "_")[1].cast("int").alias("cy"),
                          "temperature", "precipitation", "pty_code")
     return near.join(today, ["cx", "cy"], "left").select("id", "cx", "cy", "temperature", "precipitation", "pty_code")
+
+
+@query("weather_cache_refresh", f"""WITH {SQL_PIVOT},
+bad AS (SELECT region FROM piv WHERE base_date >= strftime({AED}, '%Y%m%d') GROUP BY 1 HAVING count(*) < 24)
+SELECT * FROM piv WHERE base_date < strftime({AED}, '%Y%m%d')
+UNION ALL
+SELECT * FROM piv WHERE base_date >= strftime({AED}, '%Y%m%d') AND region NOT IN (SELECT region FROM bad)""",
+       ops="U3 P23")
+def q_weather_cache_refresh(spark, d):
+    """Drop the cached rows (on/after today) of regions whose cache is incomplete."""
+    return weather.drop_incomplete(_pivot(spark, d), AE)

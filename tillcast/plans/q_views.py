@@ -99,3 +99,23 @@ def q_seq_std(spark, d):
     z = features.standardize_sequences(seq, 1)
     return z.select("item_id", "date", F.posexplode("window").alias("step", "v")).select(
         "item_id", "date", "step", F.round(F.col("v")[0], 4).alias("z"))
+
+
+@query("inventory_validation", """
+SELECT l_orderkey * 8 + l_linenumber AS batch_id, l_partkey AS product_id, CAST(l_shipdate AS DATE) AS received_date,
+       CAST(l_quantity AS BIGINT) AS current_qty,
+       CASE WHEN l_partkey IS NULL THEN 'missing product_id'
+            WHEN l_shipdate IS NULL THEN 'missing received_date'
+            WHEN l_quantity IS NULL THEN 'missing current_qty'
+            WHEN l_linestatus IS NULL OR trim(l_linestatus) = '' THEN 'missing status' END AS reject_reason,
+       NOT (l_partkey IS NULL OR l_shipdate IS NULL OR l_quantity IS NULL OR l_linestatus IS NULL OR trim(l_linestatus) = '')
+         AS accepted
+FROM lineitem WHERE l_returnflag <> 'R'""", ops="P25")
+def q_inventory_validation(spark, d):
+    """P25: incoming stock rows need every required field present and non-blank."""
+    li = tables.read(spark, d, "lineitem").where(F.col("l_returnflag") != "R").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("batch_id"), F.col("l_partkey").alias("product_id"),
+        F.col("l_shipdate").cast("date").alias("received_date"), F.col("l_quantity").cast("long").alias("current_qty"),
+        F.col("l_linestatus").alias("status"))
+    v = views.validate_inventory(li, ["product_id", "received_date", "current_qty", "status"])
+    return v.drop("status")
