@@ -82,8 +82,9 @@ def insight_rules(acc: DataFrame, trend: DataFrame, volume: DataFrame) -> DataFr
     first = trend.agg(F.min_by("accuracy", "date").alias("first_acc"))
     top = volume.agg(F.max_by("name", F.struct("qty", F.col("name"))).alias("top_name"),
                      F.max_by("volume_score", F.struct("qty", F.col("name"))).alias("top_score"))
-    k = F.lit(0)
-    j = m.withColumn("_k", k).join(first.withColumn("_k", k), "_k").join(top.withColumn("_k", k), "_k")
+    sc = lambda df, c: df.select(c).scalar()  # noqa: E731  one-row frames as scalar subqueries
+    j = acc.sparkSession.range(1).select(sc(m, "mean_acc").alias("mean_acc"), sc(first, "first_acc").alias("first_acc"),
+                                         sc(top, "top_name").alias("top_name"), sc(top, "top_score").alias("top_score"))
     rows = F.array(
         F.when(F.col("mean_acc") >= fixed.STABLE_AT,
                F.struct(F.lit(1).alias("n"), F.lit("success").alias("type"), F.lit("demand accuracy stable").alias("title"),
@@ -124,7 +125,7 @@ def actual_vs_predicted(sales: DataFrame, forecasts: DataFrame, as_of) -> DataFr
 def dashboard_kpis(sales: DataFrame, forecasts: DataFrame, stock: DataFrame, expiring: DataFrame, as_of) -> DataFrame:
     """One row: predicted today, today / yesterday / last-7 quantity, day-over-day %,
     low-stock count and expiring count.  Each input is reduced to one row first and
-    the rows are joined on a constant key."""
+    the rows are read as scalar subqueries."""
     a = as_of_date(as_of)
     d = F.col("date")
     s = (sales.where((d >= F.date_sub(a, 7)) & (d <= a))
@@ -135,8 +136,7 @@ def dashboard_kpis(sales: DataFrame, forecasts: DataFrame, stock: DataFrame, exp
          .agg(F.floor(F.coalesce(F.sum("predicted"), F.lit(0.0)) + 0.5).alias("predicted_today")))
     low = stock.agg(F.count_if(F.col("status") == "low").alias("low_stock"))
     exp = expiring.agg(F.count(F.lit(1)).alias("expiring_count"))
-    k = F.lit(0)
-    j = s.withColumn("_k", k)
-    for other in (p, low, exp):
-        j = j.join(other.withColumn("_k", k), "_k")
-    return j.drop("_k").withColumn("day_over_day_pct", pct_change("today_qty", "yesterday_qty"))
+    cols = [(s, "today_qty"), (s, "yesterday_qty"), (s, "last7_qty"), (p, "predicted_today"), (low, "low_stock"),
+            (exp, "expiring_count")]
+    j = sales.sparkSession.range(1).select(*[df.select(c).scalar().alias(c) for df, c in cols])
+    return j.withColumn("day_over_day_pct", pct_change("today_qty", "yesterday_qty"))

@@ -171,8 +171,9 @@ def standardize_sequences(seq: DataFrame, n_features: int) -> DataFrame:
     flat = seq.select(F.explode("window").alias("v"))
     stats = flat.agg(*[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(n_features)],
                      *[F.stddev_pop(F.col("v")[i]).alias(f"s{i}") for i in range(n_features)])
-    # one-row statistics frame: constant size, joined on a constant key
-    j = seq.withColumn("_k", F.lit(0)).join(F.broadcast(stats.withColumn("_k", F.lit(0))), "_k")
+    # one-row statistics as a scalar subquery (evaluated once, no join)
+    st = stats.select(F.struct(*stats.columns).alias("st")).scalar()
+    j = seq.withColumns({c: st[c] for c in stats.columns})
     scaled = F.transform("window", lambda v: F.array(*[
         (v[i] - F.col(f"m{i}")) / F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(F.lit(1.0))
         for i in range(n_features)]))

@@ -111,8 +111,9 @@ def recursive_forecast(models: QuantileModels, raw: DataFrame, feature_df: DataF
     a = F.lit(str(as_of)).cast("date")
     state = initial_state(raw, feature_df, as_of)
     const = horizon_calendar(raw, a, horizon, future_holidays, future_exogenous).withColumn("as_of", a)
-    # one-row frame of horizon-length arrays, joined on a constant key
-    s = state.withColumn("_k", F.lit(0)).join(F.broadcast(const.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    # one row of horizon arrays as a scalar subquery (evaluated once, no join)
+    c1 = const.select(F.struct("_cal", "as_of").alias("c")).scalar()
+    s = state.withColumns({"_cal": c1["_cal"], "as_of": c1["as_of"]})
     q_hi = max(models.models)
     q_lo = min(models.models)
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 
 def _with_max_date(df: DataFrame) -> DataFrame:
-    m = df.agg(F.max("date").alias("_max_date")).withColumn("_k", F.lit(0))
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(m), "_k").drop("_k")
+    return df.withColumn("_max_date", df.agg(F.max("date")).scalar())
 
 
 def split_by_date(df: DataFrame, *, test_days: int = 14) -> DataFrame:

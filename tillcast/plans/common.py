@@ -41,9 +41,9 @@ def lots_on_hand(spark, d, daily_frame=None):
     """Batches on hand at the plan date (max sales date): received <= as_of <= expiry."""
     b = tables.inventory_batches(spark, d)
     p = tables.product(spark, d).select("product_id", F.col("category").alias("item_id"))
-    dd = (daily_frame if daily_frame is not None else daily(spark, d)).agg(F.max("date").alias("as_of")) \
-        .withColumn("_k", F.lit(0))
-    j = (b.withColumn("_k", F.lit(0)).join(F.broadcast(dd), "_k")
+    # the plan date as a scalar subquery (evaluated once, no join)
+    as_of = (daily_frame if daily_frame is not None else daily(spark, d)).agg(F.max("date")).scalar()
+    j = (b.withColumn("as_of", as_of)
           .where((F.col("received_date") <= F.col("as_of")) & (F.col("expiration_date") >= F.col("as_of"))))
     return j.join(p, "product_id", "inner").select(
         "item_id", F.col("current_qty").alias("qty"),

@@ -16,9 +16,8 @@ META_COLS = ["current_inventory", "lead_time_days", "review_period_days", "moq",
 
 
 def with_global_as_of(df: DataFrame, name: str = "as_of") -> DataFrame:
-    """Attach max(date) of the whole frame (one-row aggregate, constant-key broadcast join)."""
-    m = df.agg(F.max("date").alias(name)).withColumn("_k", F.lit(0))
-    return df.withColumn("_k", F.lit(0)).join(F.broadcast(m), "_k").drop("_k")
+    """Attach max(date) of the whole frame (a scalar subquery: evaluated once, no join)."""
+    return df.withColumn(name, df.agg(F.max("date")).scalar())
 
 
 def plan_from_quantiles(quant: DataFrame, raw: DataFrame, *, lots: DataFrame | None = None,
@@ -31,9 +30,8 @@ def plan_from_quantiles(quant: DataFrame, raw: DataFrame, *, lots: DataFrame | N
     flat paths are used when absent.
     """
     meta = forecast.last_row_per_item(raw, [c for c in META_COLS if c in raw.columns])
-    as_of = raw.agg(F.max("date").alias("as_of")).withColumn("_k", F.lit(0))
-    df = (quant.join(meta, "item_id", "inner")
-               .withColumn("_k", F.lit(0)).join(F.broadcast(as_of), "_k").drop("_k"))
+    as_of = raw.agg(F.max("date")).scalar()
+    df = quant.join(meta, "item_id", "inner").withColumn("as_of", as_of)
     if "date" not in quant.columns:
         df = df.withColumn("date", F.date_add("as_of", 1))
     df = inventory.optimal_order(df)

@@ -33,9 +33,8 @@ def q_forecast_metrics(spark, d):
     """A20 on the rolling-mean baseline over the last 28 days (holdout)."""
     dd = features.rolling_features(common.daily(spark, d), windows=(7,), trend=28)
     dd = dd.withColumns({"q50": F.col("roll_mean_7"), "q95": F.col("roll_mean_7") + 1.645 * F.col("roll_std_7")})
-    mx = dd.agg(F.max("date").alias("mx")).withColumn("_k", F.lit(0))
-    t = (dd.where(F.col("q50").isNotNull()).withColumn("_k", F.lit(0)).join(F.broadcast(mx), "_k")
-           .where(F.col("date") > F.date_sub("mx", 28)))
+    mx = dd.agg(F.max("date")).scalar()
+    t = dd.where(F.col("q50").isNotNull() & (F.col("date") > F.date_sub(mx, 28)))
     return forecast.forecast_metrics(t).withColumn("value", F.round("value", 6))
 
 

@@ -66,8 +66,8 @@ def q_fefo_expected_waste(spark, d):
     q = forecast.naive_quantiles(s)
     paths = q.select("item_id", forecast.flat_path("q50_daily", 7).alias("path"))
     b = tables.inventory_batches(spark, d)
-    as_of = s.agg(F.max("date").alias("as_of")).withColumn("_k", F.lit(0))
-    lots = (b.withColumn("_k", F.lit(0)).join(F.broadcast(as_of), "_k")
+    as_of = s.agg(F.max("date")).scalar()
+    lots = (b.withColumn("as_of", as_of)
              .where((F.col("received_date") <= F.col("as_of")) & (F.col("expiration_date") >= F.col("as_of")))
              .select(F.col("product_id").alias("item_id"), F.col("current_qty").alias("qty"),
                      F.datediff("expiration_date", "as_of").alias("days_to_expire")))
