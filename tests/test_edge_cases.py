@@ -76,3 +76,25 @@ def test_first_valid_source_skips_bad_files(spark):
     df, path, skipped = pos.first_valid_source(spark, d + "/*.csv")
     assert path.endswith("b_good.csv") and df.count() == 1
     assert skipped and skipped[0][0].endswith("a_bad.csv") and "Missing columns" in skipped[0][1]
+
+
+def test_request_flow(spark):
+    from tillcast.plans.request import run_request
+    sales = spark.createDataFrame([("latte", 10.0), ("latte", 20.0)], "product_name string, qty double")
+    products = spark.createDataFrame([("latte",), ("mocha",)], "name string")
+    stored = spark.createDataFrame([(D(2024, 1, 8), "latte", 1.0, D(2024, 1, 1), 7), (D(2024, 1, 3), "latte", 2.0, D(2024, 1, 1), 7)],
+                                   "target_date date, product string, predicted_qty double, created_at date, forecast_period int")
+    res = run_request(spark, sales=sales, products=products, stored=stored, request_date="2024-01-08",
+                      weather_tags=["비"], event_tags=["지역 축제"], custom_input="마라톤 대회")
+    log = res.run_log.first()
+    assert log["weight_pct"] == 35 and log["event_factors"] == "지역 축제 | 자동인식: 야외행사(+15%)"
+    assert log["impact_summary"] == "수요 약 35% 증가 예측"
+    g = {(r["date"], r["item_id"]): r for r in res.grid.collect()}
+    assert len(g) == 20
+    # 2024-01-08 is a Monday: 15 x 0.9 x 1.35 = 18.225 -> 18; order only on the request day
+    assert g[(D(2024, 1, 8), "latte")]["q50_daily"] == 18 and g[(D(2024, 1, 8), "latte")]["recommended_order_qty"] == 52
+    assert g[(D(2024, 1, 8), "mocha")]["q50_daily"] == 12                    # no sales: base 10
+    assert g[(D(2024, 1, 7), "latte")]["recommended_order_qty"] == 0
+    f = {(r["target_date"], r["product"]): r["predicted_qty"] for r in res.forecasts.collect()}
+    assert f[(D(2024, 1, 8), "latte")] == 18.0 and f[(D(2024, 1, 3), "latte")] == 2.0   # past rows kept
+    assert (D(2024, 1, 7), "latte") not in f                                  # negative offsets not stored

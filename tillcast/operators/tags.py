@@ -80,4 +80,8 @@ def forecast_grid(products: DataFrame, avg_qty: DataFrame, request_date, weight_
 
 
 def _w(weight_pct):
-    return F.col(weight_pct) if isinstance(weight_pct, str) else F.lit(float(weight_pct))
+    if isinstance(weight_pct, str):
+        return F.col(weight_pct)
+    if isinstance(weight_pct, F.Column):
+        return weight_pct.cast("double")
+    return F.lit(float(weight_pct))
