@@ -145,3 +145,14 @@ def test_weather_feed_json(spark):
     piv = {r["base_time"]: (r["temperature"], r["precipitation"], r["pty_code"])
            for r in weather.weather_pivot(weather.parse_feed_json(raw)).collect()}
     assert piv == {"0600": (4.0, 0.0, 1), "0800": (5.0, 0.0, 0)}     # 0700 has no temperature: dropped
+
+
+def test_model_plan_keeps_items_on_latest_date_by_default(spark):
+    from tillcast.plans import model_run
+    raw, _ = _raw(spark, n_days=70, seed=5)
+    # item b stops three days before the end
+    raw = raw.where(~((F.col("item_id") == "b") & (F.col("date") > dt.date(2024, 3, 7))))
+    run = model_run.fit_and_evaluate(raw, params={"n_stages": 2, "learning_rate": 0.3, "max_depth": 2})
+    default = {r["item_id"] for r in model_run.model_plan(raw, run).collect()}
+    every = {r["item_id"] for r in model_run.model_plan(raw, run, latest_date_items_only=False).collect()}
+    assert default == {"a"} and every == {"a", "b"}

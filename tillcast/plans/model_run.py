@@ -45,10 +45,20 @@ def fit_and_evaluate(raw: DataFrame, *, test_days: int | None = None, params: di
     return RunResult(models, raw, feat, train, test, pred, forecast.forecast_metrics(pred))
 
 
-def model_plan(raw: DataFrame, run: RunResult, *, horizons=(7, 30), lots=None, unit_costs=None) -> DataFrame:
-    """I8 with model paths: q50/q95 daily = first step of the recursive path."""
+def model_plan(raw: DataFrame, run: RunResult, *, horizons=(7, 30), lots=None, unit_costs=None,
+               latest_date_items_only: bool = True) -> DataFrame:
+    """I8 with model paths: q50/q95 daily = first step of the recursive path.
+
+    By default only items with a feature row on the latest date are planned
+    (as in the reference); ``latest_date_items_only=False`` plans every item
+    from its own last row.
+    """
     h = max(horizons)
     paths = recursive.recursive_forecast(run.models, raw, run.feature_df, horizon=h)
+    if latest_date_items_only:
+        last = run.feature_df.agg(F.max("date")).scalar()
+        on_last = run.feature_df.where(F.col("date") == last).select("item_id").distinct()
+        paths = paths.join(on_last, "item_id", "left_semi")
     p = paths.select("item_id",
                      *[forecast.horizon_slice(f"{q}_path", k).alias(f"forecast_{q}_{k}d") for k in horizons for q in ("q50", "q95")],
                      F.element_at("q50_path", 1).alias("q50_daily"), F.element_at("q95_path", 1).alias("q95_daily"))
