@@ -9,7 +9,7 @@ from tillcast.functions.text import currency_to_number, format_krw, keyword_tags
 from tillcast.operators import demand, fefo, upsert
 from tillcast.plans import common
 from tillcast.plans.common import SQL_DAILY
-from tillcast.plans.q_reports import SQL_STOCK, _stock
+from tillcast.plans.q_reports import SQL_FORECASTS, SQL_STOCK, _stock
 from tillcast.plans.registry import ORACLE, query
 from tillcast.session import scratch_path
 from tillcast.sources import pos, sinks
@@ -90,3 +90,25 @@ def q_conv_tags(spark, d):
     return t.select("conv_id", "turn",
                     F.aggregate("_kw", F.lit(0), lambda a, x: a + x["weight_pct"]).cast("int").alias("weight_pct"),
                     F.array_join(F.transform("_kw", lambda x: x["label"]), ", ").alias("labels"))
+
+
+@query("forecast_request", f"""WITH {SQL_FORECASTS},
+s AS (SELECT p_name AS name, avg(l_quantity) AS avg_qty FROM lineitem JOIN part ON l_partkey = p_partkey
+      WHERE l_returnflag <> 'R' GROUP BY 1),
+names AS (SELECT DISTINCT p_name AS name FROM part),
+g AS (SELECT n.name, s.avg_qty, CAST(unnest(generate_series(DATE '2001-06-30', DATE '2001-06-30' + 2, INTERVAL 1 DAY)) AS DATE) AS date
+      FROM names n LEFT JOIN s USING (name)),
+m AS (SELECT *, greatest(CASE isodow(date) - 1 WHEN 5 THEN 1.3 WHEN 6 THEN 1.4 WHEN 0 THEN 0.9 WHEN 4 THEN 1.1 ELSE 1.0 END
+                         * (1.0 + 20.0 / 100.0), 0.1) AS mult, COALESCE(avg_qty, 10.0) AS base FROM g),
+fresh AS (SELECT date AS target_date, name AS product, CAST(CAST(round_even(base * mult, 0) AS INTEGER) AS DOUBLE) AS predicted_qty,
+                 DATE '2001-06-30' AS created_at, 1 AS forecast_period FROM m),
+tgt AS (SELECT target_date, product, predicted_qty, created_at, forecast_period FROM forecasts)
+SELECT * FROM tgt WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.target_date = tgt.target_date AND f.product = tgt.product)
+UNION ALL SELECT * FROM fresh""", ops="M12 U1 L1 F12 F13 S14")
+def q_forecast_request(spark, d):
+    """Entry B on the provided tables: a request for 2001-06-30 with tags rain + local festival."""
+    from tillcast.plans.request import run_request
+    sales = tables.sales_lines(spark, d).where(~F.col("is_return")).select("product_name", "qty")
+    res = run_request(spark, sales=sales, products=tables.product(spark, d), stored=tables.forecast_results(spark, d),
+                      request_date=tables.AS_OF_SALES, weather_tags=["비"], event_tags=["지역 축제"])
+    return res.forecasts
