@@ -39,7 +39,7 @@ def fit_and_evaluate(raw: DataFrame, *, test_days: int | None = None, params: di
         test_days = splits.run_test_days(n_days)
     train, test = splits.train_test(feat, test_days=test_days)
     if train.limit(1).count() == 0:                   # P8: empty train -> all rows, no test
-        train, test = feat, feat.limit(0)
+        train, test = feat, feat.where(F.lit(False))
     models = quantile.train_quantile_models(train, **(params or DEFAULT_PARAMS))
     pred = models.predict(test)
     return RunResult(models, raw, feat, train, test, pred, forecast.forecast_metrics(pred))

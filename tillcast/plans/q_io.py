@@ -40,7 +40,7 @@ def q_csv_roundtrip(spark, d):
     base = scratch_path(spark, "csv-sources")
     dd = common.daily(spark, d).select("date", "item_id", "demand_qty", "sales_amount")
     sinks.write_csv(dd, f"{base}/export")
-    sinks.write_csv(dd.limit(0), f"{base}/sample_export")
+    sinks.write_csv(spark.createDataFrame([], dd.schema), f"{base}/sample_export")   # an empty sample-named source
     ranked = pos.candidate_files(spark, f"{base}/*/*.csv")
     top_dir = ranked.where(F.col("rank") == 1).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir")).first()["dir"]
     chosen = pos.load_daily_demand(pos.read_csv(spark, top_dir + "/*.csv"))
