@@ -34,8 +34,13 @@ def main():
     names = [n for n in HEADLINE if n in qs]
     if len(sys.argv) > 1:
         names = [n for n in sys.argv[1:] if n in qs]
-    # warm-up: JVM, parquet footers
-    qs["daily_demand"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # warm-up (JIT, codegen paths) on the smallest tables, so the first measured queries
+    # are not charged for JVM start-up; every measured query still runs once, in full
+    warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(warm_dir):
+        warm_dir = sf_dir
+    for w in ("daily_demand", "model_features", "fefo_deduction", "dashboard_kpis", "order_plan"):
+        qs[w](spark, warm_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for n in names:
         t0 = time.time()
