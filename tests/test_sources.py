@@ -99,3 +99,13 @@ def test_csv_sink_turns_arrays_into_json(spark):
     assert back[0]["path"] == "[1.0,2.0]"
     assert sinks.report_range("2024-01-01") == ("2024-01-01", "2024-01-08")
     assert sinks.report_range("2024-01-05", "2024-01-01") == ("2024-01-05", "2024-01-05")
+
+
+def test_separator_sniffing(spark):
+    d = tempfile.mkdtemp(dir="/tmp")
+    p = os.path.join(d, "semi.csv")
+    _write(p, "date;item_id;demand_qty;sales_amount\n2024-01-01;a;2;1,5\n2024-01-01;a;3;2\n")
+    df = pos.read_csv(spark, p, sep="auto")
+    out = pos.load_daily_demand(df).collect()                        # normalized rows are not re-aggregated
+    assert sorted((r["item_id"], r["demand_qty"]) for r in out) == [("a", 2.0), ("a", 3.0)]
+    assert pos.sniff_separator(spark, p) == ";"

@@ -16,8 +16,27 @@ from tillcast.functions.dates import yyyymmdd_to_date
 from tillcast.functions.numeric import clean_number
 
 
+SEPARATORS = (",", ";", "\t", "|")
+
+
+def sniff_separator(spark: SparkSession, path) -> str:
+    """The separator occurring most often in the first line (the header); ',' on ties or no header."""
+    first = spark.read.text(path).limit(1).collect()          # one line, never the data
+    if not first:
+        return ","
+    head = first[0][0] or ""
+    counts = [(head.count(c), -i, c) for i, c in enumerate(SEPARATORS)]
+    best = max(counts)
+    return best[2] if best[0] > 0 else ","
+
+
 def read_csv(spark: SparkSession, path, *, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Read one or many CSV files as strings; a leading BOM is stripped from the header."""
+    """Read one or many CSV files as strings; a leading BOM is stripped from the header.
+
+    ``sep="auto"`` sniffs the separator from the header line.
+    """
+    if sep == "auto":
+        sep = sniff_separator(spark, path)
     df = (spark.read.option("header", True).option("inferSchema", False).option("sep", sep)
           .option("encoding", encoding).option("multiLine", False).csv(path))
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
