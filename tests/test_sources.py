@@ -109,3 +109,15 @@ def test_separator_sniffing(spark):
     out = pos.load_daily_demand(df).collect()                        # normalized rows are not re-aggregated
     assert sorted((r["item_id"], r["demand_qty"]) for r in out) == [("a", 2.0), ("a", 3.0)]
     assert pos.sniff_separator(spark, p) == ";"
+
+
+def test_month_partitioned_sink_prunes(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(dir="/tmp")
+    rows = [(dt.date(2024, m, 10), "a", float(m)) for m in range(1, 7)]
+    df = spark.createDataFrame(rows, "date date, item_id string, demand_qty double")
+    sinks.write_by_month(df, d + "/daily")
+    r = sinks.read_months(spark, d + "/daily", "2024-03-01", "2024-04-30")
+    assert sorted(x["demand_qty"] for x in r.collect()) == [3.0, 4.0]
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "month" in plan.split("PartitionFilters")[1][:200]

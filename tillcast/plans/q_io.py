@@ -112,3 +112,13 @@ def q_forecast_request(spark, d):
     res = run_request(spark, sales=sales, products=tables.product(spark, d), stored=tables.forecast_results(spark, d),
                       request_date=tables.AS_OF_SALES, weather_tags=["비"], event_tags=["지역 축제"])
     return res.forecasts
+
+
+@query("daily_demand_by_month", f"""WITH {SQL_DAILY}
+SELECT date, item_id, round(demand_qty, 4) AS demand_qty, strftime(date, '%Y-%m') AS month FROM daily""", ops="S12 P9 A1")
+def q_daily_by_month(spark, d):
+    """Daily demand stored month-partitioned, read back over the full date range (month filters prune)."""
+    path = scratch_path(spark, "daily-by-month")
+    sinks.write_by_month(common.daily(spark, d).select("date", "item_id", "demand_qty"), path)
+    back = sinks.read_months(spark, path, "1900-01-01", "2999-12-31")
+    return back.select("date", "item_id", F.round("demand_qty", 4).alias("demand_qty"), "month")

@@ -69,3 +69,21 @@ def export_report(out_dir: str, *, sales: DataFrame, stock: DataFrame, waste: Da
         paths[name] = f"{out_dir}/{name}"
         write_csv(df, paths[name])
     return paths
+
+
+def write_by_month(df: DataFrame, path: str, *, date_col: str = "date", mode: str = "overwrite") -> None:
+    """Parquet partitioned by month ('yyyy-MM') so date-range readers prune whole folders.
+
+    Rows are clustered by month before the write, so each task writes few files per month.
+    """
+    out = df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM"))
+    (out.repartition("month").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        .partitionBy("month").parquet(path))
+
+
+def read_months(spark, path: str, date_from: str, date_to: str, *, date_col: str = "date") -> DataFrame:
+    """Read a date range; the month predicate prunes partitions, the date predicate trims the edges."""
+    df = spark.read.parquet(path)
+    m_from, m_to = date_from[:7], date_to[:7]
+    return (df.where((F.col("month") >= m_from) & (F.col("month") <= m_to))
+              .where(F.col(date_col).between(F.lit(date_from).cast("date"), F.lit(date_to).cast("date"))))
