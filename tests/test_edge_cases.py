@@ -98,3 +98,17 @@ def test_request_flow(spark):
     f = {(r["target_date"], r["product"]): r["predicted_qty"] for r in res.forecasts.collect()}
     assert f[(D(2024, 1, 8), "latte")] == 18.0 and f[(D(2024, 1, 3), "latte")] == 2.0   # past rows kept
     assert (D(2024, 1, 7), "latte") not in f                                  # negative offsets not stored
+
+
+def test_observed_quality_and_collated_page(spark):
+    from tillcast.operators import views
+    df = spark.createDataFrame([(D(2024, 1, 1), "a", 1.0), (D(2024, 1, 3), "b", None)],
+                               "date date, item_id string, demand_qty double")
+    out, obs = demand.observe_quality(df)
+    out.write.format("noop").mode("overwrite").save()
+    m = obs.get
+    assert m["rows"] == 2 and m["null_target"] == 1 and m["min_date"] == D(2024, 1, 1) and m["max_date"] == D(2024, 1, 3)
+    names = spark.createDataFrame([("b",), ("B",), ("a",)], "name string")
+    binary = [r["name"] for r in views.sort_page(names, ["name"], k=3).collect()]
+    coll = [r["name"] for r in views.sort_page(names, ["name"], k=3, collation="UNICODE", text_cols=["name"]).collect()]
+    assert binary == ["B", "a", "b"] and coll == ["a", "b", "B"]

@@ -111,3 +111,14 @@ def quality_report(feature_df: DataFrame, *, feature_cols=fixed.FEATURE_COLUMNS,
     ))
     return overall.select((F.size(issues) == 0).alias("ok"), "rows", "items", "duplicates",
                           "min_item_days", issues.alias("issues"))
+
+
+def observe_quality(df: DataFrame, name: str = "daily_quality"):
+    """Q1 inline: attach row / null-target / date-range metrics that Spark collects while the
+    frame is written or otherwise consumed (no extra pass).  Returns (frame, Observation)."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    out = df.observe(obs, F.count(F.lit(1)).alias("rows"),
+                     F.count_if(F.col("demand_qty").isNull()).alias("null_target"),
+                     F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    return out, obs
