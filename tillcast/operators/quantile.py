@@ -214,23 +214,30 @@ class QuantileModels:
 
     def slots(self):
         """Vector layout: [(categorical column, label) one-hot slots..., numeric columns...]."""
+        if getattr(self, "_slots", None) is not None:
+            return self._slots
         cats = [c for c in fixed.CATEGORICAL_FEATURES if c in self.feature_cols]
         nums = [c for c in self.feature_cols if c not in cats]
         idx_models = [s for s in self.prep.stages if hasattr(s, "labels")]
         out = []
         for c, sm in zip(cats, idx_models):
             out += [(c, lab) for lab in sm.labels]
-        return out + [(c, None) for c in nums]
+        self._slots = out + [(c, None) for c in nums]
+        return self._slots
 
     def resolver(self, field):
         """Map a vector slot to an expression over raw feature fields (``field(name) -> Column``)."""
         layout = self.slots()
+        cache: dict = {}          # trees share features: build each slot expression once
 
         def slot(f):
-            c, lab = layout[f]
-            if lab is None:
-                return field(c).cast("double")
-            return F.when(field(c).cast("string") == F.lit(lab), F.lit(1.0)).otherwise(F.lit(0.0))
+            if f not in cache:
+                c, lab = layout[f]
+                if lab is None:
+                    cache[f] = field(c).cast("double")
+                else:
+                    cache[f] = F.when(field(c).cast("string") == F.lit(lab), F.lit(1.0)).otherwise(F.lit(0.0))
+            return cache[f]
         return slot
 
     def expression(self, q: float, field):

@@ -117,28 +117,33 @@ def recursive_forecast(models: QuantileModels, raw: DataFrame, feature_df: DataF
     q_hi = max(models.models)
     q_lo = min(models.models)
 
+    has_fx = {x: _has_field(const, x) for x in EXOG}
+
     def step(acc, i):
-        h = _tail(F.concat(F.col("hist"), acc["q50"]), HIST)
         c = F.col("_cal")[i]
         d = F.date_add(F.col("as_of"), i + 1)
-        ex = {}
-        for x in EXOG:
-            ex[x] = F.coalesce(c[f"fx_{x}"], F.col(x)) if _has_field(const, x) else F.col(x)
-        fields = {**calendar_features(d), **history_features(h), **ex,
-                  "item_id": F.col("item_id"), "shop_total_lag_7": F.col("shop_total_lag_7"),
-                  "is_holiday": c["is_holiday"], "days_to_holiday": c["days_to_holiday"],
-                  "days_since_holiday": c["days_since_holiday"]}
-        ev = fields["event_score_100"]
-        fields.update({"is_event": (ev > 0).cast("int"), "major_event_flag": (ev >= fixed.MAJOR_EVENT_SCORE).cast("int"),
-                       "event_score_x_weekend": ev * fields["is_weekend"], "event_score_x_promo": ev * fields["promo"]})
-        fs = F.struct(*[v.alias(k) for k, v in fields.items()])
+
+        def feats(h):       # h: the step's history, bound once as a lambda variable
+            ex = {x: (F.coalesce(c[f"fx_{x}"], F.col(x)) if has_fx[x] else F.col(x)) for x in EXOG}
+            fields = {**calendar_features(d), **history_features(h), **ex,
+                      "item_id": F.col("item_id"), "shop_total_lag_7": F.col("shop_total_lag_7"),
+                      "is_holiday": c["is_holiday"], "days_to_holiday": c["days_to_holiday"],
+                      "days_since_holiday": c["days_since_holiday"]}
+            ev = fields["event_score_100"]
+            fields.update({"is_event": (ev > 0).cast("int"),
+                           "major_event_flag": (ev >= fixed.MAJOR_EVENT_SCORE).cast("int"),
+                           "event_score_x_weekend": ev * fields["is_weekend"], "event_score_x_promo": ev * fields["promo"]})
+            return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+        # each intermediate is computed once per step: history -> features -> scores
+        fs_arr = F.transform(F.array(_tail(F.concat(F.col("hist"), acc["q50"]), HIST)), feats)
 
         def score(f):       # f: the step's feature struct, evaluated once
             lo = F.greatest(models.expression(q_lo, lambda n: f[n]), F.lit(0.0))
             hi = F.greatest(models.expression(q_hi, lambda n: f[n]), F.lit(0.0))
             return F.struct(lo.alias("lo"), F.greatest(hi, lo).alias("hi"))
 
-        r = F.transform(F.array(fs), score)
+        r = F.transform(fs_arr, score)
         nxt = F.transform(r, lambda p: F.struct(F.concat(acc["q50"], F.array(p["lo"])).alias("q50"),
                                                 F.concat(acc["q95"], F.array(p["hi"])).alias("q95")))
         return nxt[0]
