@@ -156,3 +156,17 @@ def test_model_plan_keeps_items_on_latest_date_by_default(spark):
     default = {r["item_id"] for r in model_run.model_plan(raw, run).collect()}
     every = {r["item_id"] for r in model_run.model_plan(raw, run, latest_date_items_only=False).collect()}
     assert default == {"a"} and every == {"a", "b"}
+
+
+def test_holiday_distance_matches_loop(spark):
+    rnd = random.Random(8)
+    start = dt.date(2024, 1, 1)
+    days = sorted({start + dt.timedelta(days=rnd.randint(0, 120)) for _ in range(67)})     # irregular dates
+    hol = {x for x in days if rnd.random() < 0.15}
+    rows = [(x, "a", 1.0, int(x in hol)) for x in days]
+    df = spark.createDataFrame(rows, "date date, item_id string, demand_qty double, is_holiday int")
+    got = {r["date"]: (r["days_to_holiday"], r["days_since_holiday"]) for r in features.holiday_distance(df).collect()}
+    for x in days:
+        to = min([(h - x).days for h in hol if x <= h] or [999])
+        since = min([(x - h).days for h in hol if x >= h] or [999])
+        assert got[x] == (to, since), x
