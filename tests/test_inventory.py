@@ -84,3 +84,26 @@ def test_event_score_matches_python(spark):
     got = df.select("*", events.event_score("v", "d", "m", "o", "f", "w", "p").alias("s")).collect()
     for r in got:
         assert r["s"] == py_event(r["v"], r["d"], r["m"], r["o"], r["f"], r["w"], r["p"]), r
+
+
+def test_naive_plan_matches_python_on_sf0001(spark):
+    from conftest import SF
+    from tillcast.plans import common, order_plan
+    raw = common.raw(spark, SF)
+    plan = {r["item_id"]: r for r in order_plan.naive_order_plan(raw).collect()}
+    rows = sorted(raw.select("item_id", "date", "demand_qty", "current_inventory").collect(), key=lambda r: (r[0], r[1]))
+    items = sorted({r[0] for r in rows})
+    assert set(plan) == set(items)
+    for it in items:
+        hist = [r for r in rows if r[0] == it]
+        tail = [r[2] for r in hist[-7:]]
+        q50 = sum(tail) / len(tail)
+        sd = (sum((x - q50) ** 2 for x in tail) / (len(tail) - 1)) ** 0.5 if len(tail) > 1 else 0.0
+        q95 = q50 * 1.15 if sd == 0 else max(q50, q50 + 1.645 * sd)
+        prot, sl, target, qty = py_order(hist[-1][3], q50, q95, 2, 2, 5, 1500.0, 180.0)
+        p = plan[it]
+        assert abs(p["q50_daily"] - round(q50, 2)) <= 0.0051 and abs(p["q95_daily"] - round(q95, 2)) <= 0.0051
+        assert abs(p["target_stock"] - round(target, 2)) <= 0.0101 and p["recommended_order_qty"] == qty
+        ratio = hist[-1][3] / round(target, 2) if target > 0 else None
+        want = "여유" if ratio is None else ("필수" if ratio < 0.3 else "권장" if ratio < 0.7 else "여유")
+        assert p["priority"] == want and p["protection_days"] == prot and abs(p["service_level"] - round(sl, 4)) < 1e-12
