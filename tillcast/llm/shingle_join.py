@@ -47,8 +47,9 @@ COMBO_SHARE = 16         # the class with combinations: in a 16th of the nodes o
 COMBO_TOKENS = 256
 CHUNK = 1024
 ALL_PAIRS = 12           # buckets up to this size are compared in full in the first round
-HUBS = 3
+HUBS = 2
 BITMAP_WORDS = 8         # 512 bits
+FILTER_BITS = 1 << 24    # of the filter for documents whose sets are needed
 
 U = np.uint64
 
@@ -176,153 +177,169 @@ def index_documents(words: int, t: tuple[int, int], tokens: np.ndarray, rank: np
     return run
 
 
-BUCKET_SCHEMA = "key long, chunk int, cut boolean, sig binary, n int, pos int"
+BUCKET_SCHEMA = "key long, chunk int, cut boolean, size int, sig binary, n int, pos int"
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[list[dict], int, bool, bool]]:
-    """Rows of each key in sorted input, at most ``most`` at a time: (rows, part number, first part, last part)."""
-    held: list[dict] = []
-    cur, part = None, 0
+def _bytes_of(col: pa.Array, width: int) -> np.ndarray:
+    """A binary column of equally long values as a matrix of bytes."""
+    at = np.frombuffer(col.buffers()[1], np.int32)[col.offset:col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.uint8)[at[0]:at[-1]].reshape(len(col), width)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Sorted input regrouped so that no key is split, unless it has over ``most`` rows: (rows, goes on)."""
+    held = None
     for b in batches:
-        for i in range(0, b.num_rows, 2048):
-            for r in b.slice(i, 2048).to_pylist():
-                k = tuple(r[c] for c in keys)
-                if k != cur:
-                    if held:
-                        yield held, part, part == 0, True
-                    held, cur, part = [], k, 0
-                elif len(held) >= most:
-                    yield held, part, part == 0, False
-                    held, part = [], part + 1
-                held.append(r)
-    if held:
-        yield held, part, part == 0, True
+        t = b if held is None else pa.concat_batches([held, b])
+        if not t.num_rows:
+            continue
+        edge = _starts(t, keys)
+        done = int(edge[-1])  # the last key may go on in the next batch
+        if done:
+            yield t.slice(0, done), False
+        elif t.num_rows > most:
+            done = t.num_rows
+            yield t, True
+        held = t.slice(done) if done < t.num_rows else None
+    if held is not None and held.num_rows:
+        yield held, False
+
+
+def _starts(t: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """First row of each key."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in keys:
+        v = t.column(t.schema.get_field_index(c)).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
 
 
 def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of keys that two sets or more have; input is sorted by key, n, sig."""
-    def emit(rows):
-        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-            ("key", pa.int64()), ("chunk", pa.int32()), ("cut", pa.bool_()), ("sig", pa.binary()), ("n", pa.int32()), ("pos", pa.int32())]))
-
-    def candidates():
-        # rows whose key also stands beside them: most keys have one row and end here, without Python objects
-        held = None
-        for b in batches:
-            t = b if held is None else pa.concat_batches([held, b])
-            k = t.column(0).to_numpy()
-            if not len(k):
-                continue
-            done = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-            if done:
-                same = k[1:done] == k[:done - 1]
-                yield t.slice(0, done).filter(pa.array(np.r_[False, same] | np.r_[same, False]))
-            elif len(k) > 4 * CHUNK:  # one long key: pass it on, but for two rows
-                done = len(k) - 2
-                yield t.slice(0, done)
-            held = t.slice(done)
-        if held is not None and held.num_rows > 1:
-            yield held
-
-    out: list[dict] = []
-    for rows, part, first, last in _runs(candidates(), ["key"], CHUNK):
-        members = []
-        for r in rows:
-            if members and members[-1]["sig"] == r["sig"]:
-                members[-1]["pos"] = min(members[-1]["pos"], r["pos"])
-            else:
-                members.append(r)
-        if first and last and len(members) < 2:
+    """Members of keys that two sets or more have, in chunks; input is sorted by key, n, sig, pos."""
+    open_key, rank0, last = None, 0, None  # of a key that is passed on in pieces
+    for t, goes_on in _whole_runs(batches, ["key"], 8 * CHUNK):
+        key, sig = t.column(0).to_numpy(), _bytes_of(t.column(1), 16)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]).any(axis=1)
+        if open_key is not None and key[0] == open_key and (sig[0] == last).all():
+            new[0] = False
+        t, key, sig = t.filter(pa.array(new)), key[new], sig[new]
+        if not len(key):
             continue
-        cut = not (first and last)
-        out += [{"key": r["key"], "chunk": part, "cut": cut, "sig": r["sig"], "n": r["n"], "pos": r["pos"]} for r in members]
-        if len(out) >= 4096:
-            yield emit(out)
-            out = []
-    if out:
-        yield emit(out)
+        first = _starts(t, ["key"])
+        size = np.diff(np.r_[first, len(key)])
+        rank = np.arange(len(key)) - np.repeat(first, size)
+        cut = np.repeat(size > CHUNK, size)
+        many = np.repeat(size > 1, size)
+        if goes_on or key[0] == open_key:  # a piece: chunk numbers follow the piece before
+            piece = key == key[0]
+            rank[piece] += rank0 if key[0] == open_key else 0
+            cut[piece] = many[piece] = True
+            rank0 = int(rank[piece][-1]) + 1
+        open_key, last = (int(key[-1]), sig[-1].copy()) if goes_on else (None, None)
+        rank0 = rank0 if goes_on else 0
+        yield pa.RecordBatch.from_arrays(
+            [t.column(0), pa.array((rank // CHUNK).astype(np.int32)), pa.array(cut),
+             pa.array(np.repeat(size, size).astype(np.int32)), t.column(1), t.column(2), t.column(3)],
+            names=["key", "chunk", "cut", "size", "sig", "n", "pos"]).filter(pa.array(many))
 
 
 PAIR_SCHEMA = "a binary, b binary"
 
 
 class Members:
-    """One unit of work as arrays."""
+    """Rows of units of work as arrays."""
 
-    def __init__(self, rows: list[dict]):
-        self.sig = [r["sig"] for r in rows]
-        numbers: dict[bytes, int] = {}
-        self.label = np.array([numbers.setdefault(r["label"], len(numbers)) for r in rows], np.int64)
-        self.n = np.array([r["n"] for r in rows], np.int64)
-        self.reach = self.n - np.array([r["pos"] for r in rows], np.int64)
-        self.bits = np.frombuffer(b"".join(r["bits"] for r in rows), U).reshape(len(rows), BITMAP_WORDS)
-        self.side = np.array([r["side"] for r in rows], np.int8)
+    def __init__(self, t: pa.RecordBatch):
+        col = lambda c: t.column(t.schema.get_field_index(c))
+        self.sig = np.ascontiguousarray(_bytes_of(col("sig"), 16)).view(">u8")
+        self.label = np.ascontiguousarray(_bytes_of(col("label"), 16)).view(U)
+        self.n = col("n").to_numpy().astype(np.int64)
+        self.reach = self.n - col("pos").to_numpy()
+        self.bits = np.ascontiguousarray(_bytes_of(col("bits"), 8 * BITMAP_WORDS)).view(U)
+        self.side = col("side").to_numpy()
 
     def possible(self, i: np.ndarray, j: np.ndarray, t: tuple[int, int]) -> np.ndarray:
-        """Matrix of the pairs i x j that the bounds admit."""
+        """Which pairs (i, j) the length, position and bitmap bounds admit."""
         num, den = t
-        total = self.n[i][:, None] + self.n[j][None, :]
+        total = self.n[i] + self.n[j]
         need = -(-num * total // (num + den))
-        ok = np.minimum(self.reach[i][:, None], self.reach[j][None, :]) >= need
-        x, y = np.nonzero(ok)
-        if len(x):
-            differ = np.bitwise_count(self.bits[i[x]] ^ self.bits[j[y]]).sum(axis=1, dtype=np.int64)
-            ok[x, y] = differ <= total[x, y] - 2 * need[x, y]
+        ok = (np.minimum(self.reach[i], self.reach[j]) >= need) & (self.sig[i] != self.sig[j]).any(axis=1)
+        k = np.flatnonzero(ok)
+        differ = np.bitwise_count(self.bits[i[k]] ^ self.bits[j[k]]).sum(axis=1, dtype=np.int64)
+        ok[k] = differ <= total[k] - 2 * need[k]
         return ok
 
 
 def compare_units(t: tuple[int, int], first_round: bool):
-    """Pairs to verify.  First round: each member with hubs, and members that pass with anyone as (sig, null).
+    """Pairs to verify.
 
-    Second round: all pairs whose labels differ, in units that the hubs only sampled.
+    First round: all pairs of small units; in a larger one, each member with the
+    hubs, or else with the first member that passes, so that every node that has
+    a possible partner is in a pair.  Second round: pairs with different labels.
     """
-    def pairs_of(m: Members) -> Iterator[tuple[bytes, bytes | None]]:
-        size = len(m.sig)
-        every = np.arange(size)
-        across = m.side.any()  # a pair of chunks: left against right only
-        small = size <= ALL_PAIRS
-        if not first_round and (small or len(np.unique(m.label)) < 2):
-            return
-        order = np.argsort(m.n, kind="stable")
-        hubs = set(order[np.linspace(0, size - 1, HUBS + 2).astype(int)[1:-1]].tolist())
-        alive = np.zeros(size, bool)
-        for lo in range(0, size, 128):
-            i = every[lo:lo + 128]
-            ok = m.possible(i, every, t)
-            ok &= every[None, :] > i[:, None]
+    def large(m: Members, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        every = np.arange(lo, hi)
+        across = m.side[lo:hi].any()  # a pair of chunks: left against right only
+        hubs = np.isin(every, every[np.argsort(m.sig[lo:hi, 0], kind="stable")[:HUBS]])  # alike in all buckets of a group
+        met = np.zeros(hi - lo, bool)
+        partner = np.full(hi - lo, -1, np.int64)
+        for at in range(lo, hi, 128):
+            rows = every[at - lo:at - lo + 128]
+            i, j = np.repeat(rows, hi - lo), np.tile(every, len(rows))
+            k = i < j
             if across:
-                ok &= m.side[i][:, None] != m.side[None, :]
+                k &= m.side[i] != m.side[j]
             if not first_round:
-                ok &= m.label[i][:, None] != m.label[None, :]
-            x, y = np.nonzero(ok)
-            alive[i[x]] = alive[y] = True
-            for a, b in zip(i[x].tolist(), y.tolist()):
-                if small or not first_round or a in hubs or b in hubs:
-                    p, q = m.sig[a], m.sig[b]
-                    yield (p, q) if p < q else (q, p)
-        if first_round and not small:
-            for k in np.flatnonzero(alive):
-                yield m.sig[k], None
+                k &= (m.label[i] != m.label[j]).any(axis=1)
+            i, j = i[k], j[k]
+            k = m.possible(i, j, t)
+            i, j = i[k], j[k]
+            if first_round:
+                k = hubs[i - lo] | hubs[j - lo]
+                met[i[k] - lo] = met[j[k] - lo] = True
+                partner[j - lo] = np.where(partner[j - lo] < 0, i, partner[j - lo])
+                partner[i - lo] = np.where(partner[i - lo] < 0, j, partner[i - lo])
+                i, j = i[k], j[k]
+            yield i, j
+        if first_round:
+            alone = np.flatnonzero(~met & (partner >= 0))
+            yield alone + lo, partner[alone]
+
+    def pairs(m: Members, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for s in range(2, ALL_PAIRS + 1) if first_round else ():
+            g = first[size == s]
+            x, y = np.triu_indices(s, 1)
+            i, j = (g[:, None] + x).ravel(), (g[:, None] + y).ravel()
+            k = m.possible(i, j, t)
+            k[k] = (m.side[i[k]] != m.side[j[k]]) | (m.side[i[k]] == 0)  # right against right is another unit's work
+            yield i[k], j[k]
+        for lo, n in zip(first[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist()):
+            if first_round or (m.label[lo:lo + n] != m.label[lo]).any():
+                yield from large(m, lo, lo + n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict = {}  # pairs of near-copies turn up under many keys of a task
+        held, rows = [], 0
 
         def emit():
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.binary()),
-                                               pa.array([p[1] for p in out], pa.binary())], names=["a", "b"])
-
-        for rows, _, _, _ in _runs(batches, ["key", "c1", "c2"], 1 << 30):  # a unit has two chunks at most
-            seen, members = set(), []
-            for r in rows:
-                if (r["sig"], r["side"]) not in seen:
-                    seen.add((r["sig"], r["side"]))
-                    members.append(r)
-            if len(members) > 1:
-                out.update(dict.fromkeys(pairs_of(Members(members))))
-            if len(out) > 100_000:
+            p = np.concatenate(held)
+            swap = (p[:, 0] > p[:, 2]) | ((p[:, 0] == p[:, 2]) & (p[:, 1] > p[:, 3]))
+            p[swap] = p[swap][:, [2, 3, 0, 1]]
+            p = np.unique(p, axis=0).astype(">u8")  # pairs of near copies turn up under many keys of a task
+            a, b = np.ascontiguousarray(p[:, :2]), np.ascontiguousarray(p[:, 2:])
+            return pa.RecordBatch.from_arrays([_fixed(a.tobytes(), 16, len(p)), _fixed(b.tobytes(), 16, len(p))], names=["a", "b"])
+
+        for batch, _ in _whole_runs(batches, ["key", "c1", "c2"], 1 << 30):  # a unit has two chunks at most
+            m = Members(batch)
+            first = _starts(batch, ["key", "c1", "c2"])
+            for i, j in pairs(m, first, np.diff(np.r_[first, batch.num_rows])):
+                held.append(np.hstack([m.sig[i], m.sig[j]]).astype(U))
+                rows += len(i)
+            if rows > 200_000:
                 yield emit()
-                out.clear()
-        if out:
+                held, rows = [], 0
+        if rows:
             yield emit()
     return run
 
@@ -344,27 +361,87 @@ def bucket_units(buckets: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> Da
             .select("key", "c1", "c2", "side", "sig", "n", "pos", "bits", "label"))
 
 
-SET_SCHEMA = "sig binary, tokens array<long>"
+SET_SCHEMA = "sig binary, tokens array<long>, parity binary"
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each cell of ``FILTER_BITS`` that an id falls in; null ids use cell 0.
+
+    Its size is fixed.  Where there are too many ids for it, more rows pass and
+    more sets are written; what is verified stays the same.
+    """
+    cell = F.coalesce(F.pmod("_rep", F.lit(FILTER_BITS)), F.lit(0)).cast("long")
+    words = (ids.select(cell.alias("c")).groupBy(F.floor(F.col("c") / 64).cast("int").alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("v")).toPandas())
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["v"].to_numpy()
+    return out.view(U)
+
+
+def wide_parity(tokens: np.ndarray) -> bytes:
+    """Parity of the tokens by their low bits, in 4 to 8 cells a token: a bound close to the symmetric difference."""
+    cells = 1 << max(6, int(4 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def parity_difference(a: bytes, b: bytes) -> int:
+    """Lower bound of the symmetric difference; the longer parity is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
-def token_sets(words: int):
+def within_bound(t: tuple[int, int]):
+    """Of pairs with sizes and parities, those that may reach the threshold."""
+    num, den = t
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in row_slices(batches, "text"):
+        for b in batches:
+            total = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            most = total - 2 * -(-num * total // (num + den))
+            ok = [parity_difference(x.as_py(), y.as_py()) <= m for x, y, m in zip(b.column(4), b.column(5), most.tolist())]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+    return run
+
+
+def token_sets(words: int, wanted: np.ndarray):
+    """Sets of the documents whose id passes the filter."""
+    def passing(batches):
+        for b in batches:
+            cell = np.array([0 if x is None else x % FILTER_BITS for x in b.column(0).to_pylist()], np.int64)
+            yield b.filter(pa.array((wanted[cell >> 6] >> (cell & 63).astype(U) & U(1)).astype(bool)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in row_slices(passing(batches), "text"):
             sets = [s for s in (shingles(x, words) for x in _texts(b)) if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sig", "tokens"])
+                 pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                 pa.array([wide_parity(s) for s in sets], pa.binary())], names=["sig", "tokens", "parity"])
     return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Edges (u, v) among ``pairs`` whose sets reach the threshold, exactly."""
+    """Edges (u, v) among ``pairs`` whose sets reach the threshold, exactly.
+
+    Parities, a sixteenth of the sets' bytes, meet first; whole sets are moved
+    only for pairs that they leave possible.
+    """
     num, den = t
+    left = sets.select(F.col("sig").alias("a"), F.size("tokens").alias("na"), F.col("parity").alias("pa"))
+    right = sets.select(F.col("sig").alias("b"), F.size("tokens").alias("nb"), F.col("parity").alias("pb"))
+    pairs = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
+                   .mapInArrow(within_bound(t), PAIR_SCHEMA).distinct(), "shingle-possible")
     a = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     total = (F.size("x") + F.size("y")).cast("long")
-    return pairs.join(a, "a").join(b, "b").where(shared * (num + den) >= total * num).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return (pairs.join(a, "a").join(b, "b").where(shared * (num + den) >= total * num)
+            .select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -389,22 +466,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tupl
     o = np.argsort(tokens)
     entries = texts.select("text").mapInArrow(index_documents(words, threshold, tokens[o], rank[o], max(combo_rank, 1)),
                                               "key long, sig binary, n int, pos int")
-    buckets = stored(entries.repartition("key").sortWithinPartitions("key", "n", "sig")
+    buckets = stored(entries.repartition("key").sortWithinPartitions("key", "n", "sig", "pos")
                      .mapInArrow(shared_buckets, BUCKET_SCHEMA), "shingle-buckets")
 
     units = bucket_units(buckets, nodes.select("sig", "bits", F.col("sig").alias("label")), threshold)
     first = stored(units.mapInArrow(compare_units(threshold, True), PAIR_SCHEMA).distinct(), "shingle-pairs")
-    alive = first.select(F.explode(F.array("a", "b")).alias("sig")).where("sig is not null").distinct()
-    ids = stored(alive.join(nodes, "sig").select(F.col("doc_id").alias("_rep")).distinct(), "shingle-reps")
-    sets = stored(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-                  .mapInArrow(token_sets(words), SET_SCHEMA)
-                  .groupBy("sig").agg(F.first("tokens").alias("tokens")), "shingle-sets")
+    alive = first.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = id_filter(alive.join(nodes, "sig").select(F.col("doc_id").alias("_rep")))
+    sets = stored(texts.mapInArrow(token_sets(words, wanted), SET_SCHEMA), "shingle-sets")
 
-    links = stored(verified(first.where("b is not null"), sets, threshold), "shingle-links")
+    links = stored(verified(first, sets, threshold), "shingle-links")
     roots = components(links)
     labels = nodes.select("sig", "bits").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(
         "sig", "bits", F.coalesce("root", "sig").alias("label"))
-    second = (bucket_units(buckets, labels, threshold).mapInArrow(compare_units(threshold, False), PAIR_SCHEMA).distinct())
+    second = (bucket_units(buckets.where(F.col("cut") | (F.col("size") > ALL_PAIRS)), labels, threshold).mapInArrow(compare_units(threshold, False), PAIR_SCHEMA).distinct())
     more = stored(verified(second, sets, threshold), "shingle-links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
