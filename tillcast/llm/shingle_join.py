@@ -40,7 +40,7 @@ from tillcast.llm.registry import query
 SHINGLE_WORDS = 5
 THRESHOLD = (80, 100)
 
-SLAB_TOKENS = 2 << 20    # tokens whose repeats are counted together while looking for frequent ones
+SLAB_TOKENS = 1 << 20    # tokens whose repeats are counted together while looking for frequent ones
 SLAB_REPEATS = 4         # a token this often in one slab is reported
 FREQUENT_TOKENS = 1 << 17  # bound of the frequent-token list, which every task gets
 COMBO_SHARE = 16         # the class with combinations: in a 16th of the nodes or more
@@ -127,7 +127,7 @@ def scan_documents(words: int):
 
 
 def index_documents(words: int, t: tuple[int, int], tokens: np.ndarray, rank: np.ndarray, combo_rank: int):
-    """Prefix entries (key, sig, n, pos) of each distinct set that a task meets.
+    """Prefix entries (key, id, n, pos) of each distinct set that a task meets; id is the first half of its digest.
 
     ``tokens`` are the frequent tokens, sorted, with their rank from 1; those of
     rank ``combo_rank`` and above form the class that is indexed by combinations.
@@ -156,7 +156,7 @@ def index_documents(words: int, t: tuple[int, int], tokens: np.ndarray, rank: np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in row_slices(batches, "text"):
-            keys, sigs, ns, places = [], [], [], []
+            keys, ids, ns, places = [], [], [], []
             for text in _texts(b):
                 s = shingles(text, words)
                 if not len(s) or (sig := xxhash.xxh3_128_digest(s.tobytes())) in seen:
@@ -167,17 +167,17 @@ def index_documents(words: int, t: tuple[int, int], tokens: np.ndarray, rank: np
                 n, k, p = entries(s)
                 keys.append(k)
                 places.append(p)
-                sigs.append(sig * len(k))
+                ids.append(np.full(len(k), int.from_bytes(sig[:8], "big", signed=True), np.int64))
                 ns.append(np.full(len(k), n, np.int32))
             if keys:
                 k = np.concatenate(keys)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.view(np.int64)), _fixed(b"".join(sigs), 16, len(k)), pa.array(np.concatenate(ns)),
-                     pa.array(np.concatenate(places).astype(np.int32))], names=["key", "sig", "n", "pos"])
+                    [pa.array(k.view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(ns)),
+                     pa.array(np.concatenate(places).astype(np.int32))], names=["key", "id", "n", "pos"])
     return run
 
 
-BUCKET_SCHEMA = "key long, chunk int, cut boolean, size int, sig binary, n int, pos int"
+BUCKET_SCHEMA = "key long, chunk int, cut boolean, size int, id long, n int, pos int"
 
 
 def _bytes_of(col: pa.Array, width: int) -> np.ndarray:
@@ -216,15 +216,15 @@ def _starts(t: pa.RecordBatch, keys: list[str]) -> np.ndarray:
 
 
 def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of keys that two sets or more have, in chunks; input is sorted by key, n, sig, pos."""
+    """Members of keys that two sets or more have, in chunks; input is sorted by key, n, id, pos."""
     open_key, rank0, last = None, 0, None  # of a key that is passed on in pieces
     for t, goes_on in _whole_runs(batches, ["key"], 8 * CHUNK):
-        key, sig = t.column(0).to_numpy(), _bytes_of(t.column(1), 16)
+        key, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
         new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sig[1:] != sig[:-1]).any(axis=1)
-        if open_key is not None and key[0] == open_key and (sig[0] == last).all():
+        new[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        if open_key is not None and key[0] == open_key and ids[0] == last:
             new[0] = False
-        t, key, sig = t.filter(pa.array(new)), key[new], sig[new]
+        t, key, ids = t.filter(pa.array(new)), key[new], ids[new]
         if not len(key):
             continue
         first = _starts(t, ["key"])
@@ -237,12 +237,12 @@ def shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rank[piece] += rank0 if key[0] == open_key else 0
             cut[piece] = many[piece] = True
             rank0 = int(rank[piece][-1]) + 1
-        open_key, last = (int(key[-1]), sig[-1].copy()) if goes_on else (None, None)
+        open_key, last = (int(key[-1]), int(ids[-1])) if goes_on else (None, None)
         rank0 = rank0 if goes_on else 0
         yield pa.RecordBatch.from_arrays(
             [t.column(0), pa.array((rank // CHUNK).astype(np.int32)), pa.array(cut),
              pa.array(np.repeat(size, size).astype(np.int32)), t.column(1), t.column(2), t.column(3)],
-            names=["key", "chunk", "cut", "size", "sig", "n", "pos"]).filter(pa.array(many))
+            names=["key", "chunk", "cut", "size", "id", "n", "pos"]).filter(pa.array(many))
 
 
 PAIR_SCHEMA = "a binary, b binary"
@@ -345,9 +345,12 @@ def compare_units(t: tuple[int, int], first_round: bool):
 
 
 def bucket_units(buckets: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Members under the units (key, c1, c2) that compare them; nodes has sig, bits, label."""
+    """Members under the units (key, c1, c2) that compare them; nodes has sig, bits, label.
+
+    Should two nodes share the half digest that the index holds, both take part.
+    """
     num, den = t
-    whole = buckets.where("not cut").select("key", F.lit(0).alias("c1"), F.lit(0).alias("c2"), F.lit(0).alias("side"), "sig", "n", "pos")
+    whole = buckets.where("not cut").select("key", F.lit(0).alias("c1"), F.lit(0).alias("c2"), F.lit(0).alias("side"), "id", "n", "pos")
     cut = buckets.where("cut")
     span = cut.groupBy("key", "chunk").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     left = span.select("key", F.col("chunk").alias("c1"), F.col("most").alias("most1"))
@@ -355,8 +358,9 @@ def bucket_units(buckets: DataFrame, nodes: DataFrame, t: tuple[int, int]) -> Da
     units = left.join(right, "key").where((F.col("c1") <= F.col("c2")) & (F.col("least2") * num <= F.col("most1") * den)).select("key", "c1", "c2")
     parts = (units.select("key", "c1", "c2", F.col("c1").alias("chunk"), F.lit(0).alias("side"))
              .unionByName(units.where("c1 < c2").select("key", "c1", "c2", F.col("c2").alias("chunk"), F.lit(1).alias("side"))))
-    spread = cut.join(parts, ["key", "chunk"]).select("key", "c1", "c2", "side", "sig", "n", "pos")
-    return (whole.unionByName(spread).join(nodes, "sig")
+    spread = cut.join(parts, ["key", "chunk"]).select("key", "c1", "c2", "side", "id", "n", "pos")
+    half = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
+    return (whole.unionByName(spread).join(nodes.withColumn("id", half), "id")
             .repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "side", "n", "sig")
             .select("key", "c1", "c2", "side", "sig", "n", "pos", "bits", "label"))
 
@@ -465,8 +469,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tupl
     combo_rank = len(tokens) + 1 - int((top["cnt"].to_numpy() * COMBO_SHARE >= nodes.count()).sum())
     o = np.argsort(tokens)
     entries = texts.select("text").mapInArrow(index_documents(words, threshold, tokens[o], rank[o], max(combo_rank, 1)),
-                                              "key long, sig binary, n int, pos int")
-    buckets = stored(entries.repartition("key").sortWithinPartitions("key", "n", "sig", "pos")
+                                              "key long, id long, n int, pos int")
+    buckets = stored(entries.repartition("key").sortWithinPartitions("key", "n", "id", "pos")
                      .mapInArrow(shared_buckets, BUCKET_SCHEMA), "shingle-buckets")
 
     units = bucket_units(buckets, nodes.select("sig", "bits", F.col("sig").alias("label")), threshold)
