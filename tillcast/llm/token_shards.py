@@ -193,7 +193,8 @@ def write_training_order(docs: DataFrame, folder: str, ranks: str, seq_len: int
     first = parts.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_seq = -(-total // seq_len)
-    pieces = (encoded.join(first, "part").select((F.col("first") + F.col("at")).alias("start"), "ids")
+    # broadcast: one row of two numbers per task that encoded
+    pieces = (encoded.join(F.broadcast(first), "part").select((F.col("first") + F.col("at")).alias("start"), "ids")
               .mapInArrow(cut_sequences(n_seq, seq_len, key), "slot long, seq long, offset int, ids binary"))
     n_shards = max(1, -(-n_seq // shard_slots))
     ranged = pieces.repartitionById(n_shards, F.floor(F.col("slot") / shard_slots).cast("int"))
