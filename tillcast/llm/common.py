@@ -22,13 +22,20 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once per Spark context.
 
     Functions that run in tasks are pickled by reference, so executors must be
     able to import them; this is what ``spark-submit --py-files`` would do.
+    Unless the session says otherwise, Arrow batches get 2,000 rows: documents
+    are long, and a batch is held by the JVM and by Python at the same time.
     """
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS, "-1") == "-1":  # not set
+        spark.conf.set(ARROW_ROWS, "2000")
     if getattr(sc, "_tillcast_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -63,8 +70,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int = 512,
-               max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def row_slices(batches: Iterator[pa.RecordBatch], column: str, max_rows: int = 256,
+               max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of one slice stay near ``max_bytes``."""
     for b in batches:
         i, n = 0, b.num_rows

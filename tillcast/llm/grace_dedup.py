@@ -32,8 +32,8 @@ from tillcast.llm.common import SPACE, SPACES, row_slices, strings, table, whole
 from tillcast.llm.registry import query
 
 N_SALTS = 256           # members of one text are joined in so many parts
-LOCAL_BYTES = 24 << 20  # contents that a map task holds while it merges its own copies
-TABLE_BYTES = 64 << 20  # contents that one bucket may hold before it spills
+LOCAL_BYTES = 16 << 20  # contents that a map task holds while it merges its own copies
+TABLE_BYTES = 32 << 20  # contents that one bucket may hold before it spills
 FAN_OUT_BITS = 4        # each level of spilling uses so many bits: 16 files
 
 REP_SCHEMA = "hash long, content binary, n long, best_len long, best_id long, salts array<int>"
@@ -54,7 +54,7 @@ class ContentTable:
 
     def __init__(self):
         self.slots = np.full(1024, -1, np.int64)
-        self.rows: list[list] = []  # hash, content, n, (length, id), salts as a bit set
+        self.rows: list[list] = []  # hash, content, n, (length, id), salts as a bit set or the best row
         self.bytes = 0
 
     def _slot(self, h: int, content: bytes) -> int:
@@ -67,17 +67,21 @@ class ContentTable:
             i = (i + 1) & mask
         return i
 
-    def add(self, h: int, content: bytes, n: int, best: tuple, salts: int) -> None:
+    def add(self, h: int, content: bytes, n: int, best: tuple, carried) -> None:
         i = self._slot(h, content)
         k = self.slots[i]
         if k >= 0:
             row = self.rows[k]
+            better = _better(row[3], best)
+            if isinstance(carried, int):
+                row[4] |= carried
+            elif better is best:
+                row[4] = carried
             row[2] += n
-            row[3] = _better(row[3], best)
-            row[4] |= salts
+            row[3] = better
             return
         self.slots[i] = len(self.rows)
-        self.rows.append([h, content, n, best, salts])
+        self.rows.append([h, content, n, best, carried])
         self.bytes += len(content) + 200
         if 2 * len(self.rows) > len(self.slots):
             self.slots = np.full(4 * len(self.slots), -1, np.int64)
@@ -218,21 +222,60 @@ def exact_dedup(docs: DataFrame, local_bytes: int = LOCAL_BYTES, table_bytes: in
         "text_sha256")
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    cols = docs.columns
-    found = exact_dedup(docs)
-    # what goes by its key, and keys whose rows are repeats of the keeper itself
-    verdict = (found.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-               .agg(F.max("kept").alias("_stays"), F.count("*").alias("_rows"))
-               .where(~F.col("_stays") | (F.col("_rows") > 1)))
-    sha = F.sha2(F.regexp_replace(whole_text(docs["text"]), f"{SPACE}+", ""), 256)
-    j = (docs.withColumn("_key", sha)
-         .join(verdict, (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_key") == F.col("_sha")), "left"))
-    once = j.where(F.col("_stays").isNull())
-    w = Window.partitionBy("_id", "_sha").orderBy(F.length("text").desc_nulls_last(), "text")
-    twins = j.where(F.col("_stays")).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return once.select(*cols).unionByName(twins.select(*cols))
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Records of the table for whole rows: the best row of a text is carried along."""
+    for b in batches:
+        for i in range(0, b.num_rows, 128):
+            for row in b.slice(i, 128).column(0).to_pylist():
+                text = row["text"] or ""
+                content = text.encode().translate(None, SPACES)
+                yield xxhash.xxh3_64_intdigest(content), content, 1, (len(text), row["doc_id"]), row
+
+
+def _row_batches(rows: list[list], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 128):
+        part = rows[i:i + 128]
+        yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in part], kind), pa.array([r[0] - (1 << 63) for r in part], pa.int64())],
+                                         names=["row", "hash"])
+
+
+def best_rows_local(kind: pa.DataType, local_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = ContentTable()
+        for r in _rows_of(batches):
+            held.add(*r)
+            if held.bytes > local_bytes // 2:  # a row holds its text once more
+                yield from _row_batches(held.rows, kind)
+                held = ContentTable()
+        yield from _row_batches(held.rows, kind)
+    return run
+
+
+def best_rows(kind: pa.DataType, table_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[list] = []
+        for row in _distinct(_rows_of(batches), 0, table_bytes // 2):
+            part.append(row)
+            if len(part) >= 512:
+                yield from _row_batches(part, kind)
+                part = []
+        yield from _row_batches(part, kind)
+    return run
+
+
+def drop_copies(docs: DataFrame, local_bytes: int = LOCAL_BYTES, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The documents that stay, with all their columns.
+
+    The same tables as in ``exact_dedup``, but the best row itself travels with
+    its text, so whole documents are shuffled once and nothing is joined.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    schema = StructType([StructField("row", docs.schema), StructField("hash", LongType())])
+    kind = to_arrow_schema(schema).field("row").type
+    reps = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(best_rows_local(kind, local_bytes), schema)
+    return reps.repartition("hash").mapInArrow(best_rows(kind, table_bytes), schema).select("row.*")
 
 
 SQL = r"""

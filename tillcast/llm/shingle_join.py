@@ -46,7 +46,7 @@ FREQUENT_TOKENS = 1 << 17  # bound of the frequent-token list, which every task
 COMBO_SHARE = 16         # the class with combinations: in a 16th of the nodes or more
 COMBO_TOKENS = 256
 CHUNK = 1024
-ALL_PAIRS = 12           # buckets up to this size are compared in full in the first round
+ALL_PAIRS = 4            # buckets up to this size are compared in full in the first round
 HUBS = 2
 BITMAP_WORDS = 8         # 512 bits
 FILTER_BITS = 1 << 24    # of the filter for documents whose sets are needed

@@ -169,7 +169,8 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     rem = F.round("target") - full * F.col("source_size")
     copies = (mixed.withColumn("_copies", (full + (F.col("start") < rem).cast("int")).cast("int"))
               .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("_copies").alias("_copies")))
-    return (docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(copies["_id"])
+    # a row per document: never one to broadcast
+    return (docs.join(copies.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(copies["_id"])
                       & docs["source"].cast("string").eqNullSafe(copies["_source"]))
             .where("_copies > 0")
             .withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies"))))

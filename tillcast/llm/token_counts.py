@@ -18,6 +18,7 @@ give their row; an empty table gives an empty result; other columns are not read
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ from tillcast.llm.registry import query
 CHUNK_CHARS = 1 << 15
 OVERLAP_CHARS = 1 << 9
 LIMIT = 1024
+THREADS = 2  # of the library, per Python worker
 
 
 @lru_cache(maxsize=4)
@@ -40,6 +42,7 @@ def load_tokenizer(path: str):
     if path.endswith(".model"):
         import sentencepiece
         return sentencepiece.SentencePieceProcessor(model_file=path)
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library starts its pool
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
