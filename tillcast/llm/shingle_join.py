@@ -440,6 +440,8 @@ def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame
     right = sets.select(F.col("sig").alias("b"), F.size("tokens").alias("nb"), F.col("parity").alias("pb"))
     pairs = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
                    .mapInArrow(within_bound(t), PAIR_SCHEMA).distinct(), "shingle-possible")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "shingle-ends")
+    sets = sets.join(ends, "sig", "left_semi")
     a = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
     b = sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")
