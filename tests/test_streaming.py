@@ -26,7 +26,7 @@ def test_late_rows_are_dropped_and_replay_is_idempotent(spark):
 
     def run(out, ck):
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src + "/*")
-        incremental.daily_demand_stream(stream, products, out, ck)
+        incremental.daily_demand_stream(stream, products, out, ck, late_after="2 days")
         return {(str(r["date"]), r["item_id"]): r["demand_qty"] for r in incremental.read_daily_demand(spark, out).collect()}
 
     out, ck = base + "/out", base + "/ck"

@@ -11,7 +11,9 @@ from tillcast.operators import demand, features, quantile, splits, upsert
 def test_upsert_patch_delete_reset_overlay(spark):
     t = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (3, "c", 30)], "id int, name string, qty int")
     u = spark.createDataFrame([(2, "B", 21), (4, "d", 40)], "id int, name string, qty int")
-    assert sorted(map(tuple, upsert.upsert(t, u, ["id"]).collect())) == [(1, "a", 10), (2, "B", 21), (3, "c", 30), (4, "d", 40)]
+    assert sorted(map(tuple, upsert.upsert(t, u, ["id"], [F.col("qty").desc()]).collect())) == [(1, "a", 10), (2, "B", 21), (3, "c", 30), (4, "d", 40)]
+    twice = u.unionByName(spark.createDataFrame([(2, "late", 99)], "id int, name string, qty int"))
+    assert [r["qty"] for r in upsert.upsert(t, twice, ["id"], [F.col("qty").desc()]).where("id = 2").collect()] == [99]
     p = upsert.patch(t, spark.createDataFrame([(3, 5)], "id int, qty int"), ["id"])
     assert sorted(map(tuple, p.collect())) == [(1, "a", 10), (2, "b", 20), (3, "c", 5)]
     d = upsert.delete_keys(t, spark.createDataFrame([(1,)], "id int"), ["id"])

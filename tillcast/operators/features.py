@@ -16,7 +16,8 @@ from tillcast import fixed
 
 
 def _item_window(item_col="item_id", date_col="date", shop_cols=()):
-    return Window.partitionBy(*shop_cols, item_col).orderBy(date_col)
+    items = (item_col,) if isinstance(item_col, str) else item_col
+    return Window.partitionBy(*shop_cols, *items).orderBy(date_col)
 
 
 def calendar_features(df: DataFrame, date_col="date") -> DataFrame:
@@ -56,7 +57,11 @@ def holiday_distance(df: DataFrame, *, date_col="date", flag_col="is_holiday",
     else:
         dates = df.select(*shop_cols, date_col).distinct()
         hol = holidays.select(F.col("date").alias(date_col)).distinct().withColumn("_h", F.lit(True))
-        cal = (dates.unionByName(hol.select(*[F.lit(None).alias(c) for c in shop_cols], date_col), allowMissingColumns=True)
+        # every shop sees every holiday: shops x calendar days, a table of dimensions
+        days = hol.select(date_col)
+        if shop_cols:
+            days = dates.select(*shop_cols).distinct().crossJoin(days)
+        cal = (dates.unionByName(days)
                .select(*shop_cols, date_col).distinct()
                .join(hol, date_col, "left").select(*shop_cols, date_col, F.coalesce("_h", F.lit(False)).alias("_hol")))
     order = Window.partitionBy(*shop_cols).orderBy(date_col)
@@ -68,8 +73,8 @@ def holiday_distance(df: DataFrame, *, date_col="date", flag_col="is_holiday",
         F.coalesce(F.datediff(nxt, F.col(date_col)), F.lit(fixed.NO_HOLIDAY_DISTANCE)).alias("days_to_holiday"),
         F.coalesce(F.datediff(F.col(date_col), prv), F.lit(fixed.NO_HOLIDAY_DISTANCE)).alias("days_since_holiday"),
     )
-    # the calendar has one row per distinct day: a proven size bound -> broadcast
-    return df.join(F.broadcast(cal), [*shop_cols, date_col], "left")
+    # without shops the calendar has one row per distinct day: a proven size bound -> broadcast
+    return df.join(cal if shop_cols else F.broadcast(cal), [*shop_cols, date_col], "left")
 
 
 def shop_total_lag(df: DataFrame, *, k: int = 7, shop_cols: tuple = (), strict: bool = True) -> DataFrame:
@@ -83,8 +88,8 @@ def shop_total_lag(df: DataFrame, *, k: int = 7, shop_cols: tuple = (), strict:
     if not strict:
         val = F.coalesce(val, F.lag("_tot", 1).over(o), F.lit(0.0))
     tot = tot.select(*shop_cols, "date", val.alias(f"shop_total_lag_{k}"))
-    # one row per (shop, day): bounded by the calendar -> broadcast
-    return df.join(F.broadcast(tot), [*shop_cols, "date"], "left")
+    # without shops, one row per day: bounded by the calendar -> broadcast
+    return df.join(tot if shop_cols else F.broadcast(tot), [*shop_cols, "date"], "left")
 
 
 def lag_features(df: DataFrame, lags=fixed.LAGS, *, target="demand_qty", item_col="item_id") -> DataFrame:
@@ -129,10 +134,11 @@ def create_features(df: DataFrame, *, strict: bool = True, shop_cols: tuple = ()
     data = event_features(data)
     data = holiday_distance(data, shop_cols=shop_cols, holidays=holidays)
     data = shop_total_lag(data, k=7, shop_cols=shop_cols, strict=strict)
-    data = lag_features(data)
-    data = rolling_features(data, strict=strict)
+    key = (*shop_cols, "item_id")
+    data = lag_features(data, item_col=key)
+    data = rolling_features(data, item_col=key, strict=strict)
     if not strict:
-        o = _item_window()
+        o = _item_window(key)
         exp_mean = F.avg("demand_qty").over(o.rowsBetween(Window.unboundedPreceding, -1))
         fills = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("roll_std_7", "roll_std_14")}
         for c in ("lag_1", "lag_7", "lag_14", "lag_28", "roll_mean_7", "roll_mean_14", "trend_28d",

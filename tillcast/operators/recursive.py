@@ -115,7 +115,7 @@ def recursive_forecast(models: QuantileModels, raw: DataFrame, feature_df: DataF
     c1 = const.select(F.struct("_cal", "as_of").alias("c")).scalar()
     s = state.withColumns({"_cal": c1["_cal"], "as_of": c1["as_of"]})
     q_hi = max(models.models)
-    q_lo = min(models.models)
+    q_lo = 0.5 if 0.5 in models.models else min(models.models)  # the path that feeds the history
 
     has_fx = {x: _has_field(const, x) for x in EXOG}
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillcast.session import cut_lineage
+
 ID_BLOCK_WIDTH = 1 << 20   # at most ~1M rows share one in-block window
 
 
@@ -53,7 +55,8 @@ def global_row_number(df: DataFrame, order_cols: list, out: str) -> DataFrame:
     Rows are range-partitioned by the order, numbered inside each partition,
     and shifted by the row counts of the earlier partitions (a tiny table).
     """
-    parts = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id())
+    # written once: both branches below must see the same partitions
+    parts = cut_lineage(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).withColumn("_pid", F.spark_partition_id()))
     local = parts.withColumn("_ln", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))      # one row per partition
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(

@@ -17,8 +17,12 @@ def dedupe_latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``updates`` replace target rows with the same key; others are added."""
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Rows of ``updates`` replace target rows with the same key; others are added.
+
+    Of updates that repeat a key, the first by ``order`` (the latest) wins.
+    """
+    updates = dedupe_latest(updates, keys, order)
     kept = target.join(updates.select(*keys).distinct(), keys, "left_anti")
     return kept.unionByName(updates.select(*target.columns))
 

@@ -71,7 +71,8 @@ def validate_inventory(rows: DataFrame, required: list[str]) -> DataFrame:
     return rows.withColumn("reject_reason", reason).withColumn("accepted", reason.isNull())
 
 
-def sort_page(df: DataFrame, keys: list, *, k: int, collation: str | None = None, text_cols=()) -> DataFrame:
-    """T5: one page of a sorted list; text keys can sort under a collation (e.g. 'UNICODE')."""
+def sort_page(df: DataFrame, keys: list, *, k: int | None = None, collation: str | None = None, text_cols=()) -> DataFrame:
+    """T5: a sorted list, whole or its first ``k`` rows; text keys can sort under a collation (e.g. 'UNICODE')."""
     ks = [F.collate(F.col(c), collation) if (collation and c in text_cols) else F.col(c) for c in keys]
-    return df.orderBy(*ks).limit(k)
+    out = df.orderBy(*ks)
+    return out if k is None else out.limit(k)

@@ -27,7 +27,7 @@ def q_forecast_upsert(spark, d):
     fc = tables.forecast_results(spark, d).select("target_date", "product", "predicted_qty", "forecast_period")
     target = fc.where(F.col("forecast_period") == 7)
     updates = fc.where((F.col("forecast_period") == 1) & (F.col("target_date") >= F.lit(A).cast("date")))
-    return upsert.upsert(target, updates, ["target_date", "product"])
+    return upsert.upsert(target, updates, ["target_date", "product"], [F.col("predicted_qty").desc()])
 
 
 _SQL_WEATHER_UPSERT = SQL_PIVOT.replace("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-16')") \
@@ -45,7 +45,7 @@ def q_weather_upsert(spark, d):
     ts = F.to_timestamp(F.concat("fcst_date", F.lit(" "), "fcst_time"), "yyyyMMdd HHmm")
     first = weather.weather_pivot(long.where(ts < F.lit("2024-01-16").cast("timestamp")))
     second = weather.weather_pivot(long.where(ts >= F.lit("2024-01-12").cast("timestamp")))
-    return upsert.upsert(first, second, ["region", "base_date", "base_time"])
+    return upsert.upsert(first, second, ["region", "base_date", "base_time"], [F.col("temperature").desc()])
 
 
 @query("forecast_overlay", f"""WITH {SQL_FORECASTS},

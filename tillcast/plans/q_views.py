@@ -82,10 +82,10 @@ def q_waste_validation(spark, d):
 
 
 @query("inventory_page", f"""WITH {SQL_STOCK}
-SELECT batch_id, product, stock_pct, status FROM stock ORDER BY stock_pct, product, batch_id LIMIT 20""", ops="T5 T7")
+SELECT batch_id, product, stock_pct, status FROM stock ORDER BY stock_pct, product, batch_id""", ops="T5 T7")
 def q_inventory_page(spark, d):
     st = _stock(spark, d).select("batch_id", "product", "stock_pct", "status")
-    return views.sort_page(st, ["stock_pct", "product", "batch_id"], k=20)
+    return views.sort_page(st, ["stock_pct", "product", "batch_id"], collation="ko", text_cols=("product",))
 
 
 @query("sequence_standardized", f"""WITH {SQL_DAILY},

@@ -40,7 +40,7 @@ def run_request(spark: SparkSession, *, sales: DataFrame, products: DataFrame, s
                          F.col("q50_daily").cast("double").alias("predicted_qty"),
                          F.lit(request_date).cast("date").alias("created_at"), F.lit(1).alias("forecast_period")))
     merged = upsert.upsert(stored.select("target_date", "product", "predicted_qty", "created_at", "forecast_period"),
-                           fresh, ["target_date", "product"])
+                           fresh, ["target_date", "product"], [F.col("predicted_qty").desc()])
     run_log = log.select(F.current_timestamp().alias("run_datetime"), "weather_factors", "event_factors",
                          "impact_summary", "weight_pct")
     return RequestResult(grid, merged, run_log)

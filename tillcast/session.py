@@ -50,10 +50,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = path or spark.conf.get("spark.checkpoint.dir")
     except Exception:  # not set in the SQL conf either
         pass
+    owner = spark.sparkContext.getCheckpointDir()
+    if not path and owner:  # the application has set one itself
+        return owner
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tillcast-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if owner is None:
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 

@@ -8,6 +8,7 @@ the job under ANSI mode.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,7 +157,10 @@ def candidate_files(spark: SparkSession, pattern: str, *, sample_marker: str = "
     """
     files = (spark.read.format("binaryFile").load(pattern)
              .select(F.col("path"), F.col("modificationTime").alias("modified"), F.col("length")))
-    files = files.dropDuplicates(["path"])                       # U5
+    # the part files of one written folder are one source, named by the folder
+    source = F.when(F.col("path").rlike(r"/part-[^/]*$"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
+    files = (files.dropDuplicates(["path"])                      # U5
+             .groupBy(source.alias("path")).agg(F.max("modified").alias("modified"), F.sum("length").alias("length")))
     o = Window.orderBy(F.lower("path").contains(sample_marker).cast("int"), F.col("modified").desc(), "path")
     return files.withColumn("rank", F.row_number().over(o))
 
@@ -179,6 +183,6 @@ def first_valid_source(spark: SparkSession, pattern: str, *, min_rows: int = 1,
                 skipped.append((path, "no valid rows"))
                 continue
             return df, path, skipped
-        except Exception as e:  # unsupported layout, unreadable file
+        except (AnalysisException, ValueError) as e:  # unsupported layout, unreadable file
             skipped.append((path, str(e).splitlines()[0][:200]))
     return None, None, skipped

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.operators import fefo, weather
-from tillcast.operators.upsert import dedupe_latest
 
 
 def _append_batch(df: DataFrame, batch_id: int, path: str) -> None:
@@ -49,30 +48,32 @@ def _watermark_before(spark: SparkSession, wm_path: str, batch_id: int, delay_s:
 
 
 def daily_demand_stream(lines: DataFrame, products: DataFrame, out_path: str, checkpoint: str, *,
-                        watermark: str = "2 days", available_now: bool = True):
+                        late_after: str | None = None, available_now: bool = True):
     """POS lines (ts, product_id, qty, amount, is_return) -> daily demand deltas per item.
 
-    Late-data rule (deterministic): a row whose event time is older than
-    (max event time of all earlier micro-batches - ``watermark``) is dropped.
+    Every row counts, however the input is cut into files or batches.  With
+    ``late_after`` a late-data rule holds (deterministic): a row whose event time is older than
+    (max event time of all earlier micro-batches - ``late_after``) is dropped.
     Spark's built-in watermark only promises that such rows *may* be
     dropped, and an update-mode aggregation that re-creates an evicted
     window would overwrite its total; here each batch writes sums (deltas)
     and the reader adds them, so any accepted row counts exactly once.
     The batch's max event time goes to a one-row-per-batch table.
     """
-    delay_s = _parse_delay(watermark)
+    delay_s = _parse_delay(late_after) if late_after else None
     wm_path = out_path.rstrip("/") + "_watermarks"
     ev = lines.withColumn("ts", F.col("ts").cast("timestamp")).where(~F.col("is_return"))
     j = ev.join(products.select("product_id", "item_id"), "product_id")
 
     def per_batch(df: DataFrame, batch_id: int):
         spark = df.sparkSession
-        wm = _watermark_before(spark, wm_path, batch_id, delay_s)
+        wm = _watermark_before(spark, wm_path, batch_id, delay_s) if late_after else None
         kept = df if wm is None else df.where(F.col("ts") >= F.lit(wm))
         delta = (kept.groupBy(F.to_date("ts").alias("date"), "item_id")
                      .agg(F.sum("qty").alias("demand_qty"), F.sum("amount").alias("sales_amount")))
         _append_batch(delta, batch_id, out_path)
-        _append_batch(df.agg(F.max("ts").alias("max_ts")), batch_id, wm_path)
+        if late_after:
+            _append_batch(df.agg(F.max("ts").alias("max_ts")), batch_id, wm_path)
 
     return _run(j, per_batch, checkpoint, available_now=available_now)
 
@@ -99,17 +100,14 @@ def read_batches_after_waste(spark: SparkSession, batches: DataFrame, path: str,
 
 
 def weather_stream(long_rows: DataFrame, out_path: str, checkpoint: str, *, available_now: bool = True):
-    """Forecast rows -> pivoted rows per micro-batch (A9), upserted by key at read time."""
+    """Forecast rows -> each batch's last value per key and category; pivoted (A9) at read time."""
     def per_batch(df: DataFrame, batch_id: int):
-        piv = weather.weather_pivot(df)
-        last_seq = df.groupBy(F.col("region"), F.col("fcst_date").alias("base_date"),
-                              F.col("fcst_time").alias("base_time")).agg(F.max("seq").alias("seq"))
-        _append_batch(piv.join(last_seq, ["region", "base_date", "base_time"]), batch_id, out_path)
+        last = df.groupBy("region", "fcst_date", "fcst_time", "category").agg(
+            F.max_by("fcst_value", "seq").alias("fcst_value"), F.max("seq").alias("seq"))
+        _append_batch(last, batch_id, out_path)
 
     return _run(long_rows, per_batch, checkpoint, available_now=available_now)
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
-    log = spark.read.parquet(path)
-    keys = ["region", "base_date", "base_time"]
-    return dedupe_latest(log, keys, [F.col("batch_id").desc(), F.col("seq").desc()]).drop("batch_id", "seq")
+    return weather.weather_pivot(spark.read.parquet(path))
