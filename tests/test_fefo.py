@@ -1,4 +1,4 @@
-"""FEFO operators against plain-Python loops (brute force) on random cases."""
+"""FEFO operators against cases worked by hand, invariants, and brute force."""
 
 import random
 
@@ -8,47 +8,43 @@ from tillcast.operators import fefo
 from tillcast.operators.running import exclusive_prefix_sum
 
 
-def loop_waste(lots, demands):
-    """Reference semantics: expire (days - day <= 0) then take earliest expiry first."""
-    work = sorted([[int(q), int(e)] for q, e in lots], key=lambda x: x[1])
-    waste = fulfilled = lost = 0
-    for day, dmd in enumerate(demands):
-        d = int(max(0, round(float(dmd))))
-        for w in work:
-            if w[0] > 0 and w[1] - day <= 0:
-                waste += w[0]
-                w[0] = 0
-        rem = d
-        for w in work:
-            if rem <= 0:
-                break
-            if w[0] <= 0:
-                continue
-            t = min(w[0], rem)
-            w[0] -= t
-            rem -= t
-            fulfilled += t
-        lost += max(rem, 0)
-    return waste, fulfilled, lost
-
-
-def test_fefo_expected_waste_matches_loop(spark):
+# worked by hand: (lots as (quantity, days to expiry), demand per day) -> (waste, fulfilled, lost)
+BY_HAND = [
+    ([], [1.0] * 7, (0, 0, 7)),
+    ([(10, 20)], [1.0] * 7, (0, 7, 0)),
+    ([(5, 2)], [1.0] * 7, (3, 2, 5)),                       # 2 sold on days 0 and 1, the rest expires on day 2
+    ([(4, 0), (6, 9)], [2.0] * 7, (4, 6, 8)),               # the first lot is out on day 0, before any sale
+    ([(3, 9), (3, 1)], [2.0] * 7, (1, 5, 9)),               # earliest expiry sells first: 2 of 3, then 1 expires
+    ([(-2, 5), (2, 5)], [0.5, 1.5, 2.5, 0.0, 0.0, 0.0, 0.0], (0, 2, 2)),  # halves round to even: 0, 2, 2
+    ([(8, -1)], [0.0] * 7, (8, 0, 0)),
+]
+
+
+def test_fefo_expected_waste_by_hand(spark):
+    paths = spark.createDataFrame([(i, d) for i, (_, d, _) in enumerate(BY_HAND)], "item_id int, path array<double>")
+    lots = spark.createDataFrame([(i, q, e) for i, (ls, _, _) in enumerate(BY_HAND) for q, e in ls], "item_id int, qty int, days_to_expire int")
+    got = {r["item_id"]: (r["expected_waste_qty"], r["expected_sales_fulfilled_qty"], r["expected_lost_sales_qty"])
+           for r in fefo.fefo_expected_waste(paths, lots, path_col="path", horizon=7).collect()}
+    assert [got[i] for i in range(len(BY_HAND))] == [w for _, _, w in BY_HAND]
+
+
+def test_fefo_expected_waste_invariants(spark):
     rnd = random.Random(11)
-    cases, lots_rows, paths = [], [], []
+    rows, lots, want = [], [], {}
     for item in range(150):
-        h = 7
-        lots = [(rnd.randint(-2, 20), rnd.randint(-1, 10)) for _ in range(rnd.randint(0, 6))]
-        dem = [rnd.choice([0.0, 0.5, 1.5, 2.5, rnd.random() * 12]) for _ in range(h)]
-        cases.append((item, loop_waste(lots, dem)))
-        lots_rows += [(item, q, e) for q, e in lots]
-        paths.append((item, dem))
-    p = spark.createDataFrame(paths, "item_id int, path array<double>")
-    lots = spark.createDataFrame(lots_rows, "item_id int, qty int, days_to_expire int")
-    got = {r["item_id"]: (r["expected_waste_qty"], r["expected_sales_fulfilled_qty"], r["expected_lost_sales_qty"])
-           for r in fefo.fefo_expected_waste(p, lots, path_col="path", horizon=7).collect()}
-    for item, exp in cases:
-        assert got[item] == exp, (item, got[item], exp)
-        w, f, l = exp
+        dem = [float(rnd.randint(0, 12)) for _ in range(7)]
+        own = [(rnd.randint(0, 20), rnd.randint(-1, 10)) for _ in range(rnd.randint(0, 6))]
+        rows.append((item, dem))
+        lots += [(item, q, e) for q, e in own]
+        want[item] = (sum(dem), sum(q for q, _ in own), sum(q for q, e in own if e <= 0), sum(q for q, e in own if e <= 6))
+    got = fefo.fefo_expected_waste(spark.createDataFrame(rows, "item_id int, path array<double>"),
+                                   spark.createDataFrame(lots, "item_id int, qty int, days_to_expire int"), path_col="path", horizon=7)
+    for r in got.collect():
+        demand, stock, dead, can_expire = want[r["item_id"]]
+        waste, sold, lost = r["expected_waste_qty"], r["expected_sales_fulfilled_qty"], r["expected_lost_sales_qty"]
+        assert sold + lost == demand                                # every demanded unit is sold or lost
+        assert dead <= waste <= can_expire and sold <= stock - dead  # only what expires in time is waste
+        assert waste + sold <= stock
 
 
 def loop_deduction(batches, waste):

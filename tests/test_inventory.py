@@ -1,4 +1,4 @@
-"""Replenishment maths against a plain-Python implementation (statistics.NormalDist)."""
+"""Replenishment maths against cases worked by hand and invariants."""
 
 import math
 import random
@@ -9,36 +9,36 @@ from pyspark.sql import functions as F
 from tillcast.operators import events, inventory
 
 
-def py_order(inv, q50, q95, lead, review, moq, margin, holding):
-    prot = max(1, int(lead) + int(review))
-    mu = q50 * prot
-    sigma = max(0.0, (q95 - q50) / 1.645) * math.sqrt(prot)
-    sl = margin / (margin + holding)
-    z = NormalDist().inv_cdf(min(max(sl, 1e-4), 0.9999))
-    target = max(0.0, mu + z * max(0.0, sigma))
-    raw = max(0.0, target - inv)
-    qty = 0 if raw <= 0 else int(math.ceil(raw / moq) * moq)
-    return prot, sl, target, qty
+COLS = ("current_inventory int, q50_daily double, q95_daily double, lead_time_days int, review_period_days int, moq int, "
+        "unit_margin double, unit_holding_cost double")
 
 
-def test_optimal_order_matches_python(spark):
+def test_optimal_order_by_hand(spark):
+    # equal margin and holding cost: service level 1/2, z = 0, so the target is q50 times the protection days
+    rows = [(0, 10.0, 20.0, 2, 2, 5, 100.0, 100.0), (38, 10.0, 20.0, 2, 2, 5, 100.0, 100.0), (40, 10.0, 20.0, 2, 2, 5, 100.0, 100.0),
+            (0, 3.0, 3.0, 0, 0, 10, 1500.0, 180.0), (90, 10.0, 10.0, 2, 2, 1, 50.0, 900.0)]
+    got = [(r["protection_days"], r["target_stock"], r["recommended_order_qty"]) for r in
+           inventory.optimal_order(spark.createDataFrame(rows, COLS).coalesce(1)).collect()]
+    assert got == [(4, 40.0, 40), (4, 40.0, 5), (4, 40.0, 0), (1, 3.0, 10), (4, 40.0, 0)]
+
+
+def test_optimal_order_invariants(spark):
     rnd = random.Random(2)
     rows = [(rnd.randint(0, 80), rnd.random() * 30, rnd.random() * 50, rnd.randint(0, 4), rnd.randint(0, 4),
              rnd.choice([1, 5, 10]), rnd.choice([100.0, 1500.0, 50.0]), rnd.choice([0.0, 180.0, 900.0])) for _ in range(300)]
-    df = spark.createDataFrame(rows, "current_inventory int, q50_daily double, q95_daily double, lead_time_days int, "
-                                     "review_period_days int, moq int, unit_margin double, unit_holding_cost double")
-    out = inventory.optimal_order(df).withColumn("_t", F.lit(0))
-    got = out.collect()
-    for r in got:
-        prot, sl, target, qty = py_order(r["current_inventory"], r["q50_daily"], r["q95_daily"], r["lead_time_days"],
-                                         r["review_period_days"], r["moq"], r["unit_margin"], r["unit_holding_cost"])
-        assert r["protection_days"] == prot
-        assert abs(r["service_level"] - sl) < 1e-12
-        assert abs(r["target_stock"] - round(target, 2)) <= 0.011
-        # the order may differ only when target - stock sits on a MOQ boundary within 1e-6
-        if r["recommended_order_qty"] != qty:
-            assert abs((target - r["current_inventory"]) / r["moq"] - round((target - r["current_inventory"]) / r["moq"])) < 1e-6
-        assert r["recommended_order_qty"] % r["moq"] == 0 and r["target_stock"] >= 0
+    for r in inventory.optimal_order(spark.createDataFrame(rows, COLS)).collect():
+        need = r["target_stock"] - r["current_inventory"]
+        order = r["recommended_order_qty"]
+        assert order % r["moq"] == 0 and r["target_stock"] >= 0
+        assert need - 0.01 <= order < max(need, 0) + r["moq"] + 0.01  # enough, and less than one pack too much
+        odds = r["service_level"] / (1 - r["service_level"]) if r["unit_holding_cost"] else None
+        assert odds is None or abs(odds - r["unit_margin"] / r["unit_holding_cost"]) < 1e-9 * odds
+        mean = r["q50_daily"] * r["protection_days"]
+        spread = r["q95_daily"] - r["q50_daily"]
+        if spread <= 0:
+            assert abs(r["target_stock"] - mean) <= 0.006            # no spread, no safety stock
+        elif r["unit_holding_cost"] in (0.0, 180.0) and r["unit_margin"] == 1500.0:
+            assert r["target_stock"] >= round(mean, 2)               # service above 1/2 adds stock
 
 
 def test_inverse_cdf_accuracy(spark):
@@ -61,29 +61,25 @@ def test_priority_and_invalid_costs(spark):
         assert "underage_cost" in str(e)
 
 
-def py_event(v, dist, main, ov, fit, dwell, pub=True):
-    if not pub:
-        return 0
-    s = 25 if v >= 3000 else 20 if v >= 1500 else 15 if v >= 700 else 10 if v >= 300 else 5 if v >= 100 else 0
-    d = 25 if dist <= 100 else 20 if dist <= 300 else 15 if dist <= 500 else 10 if dist <= 1000 else 5 if dist <= 2000 else 0
-    if main:
-        d = min(25, d + 5)
-    ov = min(max(ov, 0.0), 1.0)
-    t = 20 if ov >= 0.7 else 15 if ov >= 0.4 else 10 if ov >= 0.2 else 5 if ov > 0 else 0
-    f = round(min(max(fit, 0.0), 1.0) * 20)
-    w = 10 if dwell >= 4 else 7 if dwell >= 2 else 4 if dwell >= 1 else 1
-    return int(min(100, s + d + t + f + w))
+EVENTS = [
+    # visitors, metres, main road, overlap, fit, hours, public -> score
+    (9000, 50.0, False, 0.9, 1.0, 5.0, True, 100),   # 25 + 25 + 20 + 20 + 10
+    (9000, 50.0, True, 0.9, 1.0, 5.0, True, 100),    # the distance part stays at 25
+    (9000, 50.0, True, 0.9, 1.0, 5.0, False, 0),     # not public
+    (0, 5000.0, False, 0.0, 0.0, 0.0, True, 1),
+    (99, 2000.0, False, 0.1, 0.5, 1.0, True, 24),    # 0 + 5 + 5 + 10 + 4
+    (100, 2000.0, True, 0.2, 0.5, 2.0, True, 42),    # 5 + 10 + 10 + 10 + 7
+    (1500, 300.0, False, 0.4, -1.0, 0.0, True, 56),  # 20 + 20 + 15 + 0 + 1
+    (2999, 100.5, True, 1.5, 2.0, 4.0, True, 95),    # 20 + 25 + 20 + 20 + 10
+    (300, 1000.0, False, -0.5, 0.025, 0.0, True, 21),  # 10 + 10 + 0 + 0 + 1
+    (700, 500.0, False, 0.7, 0.075, 1.0, True, 56),  # 15 + 15 + 20 + 2 + 4
+]
 
 
-def test_event_score_matches_python(spark):
-    rnd = random.Random(4)
-    rows = [(rnd.choice([0, 99, 100, 299, 300, 700, 1500, 2999, 3000, 9000]), rnd.choice([0.0, 100.0, 100.5, 300.0, 2000.0, 5000.0]),
-             rnd.random() < 0.5, rnd.choice([-0.5, 0.0, 0.1, 0.2, 0.4, 0.7, 1.5]), rnd.choice([-1.0, 0.025, 0.075, 0.5, 2.0]),
-             rnd.choice([0.0, 1.0, 2.0, 4.0]), rnd.random() < 0.9) for _ in range(400)]
-    df = spark.createDataFrame(rows, "v int, d double, m boolean, o double, f double, w double, p boolean")
-    got = df.select("*", events.event_score("v", "d", "m", "o", "f", "w", "p").alias("s")).collect()
-    for r in got:
-        assert r["s"] == py_event(r["v"], r["d"], r["m"], r["o"], r["f"], r["w"], r["p"]), r
+def test_event_score_by_hand(spark):
+    df = spark.createDataFrame(EVENTS, "v int, d double, m boolean, o double, f double, w double, p boolean, want int")
+    for r in df.select("*", events.event_score("v", "d", "m", "o", "f", "w", "p").alias("s")).collect():
+        assert r["s"] == r["want"], r
 
 
 def test_naive_plan_matches_python_on_sf0001(spark):
@@ -100,10 +96,12 @@ def test_naive_plan_matches_python_on_sf0001(spark):
         q50 = sum(tail) / len(tail)
         sd = (sum((x - q50) ** 2 for x in tail) / (len(tail) - 1)) ** 0.5 if len(tail) > 1 else 0.0
         q95 = q50 * 1.15 if sd == 0 else max(q50, q50 + 1.645 * sd)
-        prot, sl, target, qty = py_order(hist[-1][3], q50, q95, 2, 2, 5, 1500.0, 180.0)
         p = plan[it]
         assert abs(p["q50_daily"] - round(q50, 2)) <= 0.0051 and abs(p["q95_daily"] - round(q95, 2)) <= 0.0051
-        assert abs(p["target_stock"] - round(target, 2)) <= 0.0101 and p["recommended_order_qty"] == qty
-        ratio = hist[-1][3] / round(target, 2) if target > 0 else None
-        want = "여유" if ratio is None else ("필수" if ratio < 0.3 else "권장" if ratio < 0.7 else "여유")
-        assert p["priority"] == want and p["protection_days"] == prot and abs(p["service_level"] - round(sl, 4)) < 1e-12
+        z = NormalDist().inv_cdf(1500 / 1680)            # margin 1500 against holding cost 180
+        target = 4 * q50 + z * 2 * (q95 - q50) / 1.645   # four protection days
+        assert abs(p["target_stock"] - target) <= 0.016 and p["protection_days"] == 4
+        assert abs(p["service_level"] - 1500 / 1680) <= 5e-5
+        assert p["recommended_order_qty"] == max(0, 5 * math.ceil((target - hist[-1][3]) / 5))
+        cover = hist[-1][3] / target
+        assert p["priority"] == ("필수" if cover < 0.3 else "권장" if cover < 0.7 else "여유")

@@ -31,14 +31,14 @@ class RunResult:
 
 
 def fit_and_evaluate(raw: DataFrame, *, test_days: int | None = None, params: dict | None = None,
-                     strict: bool = True) -> RunResult:
+                     strict: bool = True, allow_short_history: bool = False) -> RunResult:
     feat = features.create_features(raw, strict=strict)
     feat = feat.checkpoint(eager=True)                 # reused by training, scoring and forecasting
     if test_days is None:
-        n_days = feat.select("date").distinct().count()
-        test_days = splits.run_test_days(n_days)
+        # the short holdout and the fit on all rows belong to short histories only
+        test_days = splits.run_test_days(feat.select("date").distinct().count()) if allow_short_history else 28
     train, test = splits.train_test(feat, test_days=test_days)
-    if train.limit(1).count() == 0:                   # P8: empty train -> all rows, no test
+    if allow_short_history and train.limit(1).count() == 0:                   # P8: empty train -> all rows, no test
         train, test = feat, feat.where(F.lit(False))
     models = quantile.train_quantile_models(train, **(params or DEFAULT_PARAMS))
     pred = models.predict(test)
