@@ -202,6 +202,7 @@ def test_piece_odd_texts(text):
     _, tok, own = piece_codec.load(MODEL)
     ids = own.encode(text)
     assert tok.encode(text, add_special_tokens=False).ids == ids and tok.decode(ids) == own.decode(ids)
+    assert piece_codec.decode_ids([ids], MODEL) == [own.decode(ids)]
 
 
 # ------------------------------------------------------------------ link trust
