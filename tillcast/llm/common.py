@@ -59,14 +59,14 @@ def whole_text(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder, with these Parquet options, and read it back.
 
     It cuts the lineage: the written table outlives any executor, and, unlike a
     checkpoint, it keeps columnar pruning and true sizes for the planner.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

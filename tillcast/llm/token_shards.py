@@ -7,7 +7,8 @@ slot permute(i) without a table or a sort of the corpus.  Slots are cut into
 ranges, one shard each; a shard is a plain file of fixed-stride records, so slot
 k is at a known place and a reader may stop and resume anywhere.
 
-Tokens are shuffled once, by slot range.  Shards are written through the file
+Tokens are shuffled once, by slot range; what adjoining documents have in one
+sequence travels as one piece, compressed.  Shards are written through the file
 system of the output folder under an attempt's own name and then renamed, so a
 task that runs again, or twice, leaves the same file.
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,9 @@ KEY = 0x5EED
 ROUNDS = 6
 END_ID = 50256
 DTYPE = np.dtype("<u2")
+# ids between encoding and shards: written once and read once
+TOKEN_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+PIECE_LEVEL = 3
 
 _encoders: dict = {}
 
@@ -107,26 +112,45 @@ def encode_documents(path: str, end_id: int):
 
 
 def cut_sequences(n_seq: int, seq_len: int, key: int):
-    """Pieces (slot, seq, offset, ids) of documents at (start, ids)."""
+    """Pieces (slot, offset, ids) of documents at (start, ids); pieces that adjoin in one sequence are joined."""
     width = DTYPE.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ids = zstandard.ZstdCompressor(level=PIECE_LEVEL).compress
+        seqs, offsets, ids = [], [], []
+        held, seq, offset = bytearray(), -1, 0
+
+        def put():
+            seqs.append(seq)
+            offsets.append(offset)
+            ids.append(zip_ids(bytes(held)))
+
+        def out():
+            batch = pa.RecordBatch.from_arrays([pa.array(permute(np.array(seqs, np.int64), n_seq, key)), pa.array(offsets, pa.int32()),
+                                                pa.array(ids, pa.binary())], names=["slot", "offset", "ids"])
+            for x in (seqs, offsets, ids):
+                x.clear()
+            return batch
+
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                seqs, offsets, ids = [], [], []
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 for start, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     n, i = len(data) // width, 0
                     while i < n:
                         s, o = divmod(start + i, seq_len)
                         k = min(seq_len - o, n - i)
-                        seqs.append(s)
-                        offsets.append(o)
-                        ids.append(data[i * width:(i + k) * width])
+                        if s != seq or o != offset + len(held) // width:
+                            if held:
+                                put()
+                            held, seq, offset = bytearray(), s, o
+                        held += data[i * width:(i + k) * width]
                         i += k
-                seq = np.array(seqs, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(permute(seq, n_seq, key)), pa.array(seq), pa.array(offsets, pa.int32()),
-                                                  pa.array(ids, pa.binary())], names=["slot", "seq", "offset", "ids"])
+                if len(ids) >= 1024:
+                    yield out()
+        if held:
+            put()
+        yield out()
     return run
 
 
@@ -141,7 +165,7 @@ def write_shards(folder: str, seq_len: int, shard_slots: int, pad_id: int):
     def rows(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
-                yield from zip(*(b.slice(lo, 1024).column(i).to_pylist() for i in (0, 2, 3)))
+                yield from zip(*(b.slice(lo, 1024).column(i).to_pylist() for i in (0, 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -163,7 +187,8 @@ def write_shards(folder: str, seq_len: int, shard_slots: int, pad_id: int):
             store.move(name, final)
             done.append((shard, final, first, n, n * stride, digest.hexdigest()))
 
-        for s, o, ids in rows(batches):
+        unzip = zstandard.ZstdDecompressor().decompress
+        for s, ids in rows(batches):
             if slot is not None and s != slot:
                 put()
                 record = bytearray()
@@ -174,7 +199,7 @@ def write_shards(folder: str, seq_len: int, shard_slots: int, pad_id: int):
                 name = f"{root}/.shard-{shard:06d}-{uuid.uuid4().hex}"
                 out = store.open_output_stream(name)
             slot = s
-            record += ids
+            record += unzip(ids)
         if shard is not None:
             put()
             close()
@@ -188,14 +213,14 @@ def write_training_order(docs: DataFrame, folder: str, ranks: str, seq_len: int
                          key: int = KEY, end_id: int = END_ID) -> tuple[DataFrame, int, int]:
     """Writes the shards; returns their manifest, the number of sequences and the number of tokens."""
     encoded = stored(docs.select(whole_text().alias("text")).mapInArrow(encode_documents(ranks, end_id), "part int, at long, n long, ids binary"),
-                     "shard-tokens")
+                     "shard-tokens", **TOKEN_FILES)
     parts = encoded.groupBy("part").agg(F.sum("n").alias("n"))  # one row per task
     first = parts.select(F.col("part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_seq = -(-total // seq_len)
     # broadcast: one row of two numbers per task that encoded
     pieces = (encoded.join(F.broadcast(first), "part").select((F.col("first") + F.col("at")).alias("start"), "ids")
-              .mapInArrow(cut_sequences(n_seq, seq_len, key), "slot long, seq long, offset int, ids binary"))
+              .mapInArrow(cut_sequences(n_seq, seq_len, key), "slot long, offset int, ids binary"))
     n_shards = max(1, -(-n_seq // shard_slots))
     ranged = pieces.repartitionById(n_shards, F.floor(F.col("slot") / shard_slots).cast("int"))
     manifest = (ranged.sortWithinPartitions("slot", "offset")
