@@ -84,7 +84,7 @@ def test_request_flow(spark):
     products = spark.createDataFrame([("latte",), ("mocha",)], "name string")
     stored = spark.createDataFrame([(D(2024, 1, 8), "latte", 1.0, D(2024, 1, 1), 7), (D(2024, 1, 3), "latte", 2.0, D(2024, 1, 1), 7)],
                                    "target_date date, product string, predicted_qty double, created_at date, forecast_period int")
-    res = run_request(spark, sales=sales, products=products, stored=stored, request_date="2024-01-08",
+    res = run_request(spark, avg_qty=sales.groupBy(F.col("product_name").alias("name")).agg(F.avg("qty").alias("avg_qty")), products=products, stored=stored, request_date="2024-01-08",
                       weather_tags=["비"], event_tags=["지역 축제"], custom_input="마라톤 대회")
     log = res.run_log.first()
     assert log["weight_pct"] == 35 and log["event_factors"] == "지역 축제 | 자동인식: 야외행사(+15%)"

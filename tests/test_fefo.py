@@ -2,10 +2,11 @@
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillcast.operators import fefo
-from tillcast.operators.running import exclusive_prefix_sum
+from tillcast.operators.running import exclusive_prefix_sum, order_blocks
 
 
 # worked by hand: (lots as (quantity, days to expiry), demand per day) -> (waste, fulfilled, lost)
@@ -58,7 +59,7 @@ def loop_deduction(batches, waste):
     return out
 
 
-def test_fefo_deduction_matches_loop_with_small_blocks(spark, monkeypatch):
+def test_fefo_deduction_matches_loop_with_hot_product(spark):
     rnd = random.Random(5)
     batches = []
     for bid in range(600):
@@ -68,14 +69,6 @@ def test_fefo_deduction_matches_loop_with_small_blocks(spark, monkeypatch):
     b = spark.createDataFrame(batches, "batch_id long, product_id int, exp int, current_qty long") \
         .withColumn("expiration_date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("exp")))
     w = spark.createDataFrame(list(waste.items()), "product_id int, quantity long")
-    import tillcast.operators.running as running
-    monkeypatch.setattr(running, "ID_BLOCK_WIDTH", 16)
-    orig = running.exclusive_prefix_sum
-
-    def small_blocks(*a, **k):
-        k["id_block_width"] = 16
-        return orig(*a, **k)
-    monkeypatch.setattr(fefo, "exclusive_prefix_sum", small_blocks)
     got = {r["batch_id"]: r["new_qty"] for r in fefo.fefo_deduction(b, w).collect()}
     exp = loop_deduction(batches, waste)
     for bid, q in exp.items():
@@ -86,11 +79,25 @@ def test_fefo_deduction_matches_loop_with_small_blocks(spark, monkeypatch):
             assert got[bid] == qty
 
 
-def test_prefix_sum_blocks_equal_plain_window(spark):
-    rnd = random.Random(1)
-    rows = [(rnd.randint(0, 2), rnd.randint(0, 5), i, rnd.randint(0, 9)) for i in range(300)]
-    df = spark.createDataFrame(rows, "k int, c int, id long, v long")
-    a = exclusive_prefix_sum(df, keys=["k"], order=["c", "id"], value="v", out="p", coarse=["c"], unique_id="id",
-                             id_block_width=8)
-    b = exclusive_prefix_sum(df, keys=["k"], order=["c", "id"], value="v", out="p")
-    assert sorted(a.select("id", "p").collect()) == sorted(b.select("id", "p").collect())
+def test_prefix_sum_of_a_hot_key_is_cut_by_row_count(spark):
+    """A third of the rows on one key, ids up to 1e11, one date: blocks stay near an even share, sums are exact."""
+    n = 24_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(1 + F.col("id") % 50).cast("int").alias("k"), F.lit("2024-01-01").alias("c"),
+        (F.col("id") * 4_166_667).alias("id"), (F.col("id") % 7).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        blocks = order_blocks(df, ["k"], ["c", "id"]).groupBy("_blk").count().collect()
+        got = exclusive_prefix_sum(df, keys=["k"], order=["c", "id"], value="v", out="p")
+        wrong = got.withColumn("want", F.coalesce(F.sum("v").over(Window.partitionBy("k").orderBy("c", "id").rowsBetween(
+            Window.unboundedPreceding, -1)), F.lit(0))).where("p != want").count()
+        assert (got.count(), wrong) == (n, 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(blocks) == 8 and max(r["count"] for r in blocks) < 2 * n / 8
+
+
+def test_prefix_sum_keeps_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), (3, 1, 1)], "k int, id long, v long")
+    got = exclusive_prefix_sum(df, keys=["k"], order=["id"], value="v", out="p")
+    assert sorted((r["k"] is None, r["id"], r["p"]) for r in got.collect()) == [(False, 1, 0), (True, 1, 0), (True, 2, 5)]

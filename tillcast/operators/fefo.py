@@ -83,7 +83,7 @@ def fefo_deduction(batches: DataFrame, waste: DataFrame, *, product_col="product
     w = waste.groupBy(product_col).agg(F.sum(waste_qty_col).cast("long").alias("_w"))
     live = batches.where(F.col(qty_col) > 0)
     pref = exclusive_prefix_sum(live, keys=[product_col], order=[expiry_col, id_col, *(tiebreak or [])], value=qty_col,
-                                out="_prev", coarse=[expiry_col], unique_id=id_col)
+                                out="_prev")
     j = pref.join(w, product_col, "left")
     take = F.greatest(F.lit(0), F.least(F.col(qty_col), F.coalesce(F.col("_w"), F.lit(0)) - F.col("_prev")))
     live_out = j.withColumn("deducted", take.cast("long")).drop("_w", "_prev")

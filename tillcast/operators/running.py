@@ -2,10 +2,11 @@
 
 A plain ``sum().over(partitionBy(key).orderBy(...))`` puts every row of a key
 in one task; if one key holds a third of the rows, so does one task.  Here
-the order is cut into *blocks* (a coarse prefix of the ordering, plus a
-fixed-width range of a unique id), the sum is taken inside each block in
-parallel, and block offsets come from a much smaller per-key window over
-block totals.  Result = block offset + in-block running sum: exact.
+rows are range-partitioned by (key, order), so a hot key is cut into *blocks*
+by its number of rows, whatever its ids or dates are.  The sum is taken inside
+each block in parallel, and block offsets come from a per-key window over block
+totals, at most one row per key and partition.  Result = block offset +
+in-block running sum: exact.
 """
 
 from __future__ import annotations
@@ -15,38 +16,27 @@ from pyspark.sql import functions as F
 
 from tillcast.session import cut_lineage
 
-ID_BLOCK_WIDTH = 1 << 20   # at most ~1M rows share one in-block window
 
+def order_blocks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``_blk``: contiguous runs of the total order (keys, order) of about equal row counts.
 
-def exclusive_prefix_sum(df: DataFrame, *, keys: list[str], order: list[str], value: str,
-                         out: str = "prefix", coarse: list[str] | None = None,
-                         unique_id: str | None = None, id_block_width: int = ID_BLOCK_WIDTH) -> DataFrame:
-    """Sum of ``value`` over rows strictly before each row within ``keys``.
-
-    ``order`` must be a total order whose leading columns are ``coarse`` and
-    whose last column is ``unique_id`` (so id ranges are contiguous runs).
+    Written once: block sums and block offsets must see the same cuts.
     """
-    coarse = list(coarse or [])
-    block_cols = list(coarse)
-    tmp = df
-    if unique_id is not None:
-        tmp = tmp.withColumn("_idblk", F.floor(F.col(unique_id) / F.lit(id_block_width)))
-        block_cols.append("_idblk")
-    if not block_cols:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    # in-block exclusive running sum: partitions are (key, block), bounded in size
-    w_in = Window.partitionBy(*keys, *block_cols).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tmp = tmp.withColumn("_in", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
-    # block offsets: one row per (key, block)
-    blocks = tmp.groupBy(*keys, *block_cols).agg(F.sum(value).alias("_bt"))
-    w_blk = Window.partitionBy(*keys).orderBy(*block_cols).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_bt").over(w_blk), F.lit(0))).drop("_bt")
-    res = tmp.join(blocks, [*keys, *block_cols], "inner")
-    res = res.withColumn(out, F.col("_off") + F.col("_in")).drop("_off", "_in")
-    if unique_id is not None:
-        res = res.drop("_idblk")
-    return res
+    return cut_lineage(df.repartitionByRange(*keys, *order).withColumn("_blk", F.spark_partition_id()))
+
+
+def exclusive_prefix_sum(df: DataFrame, *, keys: list[str], order: list[str], value: str, out: str = "prefix") -> DataFrame:
+    """Sum of ``value`` over rows strictly before each row within ``keys``; ``order`` must be total."""
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = order_blocks(df, keys, order)
+    inside = rows.withColumn("_in", F.coalesce(F.sum(value).over(before("_blk", *keys).orderBy(*order)), F.lit(0)))
+    totals = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_blk").alias("_b")).agg(F.sum(value).alias("_bt"))
+    per_key = before(*[f"_k{i}" for i in range(len(keys))]).orderBy("_b")
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_bt").over(per_key), F.lit(0))).drop("_bt")
+    same = F.col("_blk") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return inside.join(offsets, same).select(*df.columns, (F.col("_off") + F.col("_in")).alias(out))
 
 
 def global_row_number(df: DataFrame, order_cols: list, out: str) -> DataFrame:

@@ -17,19 +17,21 @@ def order_view(orders: DataFrame) -> DataFrame:
                          F.coalesce("cost", F.lit(0.0)).alias("total_amount"))
 
 
-def run_log_view(runs: DataFrame, *, group: str = "region", order: str = "run_ts", value: str = "weight_pct") -> DataFrame:
+def run_log_view(runs: DataFrame, *, group: str = "region", order: str = "run_ts", value: str = "weight_pct",
+                 first: str | None = None) -> DataFrame:
     """P15 + W15: runs newest first; blank factors read 'not selected'; previous run's value and the change.
 
+    The first run of a group is compared with the column ``first`` (the dashboard's value), if given.
     The previous run is looked up within ``group`` (one history per shop/region),
     so the window never holds more than one group's runs.
     """
     w = Window.partitionBy(group).orderBy(order)
     blank = lambda c: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(fixed.NOT_SELECTED))
+    prev = F.lag(value).over(w) if first is None else F.coalesce(F.lag(value).over(w), F.col(first))
     return runs.select(
         group, order, blank("weather_factors").alias("weather"), blank("event_factors").alias("events"),
         "impact_summary", F.col(value).alias("value"),
-        F.lag(value).over(w).alias("prev_value"),
-        (F.col(value) - F.lag(value).over(w)).alias("change"))
+        prev.alias("prev_value"), (F.col(value) - prev).alias("change")).orderBy(F.col(order).desc(), group)
 
 
 def search_names(df: DataFrame, name_col: str, q: str, *, k: int = 50) -> DataFrame:

@@ -16,14 +16,16 @@ from tillcast.functions.numeric import pty_code, rain_mm
 from tillcast.functions.text import pty_text
 
 
-def parse_feed_json(raw: DataFrame) -> DataFrame:
+def parse_feed_json(raw: DataFrame, region: str | None = None) -> DataFrame:
     """A landed forecast response (``response.body.items.item[]``) -> long rows.
 
-    ``raw`` is ``spark.read.json(path, multiLine=True)``; only responses with
+    ``raw`` is ``spark.read.json(path, multiLine=True)``; the region is the column of that name, or else
+    the file's name without its ending; only responses with
     result code '00' are used.  ``seq`` keeps the item order for last-write-wins.
     """
     ok = raw.where(F.col("response.header.resultCode") == "00")
-    items = ok.select(F.input_file_name().alias("source"),
+    source = F.col(region) if region else F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^/.]*)?$", 1)
+    items = ok.select(source.alias("source"),
                       F.posexplode("response.body.items.item").alias("pos", "it"))
     return items.select(
         F.col("source").alias("region"),
@@ -110,6 +112,14 @@ def weather_change_alert(pivot: DataFrame, as_of) -> DataFrame:
                     alert.alias("alert"), F.when(wet, kind).alias("precip_kind"))
 
 
+def with_detected_tags(chosen: DataFrame, detected: DataFrame, keys=("region", "base_date")) -> DataFrame:
+    """U4: the tags a request chose, then the detected ones that are not among them."""
+    auto = detected.select(*keys, F.col("weather_tags").alias("_auto"))
+    none = F.array().cast("array<string>")
+    return chosen.join(auto, list(keys), "left").withColumn(
+        "weather_tags", F.array_union(F.coalesce("weather_tags", none), F.coalesce("_auto", none))).drop("_auto")
+
+
 def auto_weather_tags(pivot: DataFrame) -> DataFrame:
     """U4 detection: per (region, date): rain if any pty in (1,2,4); snow if any pty in (2,3)."""
     g = pivot.groupBy("region", "base_date").agg(

@@ -200,8 +200,7 @@ SELECT date, name AS item_id, CAST(round_even(base * mult * 1.0, 0) AS INTEGER)
          AS recommended_order_qty
 FROM m""", ops="M12 J5 J6 A4")
 def q_forecast_grid(spark, d):
-    s = tables.sales_lines(spark, d).where(~F.col("is_return"))
-    avg_qty = s.groupBy(F.col("product_name").alias("name")).agg(F.avg("qty").alias("avg_qty"))
+    avg_qty = tables.average_quantity(spark, d)
     names = tables.product(spark, d).select("name").distinct()
     return tags.forecast_grid(names, avg_qty, tables.AS_OF_SALES, 30)
 

@@ -108,8 +108,7 @@ UNION ALL SELECT * FROM fresh""", ops="M12 U1 L1 F12 F13 S14")
 def q_forecast_request(spark, d):
     """Entry B on the provided tables: a request for 2001-06-30 with tags rain + local festival."""
     from tillcast.plans.request import run_request
-    sales = tables.sales_lines(spark, d).where(~F.col("is_return")).select("product_name", "qty")
-    res = run_request(spark, sales=sales, products=tables.product(spark, d), stored=tables.forecast_results(spark, d),
+    res = run_request(spark, avg_qty=tables.average_quantity(spark, d), products=tables.product(spark, d), stored=tables.forecast_results(spark, d),
                       request_date=tables.AS_OF_SALES, weather_tags=["비"], event_tags=["지역 축제"])
     return res.forecasts
 

@@ -23,17 +23,16 @@ class RequestResult:
     run_log: DataFrame
 
 
-def run_request(spark: SparkSession, *, sales: DataFrame, products: DataFrame, stored: DataFrame,
+def run_request(spark: SparkSession, *, avg_qty: DataFrame, products: DataFrame, stored: DataFrame,
                 request_date: str, weather_tags=(), event_tags=(), custom_input: str = "",
                 noise: float | str = 1.0) -> RequestResult:
-    """``sales``: product_name, qty; ``products``: name; ``stored``: target_date, product, predicted_qty,
+    """``avg_qty``: name, avg_qty; ``products``: name; ``stored``: target_date, product, predicted_qty,
     created_at, forecast_period."""
     req = spark.createDataFrame([(request_date, list(weather_tags), list(event_tags), custom_input)],
                                 "request_date string, weather_tags array<string>, event_tags array<string>, "
                                 "custom_input string")
     log = tags.request_weights(req)
     weight = log.select("weight_pct").scalar()                 # one request: a scalar subquery
-    avg_qty = sales.groupBy(F.col("product_name").alias("name")).agg(F.avg("qty").alias("avg_qty"))
     grid = tags.forecast_grid(products.select("name").distinct(), avg_qty, request_date, weight, noise=noise)
     fresh = (grid.where(F.col("date") >= F.lit(request_date).cast("date"))      # only offsets >= 0 are stored
                  .select(F.col("date").alias("target_date"), F.col("item_id").alias("product"),

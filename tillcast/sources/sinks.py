@@ -74,10 +74,11 @@ def export_report(out_dir: str, *, sales: DataFrame, stock: DataFrame, waste: Da
 def write_by_month(df: DataFrame, path: str, *, date_col: str = "date", mode: str = "overwrite") -> None:
     """Parquet partitioned by month ('yyyy-MM') so date-range readers prune whole folders.
 
-    Rows are clustered by month before the write, so each task writes few files per month.
+    Rows are range-partitioned by date before the write: each task writes few months, and a
+    month of many rows is shared out by day among several tasks.
     """
     out = df.withColumn("month", F.date_format(F.col(date_col), "yyyy-MM"))
-    (out.repartition("month").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    (out.repartitionByRange("month", date_col).write.mode(mode).option("partitionOverwriteMode", "dynamic")
         .partitionBy("month").parquet(path))
 
 

@@ -97,6 +97,15 @@ def product_day_sales(spark, sf_dir) -> DataFrame:
     )
 
 
+def average_quantity(spark, sf_dir) -> DataFrame:
+    """(name, avg_qty) over sale lines: sums and counts by product key meet the product names, not the lines."""
+    li = _lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
+    agg = li.groupBy("l_partkey").agg(F.sum("l_quantity").alias("s"), F.count("l_quantity").alias("n"))
+    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"))
+    return (agg.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("name")
+            .agg((F.sum("s") / F.sum("n")).alias("avg_qty")))
+
+
 def pos_rows(spark, sf_dir, *, text_order_cn: bool = True) -> DataFrame:
     """Raw POS-export shaped rows (all strings, upper-case headers).
 
