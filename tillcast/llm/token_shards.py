@@ -41,8 +41,8 @@ ROUNDS = 6
 END_ID = 50256
 DTYPE = np.dtype("<u2")
 # ids between encoding and shards: written once and read once
-TOKEN_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
-PIECE_LEVEL = 3
+TOKEN_FILES = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+PIECE_LEVEL = 9
 
 _encoders: dict = {}
 
