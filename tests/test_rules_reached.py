@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from conftest import SF
-from tillcast.operators import views, weather
+from tillcast.operators import demand, views, weather
+from tillcast.plans import model_run
 from tillcast.plans.registry import load_all
 
 QUERIES, _ = load_all()
@@ -46,3 +47,12 @@ def test_feed_region_is_the_files_name(spark, tmp_path):
                                          '[{"fcstDate": "20240101", "fcstTime": "0900", "category": "TMP", "fcstValue": "3"}]}}}}')
     raw = spark.read.json(str(tmp_path), multiLine=True)
     assert weather.parse_feed_json(raw).select("region").distinct().collect() == [("seoul",)]
+
+
+def test_short_history_takes_the_naive_plan(spark):
+    days = spark.range(9).select(F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+                                 F.lit("tea").alias("item_id"), F.lit(4.0).alias("demand_qty"), F.lit(8.0).alias("sales_amount"), F.lit(0).alias("promo"))
+    job = model_run.plan_job(demand.enrich_daily(days), allow_short_history=True)
+    row = job.plan.first()
+    assert job.run is None and (row["item_id"], row["q50_daily"], row["q95_daily"]) == ("tea", 4.0, 4.6)
+    assert row["forecast_q50_30d"] == [4.0] * 30

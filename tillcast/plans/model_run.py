@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast import fixed
 from tillcast.operators import features, forecast, quantile, recursive, splits
 from tillcast.plans import order_plan
 
@@ -68,6 +69,26 @@ def model_plan(raw: DataFrame, run: RunResult, *, horizons=(7, 30), lots=None, u
                                           paths=path_cols)
 
 
+@dataclass
+class JobResult:
+    plan: DataFrame
+    run: RunResult | None   # None where the naive baseline was taken
+
+
+def plan_job(raw: DataFrame, *, allow_short_history: bool = False, horizons=(7, 30), lots=None, unit_costs=None) -> JobResult:
+    """M11 as one job: the models' plan, or the naive plan (M9) of a short history.
+
+    The naive branch is taken only with ``allow_short_history``, when the item
+    with the fewest days has less than ten, or there is no item at all.
+    """
+    if allow_short_history:
+        fewest = raw.groupBy("item_id").agg(F.countDistinct("date").alias("n")).agg(F.min("n")).first()[0]
+        if (fewest or 0) < fixed.NAIVE_MIN_HISTORY_DAYS:
+            return JobResult(order_plan.naive_order_plan(raw, lots=lots, unit_costs=unit_costs, horizons=horizons), None)
+    run = fit_and_evaluate(raw, allow_short_history=allow_short_history)
+    return JobResult(model_plan(raw, run, horizons=horizons, lots=lots, unit_costs=unit_costs), run)
+
+
 def importance_frame(spark, models: quantile.QuantileModels) -> DataFrame:
     rows = models.feature_importance()
     return spark.createDataFrame(rows, "feature string, importance double, importance_percentage double")

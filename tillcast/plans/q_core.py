@@ -305,3 +305,19 @@ def q_order_plan(spark, d):
     raw = common.raw_materialized(spark, d)
     plan = order_plan.naive_order_plan(raw, lots=common.lots_on_hand(spark, d, raw), unit_costs=common.unit_costs(spark, d))
     return plan.drop(*[c for c in plan.columns if c.startswith("forecast_")])
+
+
+@query("order_plan_paths", f"""WITH {SQL_DAILY}{_SQL_NAIVE},
+h AS (SELECT unnest([7, 30]) AS horizon)
+SELECT item_id, CAST(h.horizon AS INTEGER) AS horizon, CAST(unnest(generate_series(1, h.horizon)) AS INTEGER) AS day,
+       round(q50_daily, 4) AS q50, round(q95_daily, 4) AS q95 FROM naive, h""", ops="M10 M9")
+def q_order_plan_paths(spark, d):
+    """The plan's 7- and 30-day forecast paths, one row per day."""
+    plan = order_plan.naive_order_plan(common.raw_materialized(spark, d))
+    out = None
+    for h in (7, 30):
+        days = plan.select("item_id", F.lit(h).alias("horizon"),
+                           F.posexplode(F.arrays_zip(F.col(f"forecast_q50_{h}d").alias("a"), F.col(f"forecast_q95_{h}d").alias("b"))).alias("i", "p"))
+        days = days.select("item_id", "horizon", (F.col("i") + 1).alias("day"), F.round("p.a", 4).alias("q50"), F.round("p.b", 4).alias("q95"))
+        out = days if out is None else out.unionByName(days)
+    return out

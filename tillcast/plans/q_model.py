@@ -9,14 +9,10 @@ from tillcast.plans import common, model_run
 from tillcast.plans.common import SQL_DAILY, sql_roll
 from tillcast.plans.registry import query
 
-_RUNS: dict = {}
-
 
 def _run(spark, d):
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _RUNS:
-        _RUNS[key] = (model_run.fit_and_evaluate(common.raw_materialized(spark, d)))
-    return _RUNS[key]
+    """Every query fits its own models: its time and its rows are its own."""
+    return model_run.fit_and_evaluate(common.raw_materialized(spark, d))
 
 
 @query("forecast_metrics", f"""WITH {SQL_DAILY},
@@ -66,4 +62,4 @@ def q_recursive(spark, d):
 def q_model_plan(spark, d):
     r = _run(spark, d)
     plan = model_run.model_plan(r.raw, r, lots=common.lots_on_hand(spark, d, r.raw), unit_costs=common.unit_costs(spark, d))
-    return plan.drop(*[c for c in plan.columns if c.startswith("forecast_")])
+    return plan
