@@ -41,9 +41,9 @@ def q_csv_roundtrip(spark, d):
     dd = common.daily(spark, d).select("date", "item_id", "demand_qty", "sales_amount")
     sinks.write_csv(dd, f"{base}/export")
     sinks.write_csv(spark.createDataFrame([], dd.schema), f"{base}/sample_export")   # an empty sample-named source
-    ranked = pos.candidate_files(spark, f"{base}/*/*.csv")
-    top_dir = ranked.where(F.col("rank") == 1).select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("dir")).first()["dir"]
-    chosen = pos.load_daily_demand(pos.read_csv(spark, top_dir + "/*.csv"))
+    ranked = pos.candidate_files(spark, f"{base}/*/*.csv")      # a written folder is one source
+    best = ranked.where(F.col("rank") == 1).first()["path"]
+    chosen = pos.load_daily_demand(pos.read_csv(spark, best))
     report = demand.quality_report(chosen, feature_cols=["date", "item_id", "demand_qty"], timesteps=0).first()
     if report["rows"] == 0:
         raise ValueError(f"no valid source: {report['issues']}")
