@@ -42,7 +42,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: a document appears as often as the mix starts it."""
+    """The sources at their target weights: a row for each document's words that a slot of the schedule takes."""
     _ready(spark)
     return mix_documents(docs)
 

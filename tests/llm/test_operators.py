@@ -184,6 +184,64 @@ def test_schedule_is_even(ready):
     assert all(abs(half[k] - 750 * w) < 8 for k, w in ((0, 1 / 3), (1, 0.6), (2, 1 / 15)))
 
 
+def _mix_by_hand(docs, block_words):
+    """Per source its target; (doc_id, text) of every part that the mix takes, by plain loops."""
+    line = defaultdict(list)
+    for d, t, s in docs:
+        line[s].append((hashlib.md5(f"mix-1:{'' if d is None else d}".encode()).hexdigest(), d, t or ""))
+    names, size = sorted(line, key=lambda x: (x is None, x or "")), {s: sum(len(WORD.findall(t)) for *_, t in line[s]) for s in line}
+    weight, fixed = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, {}
+    while True:
+        rest, w = sum(size.values()) - sum(fixed.values()), sum(weight[s] for s in names if s not in fixed)
+        over = [s for s in names if s not in fixed and rest * weight[s] / w > 3 * size[s]]
+        if not over:
+            break
+        fixed |= {s: 3 * size[s] for s in over}
+    target = {s: int(fixed.get(s, rest * weight[s] / w if w else 0) + 0.5) for s in names}
+    parts = Counter()
+    for s in names:
+        left = target[s]
+        while left:
+            at = 0
+            for _, d, t in sorted(line[s], key=lambda x: (x[0], x[1] or 0, len(WORD.findall(x[2])))):
+                ends = [m.start() for m in WORD.finditer(t)] + [len(t)]
+                ends[0], i, n = 0, 0, len(ends) - 1
+                while i < n and left:
+                    k = min(n - i, block_words - at % block_words, left)
+                    parts[s, d, t[ends[i]:ends[i + k]]] += 1
+                    i, at, left = i + k, at + k, left - k
+    return target, parts
+
+
+@pytest.mark.parametrize("block_words", [50, source_mix.BLOCK_WORDS])
+def test_mix_meets_its_targets(ready, docs, block_words):
+    more = [(-1, " a long\none " + "w " * 9000, "src19"), (-2, "one two three", "src1"), (-2, "four five six", "src1"), (None, "x  y", None), (-3, None, "src2")]
+    both = docs.select("doc_id", "text", "source", "n_chars").unionByName(
+        ready.createDataFrame([(*x, len(x[1] or "")) for x in more], "doc_id long, text string, source string, n_chars long"))
+    target, parts = _mix_by_hand([(r["doc_id"], r["text"], r["source"]) for r in rows(both)], block_words)
+    got = rows(source_mix.mix_documents(both, block_words=block_words))
+    words = Counter()
+    for r in got:
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    assert words == Counter(target)
+    twice = {-2}  # equal id and size: their order within the line is by hash
+    assert Counter((r["source"], r["doc_id"], r["text"]) for r in got if r["doc_id"] not in twice) == Counter(
+        {k: n for k, n in parts.items() if k[1] not in twice})
+    starts = Counter(r["text"].split()[0] for r in got if r["doc_id"] == -2)
+    assert abs(starts["one"] - starts["four"]) <= 1 and starts["one"] > 0
+    whole = {r["text"]: r["n_chars"] for r in rows(both)}
+    assert all(r["n_chars"] == whole.get(r["text"], len(r["text"])) for r in got)
+
+
+def test_mix_follows_the_schedule(ready, docs):
+    sizes = source_mix.document_sizes(docs)
+    slots = rows(source_mix.slot_schedule(source_mix.source_targets(sizes), 50))
+    names = {r["rk"]: r["source"] for r in rows(source_mix.source_targets(sizes))}
+    want = [names[r["rk"]] for r in sorted(slots, key=lambda r: (r["slot"], r["rk"])) for _ in range(r["words"])]
+    got = [r["source"] for r in source_mix.mix_documents(docs, block_words=50).collect() for _ in WORD.findall(r["text"])]
+    assert got == want
+
+
 # ------------------------------------------------------------------ piece codec
 def test_piece_parity(ready, docs, odd, nothing):
     import sentencepiece

@@ -18,10 +18,10 @@ other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import WORD, stored, table
+from tillcast.llm.common import SPACE, WORD, stored, table
 from tillcast.llm.registry import query
 
 WEIGHTS = (5, 2, 1)
@@ -33,12 +33,12 @@ CELLS = 4096          # cells of [0, 1) through which points meet their source
 SLOT_GROUP = 1 << 16  # slots that are ranked together
 
 
-def document_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size in words, and the key that shuffles documents within a source."""
+def document_sizes(docs: DataFrame, seed: str = SEED, more=()) -> DataFrame:
+    """doc_id, source, size in words, the key that shuffles documents within a source, and the columns ``more``."""
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                        key.alias("key"))
+                        key.alias("key"), *more)
             .withColumn("bucket", F.substring("key", 1, 3)))
 
 
@@ -115,10 +115,13 @@ def slot_schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFra
             .select("slot", "rk", "epoch", "block", words.cast("long").alias("words")))
 
 
-def document_lines(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Each document's first word position in its source's line; (rk, bucket, nth) names the row."""
+def document_lines(sizes: DataFrame, targets: DataFrame, ties=()) -> DataFrame:
+    """Each document's first word position in its source's line; (rk, bucket, nth) names the row.
+
+    Rows of one id and size stand in the order of the columns ``ties``.
+    """
     rows = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    w = Window.partitionBy("rk", "bucket").orderBy("key", "doc_id", "size")
+    w = Window.partitionBy("rk", "bucket").orderBy("key", "doc_id", "size", *ties)
     totals = rows.groupBy("rk", "bucket").agg(F.sum("size").alias("words"))
     before = (totals.withColumn("before", F.sum("words").over(Window.partitionBy("rk").orderBy("bucket")) - F.col("words"))
               .drop("words"))
@@ -156,25 +159,49 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES,
                     "source", "start"))
 
 
-def mix_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix at the grain of documents: each row as often as a pass over its source starts it.
+def _cut_text(takes: str) -> Column:
+    """The takes of a row, each with its part of ``text``.
 
-    Pass p starts a document when p * source_size + start lies below the words to
-    take.  Rows that repeat an id within a source share the largest number.
+    A part runs from its first word to the first word after it, and a row's own
+    ends belong to its first and last words: the parts of a pass add up to the
+    text.  The text is split once for all its takes, and only if one cuts it.
+    """
+    whole = lambda t: (t["from_word"] == 0) & (t["to_word"] == t["size"])
+    split = F.regexp_extract_all("text", F.lit(f"(?:^{SPACE}+)?{WORD}{SPACE}*"), F.lit(0))
+    words = F.when(F.exists(takes, lambda t: ~whole(t)), split)
+    part = lambda w, t: F.array_join(F.slice(w, t["from_word"].cast("int") + 1, (t["to_word"] - t["from_word"]).cast("int")), "")
+    cut = lambda w: F.transform(takes, lambda t: F.struct(
+        t["slot"].alias("_slot"), t["rk"].alias("_rk"), t["start"].alias("_start"), whole(t).alias("_whole"),
+        F.when(whole(t), F.col("text")).otherwise(part(w, t)).alias("_text")))
+    return F.element_at(F.transform(F.array(words), cut), 1)
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES,
+                  block_words: int = BLOCK_WORDS, seed: str = SEED) -> DataFrame:
+    """The mix itself, in the order of its slots: a row per document that a slot takes words of.
+
+    A row has the columns of its document; ``text`` is cut to the words that the
+    slot takes, and ``n_chars``, where there is one, is that of the cut text.  So
+    the words of each source are its rounded target.  Rows that repeat an id are
+    told apart by a number that is written with them.
     """
     cols = docs.columns
-    mixed = mix_sources(docs, **params)
-    size = F.greatest("source_size", F.lit(1))
-    full = F.floor(F.round("target") / size)
-    rem = F.round("target") - full * F.col("source_size")
-    copies = (mixed.withColumn("_copies", (full + (F.col("start") < rem).cast("int")).cast("int"))
-              .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max("_copies").alias("_copies")))
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    ties = [F.xxhash64(*cols).alias("_tie"), F.col("_row")]
+    sizes = stored(document_sizes(rows, seed, ties), "mix-sizes")
+    targets = stored(source_targets(sizes, weights, max_passes), "mix-sources")
+    lines = stored(document_lines(sizes, targets, ("_tie", "_row")), "mix-lines")
+    takes = (mixture(lines, slot_schedule(targets, block_words), block_words)
+             .groupBy("_row").agg(F.collect_list(F.struct("slot", "rk", "start", "from_word", "to_word", "size")).alias("_takes")))
+    new = {"text": F.col("_take._text")}
+    if "n_chars" in cols:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("_take._whole"), F.col("n_chars")).otherwise(F.char_length("_take._text").cast(kind))
     # a row per document: never one to broadcast
-    return (docs.join(copies.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(copies["_id"])
-                      & docs["source"].cast("string").eqNullSafe(copies["_source"]))
-            .where("_copies > 0")
-            .withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*cols))
+    return (rows.join(takes.hint("merge"), "_row")
+            .select(*[c for c in cols if c != "text"], F.explode(_cut_text("_takes")).alias("_take"))
+            .select(*[new.get(c, F.col(c)).alias(c) for c in cols], "_take")
+            .orderBy("_take._slot", "_take._rk", "_take._start").select(*cols))
 
 
 SQL = r"""
