@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tillcast.operators import demand, features, quantile, splits, upsert
+from tillcast.plans import model_run
 
 
 def test_upsert_patch_delete_reset_overlay(spark):
@@ -43,3 +44,23 @@ def test_grid_search_over_date_folds(spark):
     best = quantile.grid_search(feat, tiles, quantile=0.5, grid=grid, n_folds=2)
     assert best in grid
     assert splits.run_test_days(100) == 28 and splits.run_test_days(20) == 5 and splits.run_test_days(2) == 1
+
+
+def test_job_searches_its_settings(spark, monkeypatch):
+    assert [(p["max_depth"], p["n_stages"], p["learning_rate"]) for p in model_run.SEARCH_GRID] == [
+        (3, 150, 0.05), (3, 300, 0.05), (4, 150, 0.05), (4, 300, 0.05)]
+    rnd = random.Random(1)
+    start = dt.date(2024, 1, 1)
+    rows = [(start + dt.timedelta(days=k), it, float(10 + 30 * (k % 7 == 5) + rnd.randint(0, 2)))
+            for it in ("a", "b") for k in range(130)]
+    raw = demand.enrich_daily(spark.createDataFrame(rows, "date date, item_id string, demand_qty double"))
+    poor, good = {"n_stages": 1, "learning_rate": 0.01, "max_depth": 2}, {"n_stages": 4, "learning_rate": 0.5, "max_depth": 2}
+    monkeypatch.setattr(model_run, "SEARCH_GRID", [poor, {**good, "n_stages": 1}, good])
+    run = model_run.fit_and_evaluate(raw)
+    assert run.params[0.5] == good and len(run.models.models[0.5].trees) == 4 and run.models.models[0.5].learning_rate == 0.5
+    # a setting with fewer stages is the start of the longer fit
+    two = quantile.train_quantile_models(run.train, quantiles=(0.5,), **{**good, "n_stages": 2}).models[0.5]
+    assert run.models.models[0.5].first(2).structures == two.structures and run.models.models[0.5].first(2).leaf_values == two.leaf_values
+    # M3: under 60 rows nothing is searched
+    monkeypatch.setattr(model_run, "BASE_PARAMS", poor)
+    assert model_run.search_params(run.train.limit(59), allow_short_history=True) == {0.5: poor, 0.95: poor}

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import logging
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -150,6 +150,10 @@ class QuantileBoostModel:
         x = vector_to_array(F.col(self.features_col))
         return df.withColumn(out_col, self.expression(x))
 
+    def first(self, n: int) -> "QuantileBoostModel":
+        """The model after its first ``n`` stages: what a fit of n stages gives."""
+        return replace(self, trees=self.trees[:n], leaf_values=self.leaf_values[:n], structures=self.structures[:n])
+
     def feature_importances(self):
         """Mean of the stages' normalized importances (a dense list)."""
         if not self.trees:
@@ -273,15 +277,18 @@ class QuantileModels:
 
 
 def train_quantile_models(train: DataFrame, *, feature_cols=fixed.FEATURE_COLUMNS, quantiles=(0.5, 0.95),
-                          target: str = "demand_qty", **params) -> QuantileModels:
-    """M1: one boosted model per quantile on a shared, fitted preprocessing pipeline."""
+                          target: str = "demand_qty", by_quantile: dict | None = None, **params) -> QuantileModels:
+    """M1: one boosted model per quantile on a shared, fitted preprocessing pipeline.
+
+    ``by_quantile`` has settings of single quantiles, which go before ``params``.
+    """
     typed = cast_features(train, feature_cols)
     prep = feature_pipeline(feature_cols).fit(typed)
     x = prep.transform(typed).select("features", F.col(target).alias("demand_qty")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # the quantiles are independent: fit them as concurrent Spark jobs
         with ThreadPoolExecutor(max_workers=len(quantiles)) as pool:
-            futs = {q: pool.submit(fit_quantile_boost, x, quantile=q, **params) for q in quantiles}
+            futs = {q: pool.submit(fit_quantile_boost, x, quantile=q, **params | (by_quantile or {}).get(q, {})) for q in quantiles}
             models = {q: f.result() for q, f in futs.items()}
     finally:
         x.unpersist()
@@ -302,33 +309,47 @@ SEARCH_MIN_ROWS = 60  # with short histories allowed, fewer rows are fitted with
 
 
 def grid_search(train: DataFrame, tiles: DataFrame, *, quantile: float, grid: list[dict], n_folds: int = 3,
-                feature_cols=fixed.FEATURE_COLUMNS, allow_short_history: bool = False) -> dict:
+                feature_cols=fixed.FEATURE_COLUMNS, allow_short_history: bool = False, base: dict | None = None) -> dict:
     """M2-M4: expanding date folds (tile <= k trains, tile k+1 tests); the setting with the lowest
-    mean pinball wins.
+    mean pinball wins, the first of equals.
+
+    Settings that differ in ``n_stages`` only share one fit of the most stages, of
+    which each is the start; the folds are fitted as concurrent jobs.
 
-    With ``allow_short_history`` (M3) under 60 rows take the first setting, others
-    are searched over 2 folds, and a failed search logs its cause and takes the
-    first setting; otherwise a failure is raised.
+    With ``allow_short_history`` (M3) under 60 rows take the setting ``base`` (the
+    first one by default), others are searched over 2 folds, and a failed search
+    logs its cause and takes ``base``; otherwise a failure is raised.
     """
     from tillcast.operators.splits import fold_frames
-    best, best_score = grid[0], float("inf")
+    base = grid[0] if base is None else base
     if allow_short_history:
         if train.limit(SEARCH_MIN_ROWS).count() < SEARCH_MIN_ROWS:
-            return best
+            return base
         n_folds = min(n_folds, 2)
+    alike: dict = {}
+    for i, params in enumerate(grid):
+        alike.setdefault(tuple(sorted((k, v) for k, v in params.items() if k != "n_stages")), []).append(i)
+
+    def fold_scores(k: int, members: list[int]) -> list[float]:
+        tr, te = fold_frames(train, tiles, k)
+        most = max((grid[i] for i in members), key=lambda p: p.get("n_stages", 0))
+        qm = train_quantile_models(tr, feature_cols=feature_cols, quantiles=(quantile,), **most)
+        full = qm.models[quantile]
+        out = []
+        for i in members:
+            qm.models = {quantile: full.first(grid[i].get("n_stages", len(full.trees)))}
+            out.append(pinball_score(qm.predict(te), quantile))
+        return out
+
     try:
-        for params in grid:
-            scores = []
-            for k in range(1, n_folds + 1):
-                tr, te = fold_frames(train, tiles, k)
-                qm = train_quantile_models(tr, feature_cols=feature_cols, quantiles=(quantile,), **params)
-                scores.append(pinball_score(qm.predict(te), quantile))
-            s = sum(scores) / len(scores)
-            if s < best_score:
-                best, best_score = params, s
+        scores: dict = {}
+        with ThreadPoolExecutor(max_workers=n_folds) as pool:
+            for members in alike.values():
+                folds = list(pool.map(lambda k: fold_scores(k, members), range(1, n_folds + 1)))  # noqa: B023
+                scores |= {i: sum(f[j] for f in folds) / n_folds for j, i in enumerate(members)}
     except Exception as e:
         if not allow_short_history:
             raise
-        logging.getLogger(__name__).warning("model search failed, first setting is used: %s", e)
-        return grid[0]
-    return best
+        logging.getLogger(__name__).warning("model search failed, the base setting is used: %s", e)
+        return base
+    return grid[min(scores, key=lambda i: (scores[i], i))]

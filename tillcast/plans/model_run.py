@@ -1,13 +1,14 @@
 """The end-to-end forecast-and-plan job.
 
 raw daily demand -> features (W1) -> run-level split (P8) -> quantile
-models (M1) -> holdout predictions + metrics (M5, A20) -> recursive paths
+models (M1, settings searched by M2-M4) -> holdout predictions + metrics (M5, A20) -> recursive paths
 (M7) -> order plan from the first forecast day (I8) -> importances (M6).
 Returns DataFrames; nothing but tiny model parameters reaches the driver.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,8 @@ from tillcast import fixed
 from tillcast.operators import features, forecast, quantile, recursive, splits
 from tillcast.plans import order_plan
 
-DEFAULT_PARAMS = {"n_stages": 15, "learning_rate": 0.15, "max_depth": 3}
+SEARCH_GRID = [{"n_stages": n, "learning_rate": 0.05, "max_depth": k} for k in (3, 4) for n in (150, 300)]
+BASE_PARAMS = {"n_stages": 100, "learning_rate": 0.1, "max_depth": 3}   # M3: where nothing is searched
 
 
 @dataclass
@@ -29,10 +31,22 @@ class RunResult:
     test: DataFrame
     predictions: DataFrame
     metrics: DataFrame
+    params: dict            # the setting of each quantile
+
+
+def search_params(train: DataFrame, *, quantiles=(0.5, 0.95), allow_short_history: bool = False) -> dict:
+    """M2, M3: the searched setting of each quantile, over three date folds (two with short histories allowed)."""
+    n_folds = 2 if allow_short_history else 3
+    tiles = splits.date_tiles(train, n_tiles=n_folds + 1)
+    with ThreadPoolExecutor(max_workers=len(quantiles)) as pool:
+        found = pool.map(lambda q: quantile.grid_search(train, tiles, quantile=q, grid=SEARCH_GRID, n_folds=n_folds,
+                                                        allow_short_history=allow_short_history, base=BASE_PARAMS), quantiles)
+        return dict(zip(quantiles, found))
 
 
 def fit_and_evaluate(raw: DataFrame, *, test_days: int | None = None, params: dict | None = None,
                      strict: bool = True, allow_short_history: bool = False) -> RunResult:
+    """Models fitted on the training rows with ``params``, or else with the setting that the search finds."""
     feat = features.create_features(raw, strict=strict)
     feat = feat.checkpoint(eager=True)                 # reused by training, scoring and forecasting
     if test_days is None:
@@ -41,9 +55,11 @@ def fit_and_evaluate(raw: DataFrame, *, test_days: int | None = None, params: di
     train, test = splits.train_test(feat, test_days=test_days)
     if allow_short_history and train.limit(1).count() == 0:                   # P8: empty train -> all rows, no test
         train, test = feat, feat.where(F.lit(False))
-    models = quantile.train_quantile_models(train, **(params or DEFAULT_PARAMS))
+    chosen = ({q: params for q in (0.5, 0.95)} if params else
+              search_params(train, allow_short_history=allow_short_history))
+    models = quantile.train_quantile_models(train, by_quantile=chosen)
     pred = models.predict(test)
-    return RunResult(models, raw, feat, train, test, pred, forecast.forecast_metrics(pred))
+    return RunResult(models, raw, feat, train, test, pred, forecast.forecast_metrics(pred), chosen)
 
 
 def model_plan(raw: DataFrame, run: RunResult, *, horizons=(7, 30), lots=None, unit_costs=None,
