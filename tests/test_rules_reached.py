@@ -56,3 +56,13 @@ def test_short_history_takes_the_naive_plan(spark):
     row = job.plan.first()
     assert job.run is None and (row["item_id"], row["q50_daily"], row["q95_daily"]) == ("tea", 4.0, 4.6)
     assert row["forecast_q50_30d"] == [4.0] * 30
+
+
+def test_csv_roundtrip_skips_an_invalid_source(spark, monkeypatch):
+    from conftest import SF
+    from tillcast.plans import q_io
+    seen, real = [], q_io.pos.first_valid_source
+    monkeypatch.setattr(q_io.pos, "first_valid_source", lambda *a, **k: seen.append(real(*a, **k)) or seen[-1])
+    assert q_io.q_csv_roundtrip(spark, SF).limit(1).count() == 1
+    _, path, skipped = seen[0]
+    assert path.endswith("/export") and [(p.rsplit("/", 1)[1], bool(why)) for p, why in skipped] == [("broken_export", True)]

@@ -34,16 +34,17 @@ def q_batch_maintenance(spark, d):
 SELECT date, item_id, round(demand_qty, 4) AS demand_qty, round(sales_amount, 4) AS sales_amount FROM daily""",
        ops="S3 S7 S8 S12 U5")
 def q_csv_roundtrip(spark, d):
-    """Write daily demand as a normalized CSV export plus a sample-named copy, rank the candidate
-    files (non-sample first), read the chosen source back (S2/S3) and keep it only if it passes the
-    data-quality gate (S8)."""
+    """Write daily demand as a normalized CSV export, a newer export without a demand layout and an empty
+    sample-named one, rank the candidates (non-sample first, newest first) and read back the first that
+    passes (S2/S3, S8): the newer export is ranked first and skipped."""
     base = scratch_path(spark, "csv-sources")
     dd = common.daily(spark, d).select("date", "item_id", "demand_qty", "sales_amount")
     sinks.write_csv(dd, f"{base}/export")
     sinks.write_csv(spark.createDataFrame([], dd.schema), f"{base}/sample_export")   # an empty sample-named source
-    ranked = pos.candidate_files(spark, f"{base}/*/*.csv")      # a written folder is one source
-    best = ranked.where(F.col("rank") == 1).first()["path"]
-    chosen = pos.load_daily_demand(pos.read_csv(spark, best))
+    sinks.write_csv(spark.createDataFrame([("closed",)], "note string"), f"{base}/broken_export")
+    chosen, _, skipped = pos.first_valid_source(spark, f"{base}/*/*.csv")      # a written folder is one source
+    if chosen is None:
+        raise ValueError(f"no valid source: {skipped}")
     report = demand.quality_report(chosen, feature_cols=["date", "item_id", "demand_qty"], timesteps=0).first()
     if report["rows"] == 0:
         raise ValueError(f"no valid source: {report['issues']}")
