@@ -11,7 +11,8 @@ from tillcast.session import checkpoint_dir
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["source_mix", "grace_dedup", "token_counts", "decision_list", "site_quality", "shingle_join", "chat_windows", "link_trust", "token_shards", "piece_codec"]
+MODULES = ["source_mix", "grace_dedup", "token_counts", "decision_list", "site_quality", "shingle_join", "chat_windows", "link_trust", "token_shards", "piece_codec",
+           "mean_ordered_kmeans"]
 
 
 def query(name: str, sql: str | None = None):
