@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 
 MODULES = ["source_mix", "grace_dedup", "token_counts", "decision_list", "site_quality", "shingle_join", "chat_windows", "link_trust", "token_shards", "piece_codec",
-           "mean_ordered_kmeans", "phrase_mining"]
+           "mean_ordered_kmeans", "phrase_mining", "suffix_dedup"]
 
 
 def query(name: str, sql: str | None = None):
