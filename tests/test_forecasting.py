@@ -47,45 +47,22 @@ def test_short_history_single_item_three_days(spark):
     assert features.create_features(demand.enrich_daily(df)).count() == 0   # strict: not enough history
 
 
-def _py_model(model, row, slots):
-    def slot(f):
-        c, lab = slots[f]
-        v = row[c]
-        return float(v) if lab is None else (1.0 if str(v) == lab else 0.0)
-
-    def walk(n):
-        if n[0] == "leaf":
-            return None
-        _, f, kind, val, l, r = n
-        go_left = slot(f) <= val if kind == "<=" else slot(f) in val
-        return ("L", walk(l)) if go_left else ("R", walk(r))
-
+def _py_model(model, row, columns):
+    """A packed model walked row by row."""
+    cats, nums = columns
     total = model.init
-    for node, leaves in zip(model.structures, model.leaf_values):
-        # leaf number in DFS order
-        counter = [0]
-
-        def find(n):
-            if n[0] == "leaf":
-                counter[0] += 1
-                return counter[0] - 1, True
-            _, f, kind, val, l, r = n
-            go_left = slot(f) <= val if kind == "<=" else slot(f) in val
-            if go_left:
-                lid, _ = find(l)
-                skip(r)
-                return lid, True
-            skip(l)
-            return find(r)
-
-        def skip(n):
-            if n[0] == "leaf":
-                counter[0] += 1
+    for t in model.trees:
+        i = 0
+        while i < len(t["f"]):
+            f, label = t["f"][i], t["l"][i]
+            if f < 0:
+                right = False
+            elif label is not None:
+                right = str(row[cats[f]]) == label
             else:
-                skip(n[4])
-                skip(n[5])
-        lid, _ = find(node)
-        total += model.learning_rate * leaves.get(float(lid), 0.0)
+                right = not float(row[nums[f]]) <= t["t"][i]
+            i = 2 * i + 1 + right
+        total += model.learning_rate * t["v"][i - len(t["f"])]
     return total
 
 
@@ -94,7 +71,6 @@ def test_recursive_forecast_matches_python_loop(spark):
     feat = features.create_features(raw)
     qm = quantile.train_quantile_models(feat, n_stages=4, learning_rate=0.3, max_depth=3)
     paths = {r["item_id"]: r for r in recursive.recursive_forecast(qm, raw, feat, horizon=10).collect()}
-    slots = qm.slots()
     rows = sorted(raw.collect(), key=lambda r: (r["item_id"], r["date"]))
     hol = sorted({r["date"] for r in rows if r["is_holiday"] == 1})
     as_of = max(r["date"] for r in rows)
@@ -120,7 +96,7 @@ def test_recursive_forecast_matches_python_loop(spark):
                    "trend_28d": mean(h[-28:]), "lag_1": lag(1), "lag_7": lag(7), "lag_14": lag(14), "lag_28": lag(28),
                    "roll_mean_7": mean(h[-7:]), "roll_std_7": std(h[-7:]), "roll_mean_14": mean(h[-14:]),
                    "roll_std_14": std(h[-14:])}
-            p50 = max(0.0, _py_model(qm.models[0.5], row, slots))
+            p50 = max(0.0, _py_model(qm.models[0.5], row, qm.columns))
             q50s.append(p50)
             h = (h + [p50])[-28:]
         got = paths[item]["q50_path"]

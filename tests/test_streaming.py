@@ -50,3 +50,52 @@ def test_waste_stream_equals_batch_deduction(spark):
     incremental.waste_stream(stream, base + "/log", base + "/ck")
     got = {r["batch_id"]: r["new_qty"] for r in incremental.read_batches_after_waste(spark, batches, base + "/log").collect()}
     assert got == {11: 0, 10: 2, 12: 1}
+
+
+def _log(spark, path, batches):
+    for batch_id, rows in batches.items():
+        incremental._append_batch(rows, batch_id, path)
+
+
+def test_compacted_log_reads_the_same_also_after_a_replay(spark):
+    base = tempfile.mkdtemp(dir="/tmp")
+    day = dt.date(2024, 1, 1)
+    batches = {b: spark.createDataFrame([(day, i, float(b + 1), 10.0) for i in ("a", "b")[:b + 1]],
+                                        "date date, item_id string, demand_qty double, sales_amount double") for b in range(5)}
+    out = base + "/x1"
+    _log(spark, out, batches)
+    read = lambda: sorted(tuple(r) for r in incremental.read_daily_demand(spark, out).collect())
+    want = read()
+    assert want == [(day, "a", 15.0, 50.0), (day, "b", 14.0, 40.0)]
+    for upto in (1, 3, 3):
+        incremental.compact(spark, out, incremental.FOLD_DEMAND, upto)
+        assert read() == want and incremental.live_log(spark, out).count() == 2 * (4 - upto) + 2
+    _log(spark, out, {3: batches[3]})            # batches that the base holds come again
+    _log(spark, out, {1: batches[1], 4: batches[4]})
+    assert read() == want
+    incremental.compact(spark, out, incremental.FOLD_DEMAND, 4)
+    assert read() == want and incremental.live_log(spark, out).count() == 2
+
+
+def test_compacted_weather_keeps_the_last_value(spark):
+    out = tempfile.mkdtemp(dir="/tmp") + "/x3"
+    row = lambda v, seq: spark.createDataFrame([("R1", "20240101", "0600", "TMP", v, seq)],
+                                               "region string, fcst_date string, fcst_time string, category string, fcst_value string, seq long")
+    _log(spark, out, {0: row("9", 1), 1: row("3", 2)})
+    want = incremental.read_weather(spark, out).collect()
+    incremental.compact(spark, out, incremental.FOLD_WEATHER, 1)
+    assert incremental.read_weather(spark, out).collect() == want and want[0]["temperature"] == 3.0
+    _log(spark, out, {2: row("-1", 3)})
+    assert incremental.read_weather(spark, out).first()["temperature"] == -1.0
+
+
+def test_a_failed_watermark_read_is_raised(spark):
+    path = tempfile.mkdtemp(dir="/tmp")
+    assert incremental._watermark_before(spark, path + "/none", 1, 10) is None
+    spark.createDataFrame([(1,)], "batch_id long").write.parquet(path + "/odd")
+    try:
+        incremental._watermark_before(spark, path + "/odd", 2, 10)
+    except Exception as e:
+        assert "max_ts" in str(e)
+    else:
+        raise AssertionError("no failure")

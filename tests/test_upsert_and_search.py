@@ -60,7 +60,12 @@ def test_job_searches_its_settings(spark, monkeypatch):
     assert run.params[0.5] == good and len(run.models.models[0.5].trees) == 4 and run.models.models[0.5].learning_rate == 0.5
     # a setting with fewer stages is the start of the longer fit
     two = quantile.train_quantile_models(run.train, quantiles=(0.5,), **{**good, "n_stages": 2}).models[0.5]
-    assert run.models.models[0.5].first(2).structures == two.structures and run.models.models[0.5].first(2).leaf_values == two.leaf_values
+    assert [{k: t[k] for k in "ftlv"} for t in run.models.models[0.5].first(2).trees] == [{k: t[k] for k in "ftlv"} for t in two.trees]
+    # the same rows and settings take the stored run, others don't
+    assert model_run.fit_and_evaluate(raw).folder == run.folder
+    assert model_run.fit_and_evaluate(raw.where(F.col("date") < dt.date(2024, 5, 1))).folder != run.folder
+    assert sorted(r["n_stages"] for r in run.search.where("quantile = 0.5").collect()) == [1, 1, 4]
     # M3: under 60 rows nothing is searched
     monkeypatch.setattr(model_run, "BASE_PARAMS", poor)
-    assert model_run.search_params(run.train.limit(59), allow_short_history=True) == {0.5: poor, 0.95: poor}
+    short = model_run.fit_models(run.train.limit(59), allow_short_history=True)
+    assert short.chosen == {0.5: poor, 0.95: poor} and short.scores == []

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast import fixed
+from tillcast.operators import halo
 
 
 def _item_window(item_col="item_id", date_col="date", shop_cols=()):
@@ -92,10 +93,13 @@ def shop_total_lag(df: DataFrame, *, k: int = 7, shop_cols: tuple = (), strict:
     return df.join(tot if shop_cols else F.broadcast(tot), [*shop_cols, "date"], "left")
 
 
+def _lags(o, lags, target) -> dict:
+    return {f"lag_{k}": F.lag(target, k).over(o) for k in lags}
+
+
 def lag_features(df: DataFrame, lags=fixed.LAGS, *, target="demand_qty", item_col="item_id") -> DataFrame:
     """lag_k = value k rows back within the item."""
-    o = _item_window(item_col)
-    return df.withColumns({f"lag_{k}": F.lag(target, k).over(o) for k in lags})
+    return df.withColumns(_lags(_item_window(item_col), lags, target))
 
 
 def rolling_features(df: DataFrame, windows=fixed.ROLL_WINDOWS, trend=fixed.TREND_WINDOW, *,
@@ -105,7 +109,10 @@ def rolling_features(df: DataFrame, windows=fixed.ROLL_WINDOWS, trend=fixed.TREN
     Strict: the full window is required (else NULL).  Relaxed: mean needs 1
     row, std needs 2 rows.
     """
-    o = _item_window(item_col)
+    return df.withColumns(_rolls(_item_window(item_col), windows, trend, target, strict))
+
+
+def _rolls(o, windows, trend, target, strict) -> dict:
     cols = {}
     for w in windows:
         f = o.rowsBetween(-w, -1)
@@ -115,13 +122,16 @@ def rolling_features(df: DataFrame, windows=fixed.ROLL_WINDOWS, trend=fixed.TREN
     f = o.rowsBetween(-trend, -1)
     n = F.count(target).over(f)
     cols[f"trend_{trend}d"] = F.when(n >= (trend if strict else 1), F.avg(target).over(f))
-    return df.withColumns(cols)
+    return cols
 
 
 def create_features(df: DataFrame, *, strict: bool = True, shop_cols: tuple = (),
-                    holidays: DataFrame | None = None, drop_incomplete: bool = True) -> DataFrame:
+                    holidays: DataFrame | None = None, drop_incomplete: bool = True, blocks: int | None = None) -> DataFrame:
     """W1 (strict) / W2 (short history): the full model feature frame.
 
+    With ``blocks`` the strict frame's lags and windows run over so many blocks of
+    rows with halo rows, and not over one task per item.
+
     Strict drops rows with a NULL in any feature or target column (not every
     column: see SURVEY 2.13 note 1).  Relaxed fills std with 0 and lags /
     means with the expanding mean of past rows, then 0.
@@ -135,8 +145,13 @@ def create_features(df: DataFrame, *, strict: bool = True, shop_cols: tuple = ()
     data = holiday_distance(data, shop_cols=shop_cols, holidays=holidays)
     data = shop_total_lag(data, k=7, shop_cols=shop_cols, strict=strict)
     key = (*shop_cols, "item_id")
-    data = lag_features(data, item_col=key)
-    data = rolling_features(data, item_col=key, strict=strict)
+    if strict and blocks:
+        back = max(*fixed.LAGS, *fixed.ROLL_WINDOWS, fixed.TREND_WINDOW)
+        data = halo.over_blocks(data, list(key), "date", back, lambda w: _lags(w, fixed.LAGS, "demand_qty") | _rolls(
+            w, fixed.ROLL_WINDOWS, fixed.TREND_WINDOW, "demand_qty", True), blocks)
+    else:
+        data = lag_features(data, item_col=key)
+        data = rolling_features(data, item_col=key, strict=strict)
     if not strict:
         o = _item_window(key)
         exp_mean = F.avg("demand_qty").over(o.rowsBetween(Window.unboundedPreceding, -1))

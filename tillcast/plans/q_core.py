@@ -185,6 +185,13 @@ def q_model_features(spark, d):
     return f.select(*_FEATURE_OUT, *_r(_FEATURE_ROUND))
 
 
+@query("model_features_blocks", _sql_features(True) + "\n" + _sql_feature_select(f"WHERE {_STRICT_NOT_NULL}"), ops="W1 W3 W4 W5 W6")
+def q_model_features_blocks(spark, d):
+    """The same frame from 24 blocks of rows with halo rows, where the items alone would give six tasks."""
+    f = features.create_features(common.raw_materialized(spark, d), blocks=24)
+    return f.select(*_FEATURE_OUT, *_r(_FEATURE_ROUND))
+
+
 @query("short_history_features", _sql_features(False) + "\n" + _sql_feature_select(""), ops="W2 W8")
 def q_short_features(spark, d):
     f = features.create_features(common.raw(spark, d), strict=False)
@@ -194,15 +201,16 @@ def q_short_features(spark, d):
 @query("small_feature_set", f"""WITH {SQL_DAILY},
 f AS (SELECT date, item_id, demand_qty, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week,
   {sql_lag('demand_qty', 1)} AS lag_1, {sql_lag('demand_qty', 7)} AS lag_7, {sql_lag('demand_qty', 14)} AS lag_14,
-  {sql_roll('demand_qty', 7, 1, 'avg', 7)} AS roll_mean_7, {sql_roll('demand_qty', 14, 1, 'stddev_samp', 14)} AS roll_std_14
+  {sql_roll('demand_qty', 7, 1, 'avg', 7)} AS roll_mean_7, {sql_roll('demand_qty', 7, 1, 'stddev_samp', 7)} AS roll_std_7,
+  {sql_roll('demand_qty', 14, 1, 'avg', 14)} AS roll_mean_14, {sql_roll('demand_qty', 14, 1, 'stddev_samp', 14)} AS roll_std_14
   FROM daily)
-SELECT date, item_id, demand_qty, day_of_week, lag_1, lag_7, lag_14, round(roll_mean_7, 4) AS roll_mean_7,
-       round(roll_std_14, 4) AS roll_std_14
+SELECT date, item_id, demand_qty, day_of_week, lag_1, lag_7, lag_14, round(roll_mean_7, 4) AS roll_mean_7, round(roll_std_7, 4) AS roll_std_7,
+       round(roll_mean_14, 4) AS roll_mean_14, round(roll_std_14, 4) AS roll_std_14
 FROM f WHERE lag_14 IS NOT NULL AND roll_std_14 IS NOT NULL""", ops="P2")
 def q_small_features(spark, d):
     f = features.small_feature_set(common.daily(spark, d))
     return f.select("date", "item_id", "demand_qty", "day_of_week", "lag_1", "lag_7", "lag_14",
-                    *_r(["roll_mean_7", "roll_std_14"]))
+                    *_r(["roll_mean_7", "roll_std_7", "roll_mean_14", "roll_std_14"]))
 
 
 @query("quality_report", _sql_features(True) + f""",
@@ -221,10 +229,9 @@ def q_quality(spark, d):
 
 
 @query("sequence_windows", f"""WITH {SQL_DAILY},
-n AS (SELECT item_id, date, demand_qty, promo, row_number() OVER (PARTITION BY item_id ORDER BY date) AS rn FROM daily)
-SELECT a.item_id, a.date, CAST(b.rn - (a.rn - 14) AS INTEGER) AS step, b.demand_qty AS demand_qty_t, CAST(b.promo AS DOUBLE) AS promo_t
-FROM n a JOIN n b ON a.item_id = b.item_id AND b.rn BETWEEN a.rn - 14 AND a.rn - 1
-WHERE a.rn > 14""", ops="W10")
+l AS (SELECT item_id, date, list(demand_qty) OVER w AS q, list(CAST(promo AS DOUBLE)) OVER w AS p FROM daily
+      WINDOW w AS (PARTITION BY item_id ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
+SELECT item_id, date, CAST(unnest(range(14)) AS INTEGER) AS step, unnest(q) AS demand_qty_t, unnest(p) AS promo_t FROM l WHERE len(q) = 14""", ops="W10")
 def q_sequences(spark, d):
     seq = features.sequence_windows(common.daily(spark, d), ["demand_qty", "promo"], timesteps=14)
     return seq.select("item_id", "date", F.posexplode("window").alias("step", "v")).select(

@@ -11,7 +11,7 @@ from tillcast.plans.registry import query
 
 
 def _run(spark, d):
-    """Every query fits its own models: its time and its rows are its own."""
+    """The stored run of these rows, or a fit of the whole search where there is none."""
     return model_run.fit_and_evaluate(common.raw_materialized(spark, d))
 
 
@@ -48,7 +48,7 @@ def q_model_metrics(spark, d):
 
 @query("feature_importance", ops="M6 T8")
 def q_feature_importance(spark, d):
-    return model_run.importance_frame(spark, _run(spark, d).models).orderBy(F.col("importance").desc(), "feature")
+    return _run(spark, d).importance.orderBy(F.col("importance").desc(), "feature")
 
 
 @query("recursive_forecast", ops="M7 M8 J12 M10")

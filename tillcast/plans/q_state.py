@@ -24,10 +24,10 @@ upd AS (SELECT target_date, product, predicted_qty, forecast_period FROM forecas
 SELECT * FROM tgt WHERE NOT EXISTS (SELECT 1 FROM upd WHERE upd.target_date = tgt.target_date AND upd.product = tgt.product)
 UNION ALL SELECT * FROM upd""", ops="U1 S14")
 def q_forecast_upsert(spark, d):
-    fc = tables.forecast_results(spark, d).select("target_date", "product", "predicted_qty", "forecast_period")
+    fc = tables.forecast_results(spark, d).select("target_date", "product", "predicted_qty", "forecast_period", "created_at")
     target = fc.where(F.col("forecast_period") == 7)
     updates = fc.where((F.col("forecast_period") == 1) & (F.col("target_date") >= F.lit(A).cast("date")))
-    return upsert.upsert(target, updates, ["target_date", "product"], [F.col("predicted_qty").desc()])
+    return upsert.upsert(target, updates, ["target_date", "product"], [F.col("created_at").desc()]).drop("created_at")
 
 
 _SQL_WEATHER_UPSERT = SQL_PIVOT.replace("FROM events)", "FROM events WHERE ts < TIMESTAMP '2024-01-16')") \
@@ -45,7 +45,8 @@ def q_weather_upsert(spark, d):
     ts = F.to_timestamp(F.concat("fcst_date", F.lit(" "), "fcst_time"), "yyyyMMdd HHmm")
     first = weather.weather_pivot(long.where(ts < F.lit("2024-01-16").cast("timestamp")))
     second = weather.weather_pivot(long.where(ts >= F.lit("2024-01-12").cast("timestamp")))
-    return upsert.upsert(first, second, ["region", "base_date", "base_time"], [F.col("temperature").desc()])
+    # the pivot has one row a key: there is nothing to choose between
+    return upsert.upsert(first, second, ["region", "base_date", "base_time"], [F.lit(1)])
 
 
 @query("forecast_overlay", f"""WITH {SQL_FORECASTS},
@@ -99,6 +100,7 @@ def q_stream_waste(spark, d):
     wastes = _stream_lines(spark, d).where(F.col("is_return")).select(
         "product_id", F.col("qty").cast("long").alias("quantity"))
     incremental.waste_stream(wastes, out, ck)
+    incremental.compact(spark, out, incremental.FOLD_WASTE, 0)
     res = incremental.read_batches_after_waste(spark, tables.inventory_batches(spark, d), out,
                                                tiebreak=tables.BATCH_TIEBREAK)
     return res.where(F.col("current_qty") > 0).select("batch_id", "product_id", "new_qty")

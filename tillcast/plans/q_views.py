@@ -89,9 +89,8 @@ def q_inventory_page(spark, d):
 
 
 @query("sequence_standardized", f"""WITH {SQL_DAILY},
-n AS (SELECT item_id, date, demand_qty, row_number() OVER (PARTITION BY item_id ORDER BY date) AS rn FROM daily),
-w AS (SELECT a.item_id, a.date, CAST(b.rn - (a.rn - 14) AS INTEGER) AS step, b.demand_qty AS v
-      FROM n a JOIN n b ON a.item_id = b.item_id AND b.rn BETWEEN a.rn - 14 AND a.rn - 1 WHERE a.rn > 14),
+l AS (SELECT item_id, date, list(demand_qty) OVER (PARTITION BY item_id ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS l FROM daily),
+w AS (SELECT item_id, date, CAST(unnest(range(14)) AS INTEGER) AS step, unnest(l) AS v FROM l WHERE len(l) = 14),
 s AS (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM w)
 SELECT item_id, date, step, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1.0 END, 4) AS z FROM w, s""", ops="M13 W10")
 def q_seq_std(spark, d):

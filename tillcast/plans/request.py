@@ -25,9 +25,10 @@ class RequestResult:
 
 def run_request(spark: SparkSession, *, avg_qty: DataFrame, products: DataFrame, stored: DataFrame,
                 request_date: str, weather_tags=(), event_tags=(), custom_input: str = "",
-                noise: float | str = 1.0) -> RequestResult:
+                noise: float | str = 1.0, run_at: str | None = None) -> RequestResult:
     """``avg_qty``: name, avg_qty; ``products``: name; ``stored``: target_date, product, predicted_qty,
-    created_at, forecast_period."""
+    created_at, forecast_period.  ``run_at`` is the run's time in the log, the start of the request's
+    day by default: no clock is read.  A product and day has one fresh row, which replaces a stored one."""
     req = spark.createDataFrame([(request_date, list(weather_tags), list(event_tags), custom_input)],
                                 "request_date string, weather_tags array<string>, event_tags array<string>, "
                                 "custom_input string")
@@ -39,7 +40,7 @@ def run_request(spark: SparkSession, *, avg_qty: DataFrame, products: DataFrame,
                          F.col("q50_daily").cast("double").alias("predicted_qty"),
                          F.lit(request_date).cast("date").alias("created_at"), F.lit(1).alias("forecast_period")))
     merged = upsert.upsert(stored.select("target_date", "product", "predicted_qty", "created_at", "forecast_period"),
-                           fresh, ["target_date", "product"], [F.col("predicted_qty").desc()])
-    run_log = log.select(F.current_timestamp().alias("run_datetime"), "weather_factors", "event_factors",
+                           fresh, ["target_date", "product"], [F.col("created_at").desc()])
+    run_log = log.select(F.lit(run_at or request_date).cast("timestamp").alias("run_datetime"), "weather_factors", "event_factors",
                          "impact_summary", "weight_pct")
     return RequestResult(grid, merged, run_log)

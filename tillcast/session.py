@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_sources(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per Spark context.
+
+    Functions that run in tasks are pickled by reference, so executors must be
+    able to import them; this is what ``spark-submit --py-files`` would do.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tillcast_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tillcast-src-"), "tillcast_src.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(out)
+    sc._tillcast_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir (for written tables)."""
     base = checkpoint_dir(spark)
