@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.session import scratch_path
+from tillcast.session import scratch_path, ship_sources
 
 # the white space of every operator here, as a class for Java and RE2 patterns
 SPACE = r"[\x20\x09-\x0D]"
@@ -28,32 +25,28 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship_package(spark: SparkSession) -> None:
     """Send this package's sources to the executors, once per Spark context.
 
-    Functions that run in tasks are pickled by reference, so executors must be
-    able to import them; this is what ``spark-submit --py-files`` would do.
     Unless the session says otherwise, Arrow batches get 2,000 rows: documents
     are long, and a batch is held by the JVM and by Python at the same time.
     """
-    sc = spark.sparkContext
     if spark.conf.get(ARROW_ROWS, "-1") == "-1":  # not set
         spark.conf.set(ARROW_ROWS, "2000")
-    if getattr(sc, "_tillcast_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    out = os.path.join(tempfile.mkdtemp(prefix="tillcast-src-"), "tillcast_src.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    path = os.path.join(folder, n)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    sc.addPyFile(out)
-    sc._tillcast_shipped = True
+    ship_sources(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct: whatever their names, they meet no others."""
+    return F.struct(*[quoted(c).alias(c) for c in docs.columns])
+
+
 def whole_text(col: Column | str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import SPACE, SPACES, row_slices, strings, table, whole_text
+from tillcast.llm.common import SPACE, SPACES, packed, row_slices, strings, table, whole_text
 from tillcast.llm.registry import query
 
 N_SALTS = 256           # members of one text are joined in so many parts
@@ -267,14 +267,15 @@ def drop_copies(docs: DataFrame, local_bytes: int = LOCAL_BYTES, table_bytes: in
     """The documents that stay, with all their columns.
 
     The same tables as in ``exact_dedup``, but the best row itself travels with
-    its text, so whole documents are shuffled once and nothing is joined.
+    its text, so whole documents are shuffled once and nothing is joined.  A row
+    travels as one struct, so its columns may have any names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([StructField("row", docs.schema), StructField("hash", LongType())])
     kind = to_arrow_schema(schema).field("row").type
-    reps = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).mapInArrow(best_rows_local(kind, local_bytes), schema)
+    reps = docs.select(packed(docs).alias("row")).mapInArrow(best_rows_local(kind, local_bytes), schema)
     return reps.repartition("hash").mapInArrow(best_rows(kind, table_bytes), schema).select("row.*")
 
 

@@ -1,13 +1,16 @@
 """URL filters: rules, and trust over the host graph for what no rule judges.
 
 Host edges come from the pages' links and from the domain tree (a host and its
-parent domain name each other).  Personalised PageRank spreads trust from hosts
-with allowed pages along the edges, and distrust from hosts with blocked pages
-against them.  A host whose distrust outweighs its trust by the ratio, and is
+parent domain name each other, up to names of ``DOMAIN_LABELS`` labels: names above
+a registered domain join hosts of strangers).  Personalised PageRank spreads trust
+from hosts with allowed pages along the edges, and distrust from hosts with blocked
+pages against them.  A host whose distrust outweighs its trust by the ratio, and is
 more than an even share of the walk, is blocked.
 
-Edges are one row per host pair, counted on the map side; an iteration is one
-join and one grouped sum, and ranks are written out every few iterations.
+Edges are one row per host pair, counted on the map side.  Ranks are the sum of the
+walk's steps, (1 - damping) * damping^j of the weight after j of them; a step is one
+join and one grouped sum, written out.  Steps are added until what is still on its
+way is below the tolerance, which bounds the error of all ranks together.
 
 Results for odd input: a null url or one without '://' has an empty host and
 path, no rule and the verdict allow; null html has no links; repeated rows each
@@ -26,8 +29,9 @@ from tillcast.llm.registry import query
 # (rule, verdict): a host with all its subdomains, and the start of the path
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-ITERATIONS = 10
-STORE_EVERY = 5
+TOLERANCE = 1e-6  # weight that may be missing from all ranks of a kind together
+STORE_EVERY = 4
+DOMAIN_LABELS = 2 # labels of the shortest name in the domain tree
 RATIO = 2.0       # distrust over trust from which a host is blocked
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,31 +72,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
               .groupBy("src", "dst").agg(F.count("*").alias("n")))
     names = pages.select(url_host(F.col("url")).alias("h")).where("h != ''").distinct()
     labels = F.split("h", r"\.")
-    chain = F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.struct(
+    chain = F.transform(F.sequence(F.lit(1), F.size(labels) - DOMAIN_LABELS), lambda i: F.struct(
         F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("src"),
         F.array_join(F.slice(labels, i + 1, F.size(labels)), ".").alias("dst")))
-    up = names.where(F.size(labels) > 1).select(F.explode(chain).alias("e")).select("e.src", "e.dst").distinct()
+    up = names.where(F.size(labels) > DOMAIN_LABELS).select(F.explode(chain).alias("e")).select("e.src", "e.dst").distinct()
     tree = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1).cast("long"))
     return across.unionByName(tree).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, r): walks from the seeds of each kind; edges (kind, src, dst, share) have shares that sum to 1 by src.
 
     A walk ends at a host without edges, so a kind's ranks sum to 1 at most.
     """
-    ranks = seeds
-    for i in range(1, iterations + 1):
-        step = (ranks.join(edges, (ranks["kind"] == edges["kind"]) & (ranks["host"] == edges["src"]))
-                .select(ranks["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("r") * F.col("share")).alias("r")))
-        back = seeds.select("kind", "host", ((1 - F.lit(damping)) * F.col("r")).alias("r"))
-        ranks = step.unionByName(back).groupBy("kind", "host").agg(F.sum("r").alias("r"))
-        if i % STORE_EVERY == 0 or i == iterations:
-            ranks = stored(ranks, "link-ranks")
-    return ranks
-
-
-def host_trust(pages: DataFrame, judged: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+    # ``on``: weight on its way after the steps so far; ``r``: the rank so far
+    state = stored(seeds.select("kind", "host", F.col("r").alias("on"), ((1 - F.lit(damping)) * F.col("r")).alias("r")), "link-ranks")
+    left = 1.0
+    while left > tolerance:
+        for _ in range(STORE_EVERY):
+            step = (state.where("on > 0").join(edges, (state["kind"] == edges["kind"]) & (state["host"] == edges["src"]))
+                    .select(state["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("on") * F.col("share")).alias("on"), F.lit(0.0).alias("r")))
+            state = (step.unionByName(state.select("kind", "host", F.lit(0.0).alias("on"), "r")).groupBy("kind", "host")
+                     .agg(F.sum("on").alias("on"), (F.sum("r") + (1 - F.lit(damping)) * F.sum("on")).alias("r")))
+        state = stored(state, "link-ranks")
+        left = state.groupBy("kind").agg(F.sum("on").alias("on")).agg(F.coalesce(F.max("on"), F.lit(0.0))).first()[0]
+    return state.select("kind", "host", "r")
+
+
+def host_trust(pages: DataFrame, judged: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) for every host that a seed reaches."""
     links = host_edges(pages)
     kinds = (links.select(F.lit("trust").alias("kind"), "src", "dst", "n")
@@ -103,15 +110,15 @@ def host_trust(pages: DataFrame, judged: DataFrame, damping: float = DAMPING, it
              .agg(F.count("*").alias("n")))
     sums = marks.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = stored(marks.join(sums, "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("r")), "link-seeds")
-    ranks = spread(edges, seeds, damping, iterations)
+    ranks = spread(edges, seeds, damping, tolerance)
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("r")).otherwise(0.0)).alias(kind)
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, ratio: float = RATIO, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust (of the host)."""
     judged = stored(judged_pages(pages, rules), "link-pages")
-    scores = stored(host_trust(pages, judged, damping, iterations), "link-trust")
+    scores = stored(host_trust(pages, judged, damping, tolerance), "link-trust")
     even = F.lit(1.0 / max(scores.count(), 1))
     scores = scores.select(F.col("host").alias("_h"), "trust", "distrust",
                            ((F.col("distrust") > ratio * F.col("trust")) & (F.col("distrust") > even)).alias("_bad"))

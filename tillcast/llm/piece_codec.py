@@ -8,10 +8,11 @@ byte fallback, and the decoder that undoes them.  Where no piece has a marker
 after another character, texts are cut before each run of markers: no merge can
 cross there, and words repeat, so the library's cache works.
 
-Batches are encoded on several threads.  In each batch, texts of up to
-``PARITY_BYTES`` bytes together are also encoded by sentencepiece itself; on any
-difference the whole batch is encoded by it instead.  The check guards the
-backend and changes no result while both agree.
+Batches are encoded on several threads, and every text is verified against
+sentencepiece itself.  Where texts may be cut before markers, and the normaliser
+only marks spaces, a text's ids are those of its words, so each distinct word of a
+task is encoded by both; a text with a word on which they differ is encoded by
+sentencepiece instead.  Other models are verified text by text.
 
 Results for odd input: null text is empty and has no tokens; strings of control
 pieces in texts are ordinary text; repeated rows and null ids each give their
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -35,9 +37,10 @@ from tillcast.llm.registry import query
 from tillcast.llm.token_counts import THREADS
 
 MARK = "▁"
+PART = re.compile(" *[^ ]+| +")
 UNIGRAM, BPE = 1, 2                    # trainer_spec.model_type
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types
-PARITY_BYTES = 1 << 16
+KNOWN_WORDS = 1 << 20  # verified words that a task remembers; beyond that they are verified again
 
 _models: dict = {}
 _bytes: dict = {}
@@ -138,27 +141,52 @@ def build_tokenizer(model: ModelFile):
     return tok
 
 
+class Parity:
+    """Whether the two encoders agree, by text."""
+
+    def __init__(self, model: ModelFile, tok, own):
+        self.tok, self.own = tok, own
+        # the tokenizer cuts before each run of markers, and each cut part begins with one
+        self.by_word = bool(model.marks and model.dummy_prefix and not model.charsmap and not model.strip_extra and tok.pre_tokenizer)
+        self.good: set[str] = set()
+        self.bad: set[str] = set()
+
+    def _words(self, text: str) -> set[str]:
+        """The parts of a text, without the one space that a lone part gets as its prefix."""
+        if "  " not in text and MARK not in text and text[:1] != " " and text[-1:] != " ":
+            return set(text.split(" "))
+        return {x[1:] for x in PART.findall(" " + text.replace(MARK, " "))}
+
+    def differing(self, texts: list[str], ids: list[list[int]]) -> list[int]:
+        """Numbers of the texts on which the encoders may differ."""
+        if not self.by_word:
+            return [i for i, (a, b) in enumerate(zip(self.own.encode(texts, num_threads=1), ids)) if a != b]
+        words = [self._words(t) for t in texts]
+        new = list(set().union(*words) - self.good - self.bad)
+        if len(self.good) > KNOWN_WORDS:
+            self.good = set()
+        for w, a, b in zip(new, self.own.encode(new, num_threads=1), self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            (self.good if a == b.ids else self.bad).add(w)
+        return [i for i, w in enumerate(words) if not self.bad.isdisjoint(w)] if self.bad else []
+
+
 def load(path: str):
-    """(model file, tokenizer, sentencepiece processor), made once per Python worker."""
+    """(model file, tokenizer, sentencepiece processor, parity), made once per Python worker."""
     if path not in _models:
         os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library starts its pool
         import sentencepiece
-        m = ModelFile(path)
-        _models[path] = (m, build_tokenizer(m), sentencepiece.SentencePieceProcessor(model_file=path))
+        m, own = ModelFile(path), sentencepiece.SentencePieceProcessor(model_file=path)
+        tok = build_tokenizer(m)
+        _models[path] = (m, tok, own, Parity(m, tok, own))
     return _models[path]
 
 
-def encode_texts(texts: list[str], path: str, parity_bytes: int = PARITY_BYTES) -> list[list[int]]:
+def encode_texts(texts: list[str], path: str) -> list[list[int]]:
     """Ids of whole texts, as sentencepiece gives them."""
-    _, tok, own = load(path)
+    _, tok, own, parity = load(path)
     ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    probe, size = [], 0
-    for i in np.argsort([len(t) for t in texts], kind="stable").tolist()[::-1]:
-        if size + len(texts[i]) <= parity_bytes:
-            probe.append(i)
-            size += len(texts[i])
-    if any(own.encode(texts[i]) != ids[i] for i in probe):
-        ids = own.encode(texts, num_threads=1)
+    for i in parity.differing(texts, ids):
+        ids[i] = own.encode(texts[i])
     return ids
 
 
@@ -177,7 +205,7 @@ def piece_bytes(model: ModelFile) -> list[bytes]:
 
 def decode_ids(ids: list[list[int]], path: str) -> list[str]:
     """Decoded texts: the bytes of the ids joined; the library decodes what holds unknown ids or is not UTF-8."""
-    model, tok, _ = load(path)
+    model, tok, *_ = load(path)
     if path not in _bytes:
         _bytes[path] = piece_bytes(model)
     of, out = _bytes[path].__getitem__, []
@@ -201,11 +229,11 @@ def flat_lists(ids: list[list[int]]) -> pa.Array:
 CODED_SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, lossless boolean"
 
 
-def coder(path: str, parity_bytes: int):
+def coder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "text"):
             texts = strings(b, "text")
-            ids = encode_texts(texts, path, parity_bytes)
+            ids = encode_texts(texts, path)
             back = decode_ids(ids, path)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), flat_lists(ids),
@@ -214,10 +242,10 @@ def coder(path: str, parity_bytes: int):
     return run
 
 
-def piece_codes(docs: DataFrame, model_path: str, parity_bytes: int = PARITY_BYTES) -> DataFrame:
+def piece_codes(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: its ids, their number, the digest of the decoded text, and whether that is the text; no shuffle."""
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-            .mapInArrow(coder(model_path, parity_bytes), CODED_SCHEMA))
+            .mapInArrow(coder(model_path), CODED_SCHEMA))
 
 
 @query("op4_piece_codec")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import LOWER, row_slices, stored, table, whole_text
+from tillcast.llm.common import LOWER, packed, row_slices, stored, table, whole_text
 from tillcast.llm.components import components
 from tillcast.llm.registry import query
 
@@ -500,10 +500,21 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tupl
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """The documents with one of each component, that of the least id; rows without an id stay."""
-    gone = stored(near_duplicates(docs, words, threshold).where("doc_id <> component_id")
-                  .select(F.col("doc_id").alias("_gone")).distinct(), "shingle-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """The documents with one row of each component, that of the least id (null last).
+
+    Rows are told apart by a number that is written with them, so rows that repeat an
+    id, or have none, are judged one by one.  Columns may have any names.
+    """
+    rows = stored(docs.select(packed(docs).alias("row"), F.monotonically_increasing_id().alias("key")), "shingle-rows")
+    near = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words, threshold)
+    near = stored(near.select(F.col("doc_id").alias("key"), "component_id"), "shingle-near")
+    shared = near.where(F.col("key") != F.col("component_id")).select("component_id").distinct()
+    doc_id = F.col("row.doc_id").cast("long")
+    members = (near.join(shared, "component_id", "left_semi")
+                   .join(rows.select("key", doc_id.isNull().alias("nul"), doc_id.alias("id")), "key"))
+    best = members.groupBy("component_id").agg(F.min(F.struct("nul", "id", "key")).alias("best"))
+    gone = stored(members.join(best, "component_id").where(F.col("key") != F.col("best.key")).select("key"), "shingle-gone")
+    return rows.join(gone, "key", "left_anti").select("row.*")
 
 
 SQL = r"""

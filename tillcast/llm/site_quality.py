@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import stored, table
+from tillcast.llm.common import packed, stored, table
 from tillcast.llm.registry import query
 from tillcast.llm.text_stats import base_stats, label_by_document, shares
 
@@ -123,11 +123,13 @@ def keep_quality(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The documents that the classifier keeps, with all their columns.
 
     Rows that repeat an id stay if one of them is kept; rows without an id stay.
+    Columns may have any names: only ``doc_id``, ``text``, host and path are read.
     """
     verdicts = site_quality(docs, labels, **params)
-    gone = (verdicts.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.max("kept").alias("_k"))
-            .where(~F.col("_k")).select("_gone"))
-    return docs.join(stored(gone, "site-gone"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = (verdicts.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.max("kept").alias("k"))
+            .where(~F.col("k")).select("id"))
+    whole = docs.select(packed(docs).alias("row"))
+    return whole.join(stored(gone, "site-gone"), F.col("row.doc_id").cast("long") == F.col("id"), "left_anti").select("row.*")
 
 
 @query("op6_site_quality")

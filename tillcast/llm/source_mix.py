@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.llm.common import SPACE, WORD, stored, table
+from tillcast.llm.common import SPACE, WORD, packed, stored, table
 from tillcast.llm.registry import query
 
 WEIGHTS = (5, 2, 1)
@@ -183,25 +183,25 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES
     A row has the columns of its document; ``text`` is cut to the words that the
     slot takes, and ``n_chars``, where there is one, is that of the cut text.  So
     the words of each source are its rounded target.  Rows that repeat an id are
-    told apart by a number that is written with them.
+    told apart by a number that is written with them.  Documents without words are
+    not taken; an empty table gives no rows; columns may have any names.
     """
-    cols = docs.columns
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    ties = [F.xxhash64(*cols).alias("_tie"), F.col("_row")]
-    sizes = stored(document_sizes(rows, seed, ties), "mix-sizes")
+    rows = stored(docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    flat = rows.select("doc.doc_id", "doc.text", "doc.source", "row", F.xxhash64("doc").alias("tie"))
+    sizes = stored(document_sizes(flat, seed, [F.col("tie"), F.col("row")]), "mix-sizes")
     targets = stored(source_targets(sizes, weights, max_passes), "mix-sources")
-    lines = stored(document_lines(sizes, targets, ("_tie", "_row")), "mix-lines")
+    lines = stored(document_lines(sizes, targets, ("tie", "row")), "mix-lines")
     takes = (mixture(lines, slot_schedule(targets, block_words), block_words)
-             .groupBy("_row").agg(F.collect_list(F.struct("slot", "rk", "start", "from_word", "to_word", "size")).alias("_takes")))
-    new = {"text": F.col("_take._text")}
-    if "n_chars" in cols:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.col("_take._whole"), F.col("n_chars")).otherwise(F.char_length("_take._text").cast(kind))
+             .groupBy("row").agg(F.collect_list(F.struct("slot", "rk", "start", "from_word", "to_word", "size")).alias("takes")))
     # a row per document: never one to broadcast
-    return (rows.join(takes.hint("merge"), "_row")
-            .select(*[c for c in cols if c != "text"], F.explode(_cut_text("_takes")).alias("_take"))
-            .select(*[new.get(c, F.col(c)).alias(c) for c in cols], "_take")
-            .orderBy("_take._slot", "_take._rk", "_take._start").select(*cols))
+    out = (rows.join(takes.hint("merge"), "row").withColumn("text", F.col("doc.text"))
+               .select("doc", F.explode(_cut_text("takes")).alias("take"))
+               .orderBy("take._slot", "take._rk", "take._start"))
+    new = {"text": F.col("take._text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("take._whole"), F.col("doc.n_chars")).otherwise(F.char_length("take._text").cast(kind))
+    return out.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""
