@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again for the next.  All but the last return the columns of
 ``documents``.
+
+Results for odd input, in every stage: an empty table gives an empty result; null and
+empty texts are ordinary documents without words (the mixture takes only documents
+with words); null ids, and ids that several rows share, are judged row by row, except
+that the quality stage, whose verdicts are by id, keeps all rows of an id of which it
+keeps one; of rows that tie one stays, of equal rows any; a row travels as one struct,
+so columns may have any names, and those that a stage doesn't know pass unchanged.
 """
 
 from __future__ import annotations

@@ -7,6 +7,7 @@ import os
 import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillcast.operators import demand, features, quantile, recursive, weather
@@ -66,11 +67,21 @@ def _py_model(model, row, columns):
     return total
 
 
-def test_recursive_forecast_matches_python_loop(spark):
+@pytest.mark.parametrize("overrides", [False, True])
+def test_recursive_forecast_matches_python_loop(spark, overrides):
     raw, _ = _raw(spark, n_days=90, seed=3)
+    if overrides:  # events and weather that the trees can split on
+        raw = raw.withColumns({"temp_c": (F.dayofmonth("date") % 9).cast("double"), "promo": (F.dayofmonth("date") % 4 == 0).cast("int"),
+                               "event_score_100": F.when(F.dayofmonth("date") % 5 == 0, 80.0).otherwise(0.0)})
+        raw = raw.withColumn("demand_qty", F.col("demand_qty") + F.col("temp_c") * 2 + F.col("promo") * 15 + F.col("event_score_100") / 4).checkpoint()
     feat = features.create_features(raw)
     qm = quantile.train_quantile_models(feat, n_stages=4, learning_rate=0.3, max_depth=3)
-    paths = {r["item_id"]: r for r in recursive.recursive_forecast(qm, raw, feat, horizon=10).collect()}
+    last = raw.agg(F.max("date")).first()[0]
+    # known for some days only, and there not all of them
+    future = {last + dt.timedelta(days=k): {"temp_c": 7.5 if k != 3 else None, "promo": 1.0, "event_score_100": 90.0} for k in (1, 3, 4, 8)} if overrides else {}
+    fx = spark.createDataFrame([(d, v["temp_c"], v["promo"], v["event_score_100"]) for d, v in future.items()],
+                               "date date, temp_c double, promo double, event_score_100 double") if overrides else None
+    paths = {r["item_id"]: r for r in recursive.recursive_forecast(qm, raw, feat, horizon=10, future_exogenous=fx).collect()}
     rows = sorted(raw.collect(), key=lambda r: (r["item_id"], r["date"]))
     hol = sorted({r["date"] for r in rows if r["is_holiday"] == 1})
     as_of = max(r["date"] for r in rows)
@@ -88,9 +99,10 @@ def test_recursive_forecast_matches_python_loop(spark):
             lag = lambda k: (h[-1] if len(h) < k else h[-k]) if h else 0.0
             mean = lambda a: sum(a) / len(a) if a else 0.0
             std = lambda a: 0.0 if len(a) <= 1 else math.sqrt(sum((x - mean(a)) ** 2 for x in a) / (len(a) - 1))
-            row = {"item_id": item, "temp_c": lk["temp_c"], "rain_mm": lk["rain_mm"], "is_holiday": 0,
-                   "promo": lk["promo"], "event_score_100": lk["event_score_100"], "is_event": 0, "major_event_flag": 0,
-                   "event_score_x_weekend": 0.0, "event_score_x_promo": 0.0, "day_of_week": wd,
+            ex = {k: lk[k] for k in ("temp_c", "rain_mm", "promo", "event_score_100")} | {k: v for k, v in future.get(d, {}).items() if v is not None}
+            ev = ex["event_score_100"]
+            row = {"item_id": item, **ex, "is_holiday": 0, "is_event": int(ev > 0), "major_event_flag": int(ev >= 70),
+                   "event_score_x_weekend": ev * (wd >= 5), "event_score_x_promo": ev * ex["promo"], "day_of_week": wd,
                    "is_weekend": int(wd >= 5), "month": d.month, "day_of_month": d.day, "days_to_holiday": 999,
                    "days_since_holiday": min(since) if since else 999, "shop_total_lag_7": lk["shop_total_lag_7"],
                    "trend_28d": mean(h[-28:]), "lag_1": lag(1), "lag_7": lag(7), "lag_14": lag(14), "lag_28": lag(28),

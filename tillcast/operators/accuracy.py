@@ -122,10 +122,10 @@ def actual_vs_predicted(sales: DataFrame, forecasts: DataFrame, as_of) -> DataFr
         (F.col("date") == a).alias("is_today"))
 
 
-def dashboard_kpis(sales: DataFrame, forecasts: DataFrame, stock: DataFrame, expiring: DataFrame, as_of) -> DataFrame:
+def dashboard_kpis(sales: DataFrame, forecasts: DataFrame, stock: DataFrame, as_of) -> DataFrame:
     """One row: predicted today, today / yesterday / last-7 quantity, day-over-day %,
-    low-stock count and expiring count.  Each input is reduced to one row first and
-    the rows are read as scalar subqueries."""
+    low-stock count and expiring count.  Each input is reduced to one row in one pass,
+    and the rows are read as scalar subqueries."""
     a = as_of_date(as_of)
     d = F.col("date")
     s = (sales.where((d >= F.date_sub(a, 7)) & (d <= a))
@@ -134,9 +134,9 @@ def dashboard_kpis(sales: DataFrame, forecasts: DataFrame, stock: DataFrame, exp
               F.coalesce(F.sum(F.when(d < a, F.col("qty"))), F.lit(0.0)).alias("last7_qty")))
     p = (reports.forecast_day_totals(forecasts.where(F.col("target_date") == a))
          .agg(F.floor(F.coalesce(F.sum("predicted"), F.lit(0.0)) + 0.5).alias("predicted_today")))
-    low = stock.agg(F.count_if(F.col("status") == "low").alias("low_stock"))
-    exp = expiring.agg(F.count(F.lit(1)).alias("expiring_count"))
-    cols = [(s, "today_qty"), (s, "yesterday_qty"), (s, "last7_qty"), (p, "predicted_today"), (low, "low_stock"),
-            (exp, "expiring_count")]
-    j = sales.sparkSession.range(1).select(*[df.select(c).scalar().alias(c) for df, c in cols])
+    left = F.datediff(F.col("expiration_date"), a)
+    held = stock.agg(F.count_if(F.col("status") == "low").alias("low_stock"),
+                     F.count_if(left.between(0, fixed.EXPIRING_DAYS)).alias("expiring_count"))
+    one = [df.select(F.struct(*df.columns).alias("r")).scalar() for df in (s, p, held)]
+    j = sales.sparkSession.range(1).select(*[r[c].alias(c) for r, df in zip(one, (s, p, held)) for c in df.columns])
     return j.withColumn("day_over_day_pct", pct_change("today_qty", "yesterday_qty"))

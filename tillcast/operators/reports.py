@@ -128,8 +128,8 @@ def forecast_day_totals(forecasts: DataFrame) -> DataFrame:
 
 
 def stock_view(batches: DataFrame, product: DataFrame, *, min_stock=fixed.DEFAULT_MIN_STOCK,
-               max_stock=fixed.DEFAULT_MAX_STOCK, daily_usage=fixed.DEFAULT_DAILY_USAGE) -> DataFrame:
-    """P10 + P17: inventory rows with thresholds, stock % and status."""
+               max_stock=fixed.DEFAULT_MAX_STOCK, daily_usage=fixed.DEFAULT_DAILY_USAGE, extra: tuple = ()) -> DataFrame:
+    """P10 + P17: inventory rows with thresholds, stock % and status, and the batch columns ``extra``."""
     p = product.select("product_id", "name", "category", "selling_price")
     j = batches.join(p, "product_id", "left")
     out = j.select(
@@ -142,7 +142,7 @@ def stock_view(batches: DataFrame, product: DataFrame, *, min_stock=fixed.DEFAUL
         F.lit(min_stock).cast("double").alias("min_stock"), F.lit(max_stock).cast("double").alias("max_stock"),
         F.coalesce("selling_price", F.lit(0.0)).alias("unit_price"),
         F.lit(daily_usage).cast("double").alias("daily_usage"),
-        F.col("received_date").alias("last_updated"))
+        F.col("received_date").alias("last_updated"), *extra)
     pct, status = stock_status("current_stock", "min_stock", "max_stock")
     return out.withColumn("stock_pct", pct.cast("long")).withColumn("status", status)
 

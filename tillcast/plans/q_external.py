@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import functions as F
 
@@ -82,14 +81,13 @@ def q_weather_alert(spark, d):
 
 # ------------------------------------------------------------------ grid
 def _grid_sql(lat: str, lon: str) -> tuple[str, str]:
-    rad = math.pi / 180.0
-    _, re_, sn, sf, ro = grid._projection_constants()
-    ra = f"({re_ * sf!r} / pow(tan({math.pi * 0.25!r} + ({lat}) * {rad * 0.5!r}), {sn!r}))"
-    th0 = f"(({lon}) * {rad!r} - {grid.ORIGIN_LON * rad!r})"
+    # the projection's numbers, spelled out apart from the code under test
+    ra = f"(2284.6763975402346 / pow(tan(0.7853981633974483 + ({lat}) * 0.008726646259971648), 0.715566847180628))"
+    th0 = f"(({lon}) * 0.017453292519943295 - 2.199114857512855)"
     th1 = f"(CASE WHEN {th0} > pi() THEN {th0} - 2.0 * pi() ELSE {th0} END)"
-    th = f"((CASE WHEN {th1} < -pi() THEN {th1} + 2.0 * pi() ELSE {th1} END) * {sn!r})"
-    nx = f"CAST(floor({ra} * sin({th}) + {grid.ORIGIN_X} + 0.5) AS INTEGER)"
-    ny = f"CAST(floor({ro!r} - {ra} * cos({th}) + {grid.ORIGIN_Y} + 0.5) AS INTEGER)"
+    th = f"((CASE WHEN {th1} < -pi() THEN {th1} + 2.0 * pi() ELSE {th1} END) * 0.715566847180628)"
+    nx = f"CAST(floor({ra} * sin({th}) + 43 + 0.5) AS INTEGER)"
+    ny = f"CAST(floor(1366.777782832094 - {ra} * cos({th}) + 136 + 0.5) AS INTEGER)"
     return nx, ny
 
 
@@ -106,7 +104,8 @@ def q_grid_cells(spark, d):
     return c.select("id", "lat", "lon", nx.alias("nx"), ny.alias("ny"))
 
 
-_PROV_VALUES = ", ".join(f"({i}, '{n}', {x}, {y})" for i, (n, x, y) in enumerate(fixed.PROVINCE_CELLS))
+_PROV_VALUES = ("(0, '서울', 61, 125), (1, '부산', 98, 76), (2, '인천', 55, 124), (3, '대구', 89, 90), (4, '광주', 58, 74), (5, '대전', 67, 100), (6, '울산', 102, 84), (7, '세종', 66, 103), (8, '경기', 60, 120), "
+                "(9, '강원', 73, 134), (10, '충북', 69, 107), (11, '충남', 68, 100), (12, '전북', 63, 89), (13, '전남', 51, 67), (14, '경북', 87, 106), (15, '경남', 91, 77), (16, '제주', 52, 38)")
 
 
 @query("nearest_region", f"""WITH {SQL_CUST},

@@ -52,19 +52,6 @@ def q_csv_roundtrip(spark, d):
                          F.round("sales_amount", 4).alias("sales_amount"))
 
 
-@query("report_export", ops="S13 S12")
-def q_report_export(spark, d):
-    """Export the four report sections for a week and read the daily-sales section back."""
-    from tillcast.operators import accuracy, reports
-    out = scratch_path(spark, "report-export")
-    sales = tables.product_day_sales(spark, d)
-    waste = reports.waste_view(tables.waste_history(spark, d), tables.product(spark, d))
-    acc = accuracy.forecast_accuracy(tables.forecast_results(spark, d), sales)
-    paths = sinks.export_report(out, sales=sales, stock=_stock(spark, d), waste=waste, accuracy=acc,
-                                date_from=tables.AS_OF_SALES)
-    return spark.read.option("header", True).csv(paths["daily_sales"])
-
-
 @query("stock_value_labels", f"""WITH {SQL_STOCK},
 v AS (SELECT category, CAST(floor(round(SUM(unit_price * current_stock), 2) + 0.5) AS BIGINT) AS value FROM stock GROUP BY 1)
 SELECT category, value, '₩' || format('{{:,}}', value) AS label, value AS parsed FROM v""", ops="F6 F9")
@@ -77,9 +64,18 @@ def q_stock_labels(spark, d):
     return lab.withColumn("parsed", currency_to_number("label"))
 
 
-_RULES_SQL = " + ".join(f"(CASE WHEN regexp_matches(text, '{p}') THEN {w} ELSE 0 END)" for p, _, w in fixed.KEYWORD_RULES)
-_LABELS_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{lab}' END"
-                                             for p, lab, _ in fixed.KEYWORD_RULES) + ")"
+# the rules as the specification words them, apart from the table that the code reads
+_SPOKEN = (
+    ('비|소나기|장마|강우', '소나기/비(-10%)', -10),
+    ('눈|폭설|함박눈', '폭설/눈(-15%)', -15),
+    ('폭염|더위|무더위', '폭염(+20%)', 20),
+    ('축제|페스티벌|행사', '축제(+30%)', 30),
+    ('콘서트|공연', '공연(+20%)', 20),
+    ('우박|태풍', '태풍/악천후(-30%)', -30),
+    ('소풍|운동회|체육대회|나들이|마라톤', '야외행사(+15%)', 15),
+)
+_RULES_SQL = " + ".join(f"(CASE WHEN regexp_matches(text, '{p}') THEN {w} ELSE 0 END)" for p, _, w in _SPOKEN)
+_LABELS_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{lab}' END" for p, lab, _ in _SPOKEN) + ")"
 
 
 @query("conversation_keyword_tags", f"""
@@ -122,3 +118,36 @@ def q_daily_by_month(spark, d):
     sinks.write_by_month(common.daily(spark, d).select("date", "item_id", "demand_qty"), path)
     back = sinks.read_months(spark, path, "1900-01-01", "2999-12-31")
     return back.select("date", "item_id", F.round("demand_qty", 4).alias("demand_qty"), "month")
+
+
+@query("source_gate", f"""WITH {SQL_DAILY}
+SELECT date, item_id, round(demand_qty, 4) AS demand_qty, round(sales_amount, 4) AS sales_amount FROM daily""", ops="S2 S3 S7 S8 Q1")
+def q_source_gate(spark, d):
+    """Five candidates, loaded and judged by one plan; the older whole export is the first that passes."""
+    chosen, _ = pos.gated_source(spark, _candidates(spark, d))
+    return chosen.select("date", "item_id", F.round("demand_qty", 4).alias("demand_qty"), F.round("sales_amount", 4).alias("sales_amount"))
+
+
+@query("source_gate_verdicts", f"""WITH {SQL_DAILY},
+n AS (SELECT item_id, count(*) AS n FROM daily GROUP BY item_id)
+SELECT 'export' AS source, (SELECT count(*) FROM daily) AS rows, (SELECT count(*) FROM n) AS items, true AS ok, NULL AS reason
+UNION ALL SELECT 'broken_export', 0, 0, false, 'no valid rows' UNION ALL SELECT 'empty_export', 0, 0, false, 'no valid rows'
+UNION ALL SELECT 'short_export', (SELECT count(*) FROM daily WHERE date < (SELECT min(date) FROM daily) + 5),
+  (SELECT count(DISTINCT item_id) FROM daily WHERE date < (SELECT min(date) FROM daily) + 5), false, 'insufficient history per item'
+UNION ALL SELECT 'sample_export', (SELECT count(*) FROM daily), (SELECT count(*) FROM n), true, NULL""", ops="S7 S8 Q1")
+def q_source_verdicts(spark, d):
+    _, verdicts = pos.gated_source(spark, _candidates(spark, d))
+    return verdicts.select(F.regexp_extract("source", "([^/]+)$", 1).alias("source"), "rows", "items", "ok",
+                           F.regexp_replace("reason", ": min_item_days=.*", "").alias("reason"))
+
+
+def _candidates(spark, d) -> str:
+    """A whole export, then newer ones: too short a history, no demand layout, no rows; and a whole sample-named one."""
+    base = scratch_path(spark, "gate-sources")
+    dd = common.daily(spark, d).select("date", "item_id", "demand_qty", "sales_amount").checkpoint()
+    sinks.write_csv(dd, f"{base}/export")
+    sinks.write_csv(dd.where(F.col("date") < F.date_add(dd.agg(F.min("date")).scalar(), 5)), f"{base}/short_export")
+    sinks.write_csv(dd.select(F.lit("closed").alias("note"), "item_id"), f"{base}/broken_export")
+    sinks.write_csv(spark.createDataFrame([], dd.schema), f"{base}/empty_export")
+    sinks.write_csv(dd, f"{base}/sample_export")
+    return f"{base}/*/*.csv"

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillcast import tables
 from tillcast.operators import features, forecast, recursive
 from tillcast.plans import common, model_run
 from tillcast.plans.common import SQL_DAILY, sql_roll
 from tillcast.plans.registry import query
+from tillcast.session import scratch_path
 
 
 def _run(spark, d):
@@ -63,3 +65,34 @@ def q_model_plan(spark, d):
     r = _run(spark, d)
     plan = model_run.model_plan(r.raw, r, lots=common.lots_on_hand(spark, d, r.raw), unit_costs=common.unit_costs(spark, d))
     return plan
+
+
+@query("recursive_forecast_overrides", ops="J12 M7 M8")
+def q_recursive_overrides(spark, d):
+    """The recursive forecast under future weather and events: what the feed said of a day of the month, promotions at weekends."""
+    r = _run(spark, d)
+    as_of = r.raw.agg(F.max("date")).first()[0]
+    ahead = spark.range(1, 31).select(F.date_add(F.lit(as_of), F.col("id").cast("int")).alias("date"))
+    days = tables.read(spark, d, "events").groupBy(F.dayofmonth("ts").alias("day")).agg(
+        F.avg("value").alias("temp_c"), F.max("value").alias("rain_mm"), F.least(F.count(F.lit(1)) % 101, F.lit(100)).cast("double").alias("event_score_100"))
+    future = ahead.join(days, F.dayofmonth("date") == F.col("day")).select("date", "temp_c", "rain_mm", "event_score_100",
+                                                                           (F.weekday("date") >= 5).cast("int").alias("promo"))
+    return recursive.explode_paths(recursive.recursive_forecast(r.models, r.raw, r.feature_df, horizon=30, future_exogenous=future))
+
+
+@query("model_result_files", ops="S12 M11")
+def q_model_files(spark, d):
+    """The three result files of a job with models, written and read back."""
+    r = _run(spark, d)
+    plan = model_run.model_plan(r.raw, r, lots=common.lots_on_hand(spark, d, r.raw), unit_costs=common.unit_costs(spark, d))
+    paths = model_run.write_run(scratch_path(spark, "model-results"), model_run.JobResult(plan, r))
+    back = {k: spark.read.option("header", True).csv(p) for k, p in paths.items()}
+    one = lambda k, name, value: back[k].select(F.lit(k).alias("file"), F.col(name).alias("name"), F.col(value).cast("double").alias("value"))
+    return (one("metrics", "metric", "value").unionByName(one("recommendations", "item_id", "recommended_order_qty"))
+            .unionByName(one("feature_importance", "feature", "importance_percentage")))
+
+
+@query("model_search_losses", ops="M2 M3 M4")
+def q_search(spark, d):
+    """Mean pinball loss of every setting of the search over the date folds."""
+    return _run(spark, d).search

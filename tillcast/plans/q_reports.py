@@ -260,9 +260,10 @@ SELECT today_qty, yesterday_qty, last7_qty, predicted_today, low_stock, expiring
        {_half_up_pct('today_qty', 'yesterday_qty')} AS day_over_day_pct
 FROM s, p, l, e""", ops="R1 A7 A8 A18 P16 P18")
 def q_dashboard(spark, d):
-    st = _stock(spark, d)
-    exp = fefo.expiring_batches(tables.inventory_batches(spark, d), tables.product(spark, d), A)
-    return accuracy.dashboard_kpis(_sales(spark, d), tables.forecast_results(spark, d), st, exp, A)
+    # two passes over the lines: one for sales and forecasts, one for both counts of the stock
+    sales = tables.day_product_grid(spark, d)
+    stock = reports.stock_view(tables.inventory_batches(spark, d), tables.product(spark, d), extra=("expiration_date",))
+    return accuracy.dashboard_kpis(sales, tables.forecast_results(spark, d, sales), stock, A)
 
 
 @query("actual_vs_predicted", f"""WITH {SQL_SALES}, {SQL_FORECASTS},
@@ -277,7 +278,8 @@ SELECT s.date, strftime(s.date, '%-m/%-d') AS label,
        s.date = {AD} AS is_today
 FROM spine s LEFT JOIN act USING (date) LEFT JOIN pred USING (date)""", ops="R2 J7 U8")
 def q_actual_vs_predicted(spark, d):
-    return accuracy.actual_vs_predicted(_sales(spark, d), tables.forecast_results(spark, d), A)
+    sales = tables.day_product_grid(spark, d)
+    return accuracy.actual_vs_predicted(sales, tables.forecast_results(spark, d, sales), A)
 
 
 # --------------------------------------------------------------- accuracy
@@ -336,9 +338,10 @@ SELECT 2, CASE WHEN first_acc < 88 THEN 'warning' ELSE 'success' END,
 UNION ALL
 SELECT 3, 'info', COALESCE(top_name, 'no item yet'), top_score FROM t""", ops="R11")
 def q_insights(spark, d):
-    acc = accuracy.forecast_accuracy(tables.forecast_results(spark, d), _sales(spark, d))
+    sales = tables.day_product_grid(spark, d)  # one pass over the lines for all three inputs
+    acc = accuracy.forecast_accuracy(tables.forecast_results(spark, d, sales), sales)
     trend = accuracy.daily_accuracy_trend(acc, A)
-    vol = accuracy.volume_score(_sales(spark, d), A)
+    vol = accuracy.volume_score(sales, A)
     return accuracy.insight_rules(acc, trend, vol)
 
 

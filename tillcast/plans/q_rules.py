@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillcast import tables
 from tillcast.functions.text import keyword_tags
-from tillcast.operators import accuracy, fefo, reports, views, weather
-from tillcast.plans import q_external
+from tillcast.operators import accuracy, features, fefo, inventory, reports, views, weather
+from tillcast.plans import common, q_external
 from tillcast.plans.q_external import AE, AED, SQL_PIVOT
-from tillcast.plans.q_reports import SQL_ACC, SQL_STOCK, SQL_WASTE, _stock
+from tillcast.plans.q_reports import SQL_ACC, SQL_FORECASTS, SQL_STOCK, SQL_WASTE, _stock
 from tillcast.plans.q_stock import SQL_BATCHES
 from tillcast.plans.registry import ORACLE, query
 from tillcast.session import scratch_path
@@ -159,3 +160,59 @@ def q_report_sections(spark, d):
             F.round(F.col(a).cast("double"), 4).alias("a"), F.round(F.col(b).cast("double"), 4).alias("b"))
         out = back if out is None else out.unionByName(back)
     return out
+
+
+_SCORE = "(day(date) * 7 + month(date) * 5) % 101"
+
+
+@query("event_feature_frame", f"""WITH daily AS (SELECT CAST(l_shipdate AS DATE) AS date, p_type AS item_id,
+    CAST(CASE WHEN MAX(l_discount) >= 0.08 THEN 1 ELSE 0 END AS INTEGER) AS promo
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R' GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN day(date) % 5 = 0 THEN 0.0 ELSE CAST({_SCORE} AS DOUBLE) END AS score, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS weekend FROM daily)
+SELECT date, item_id, score AS event_score_100, CAST(CASE WHEN score > 0 THEN 1 ELSE 0 END AS INTEGER) AS is_event,
+       CAST(CASE WHEN score >= 70 THEN 1 ELSE 0 END AS INTEGER) AS major_event_flag, score * weekend AS event_score_x_weekend, score * promo AS event_score_x_promo
+FROM s""", ops="P4")
+def q_event_frame(spark, d):
+    """Daily rows with a score of their date as text, every fifth day without a number: all flags and products occur."""
+    score = F.when(F.dayofmonth("date") % 10 == 0, "n/a").when(F.dayofmonth("date") % 5 == 0, None).otherwise(
+        ((F.dayofmonth("date") * 7 + F.month("date") * 5) % 101).cast("string"))
+    days = common.daily(spark, d).withColumn("event_score_100", score)
+    return features.event_features(features.calendar_features(days)).select(
+        "date", "item_id", "event_score_100", "is_event", "major_event_flag", "event_score_x_weekend", "event_score_x_promo")
+
+
+@query("admin_lists", f"""WITH {SQL_BATCHES}, {SQL_FORECASTS}
+SELECT 'batch' AS list, CAST(batch_id AS VARCHAR) AS key, received_date AS date, CAST(current_qty AS DOUBLE) AS quantity FROM batches
+WHERE product_id = 7 AND received_date >= DATE '1996-01-01'
+UNION ALL SELECT 'waste', CAST(l_orderkey * 8 + l_linenumber AS VARCHAR), CAST(l_shipdate AS DATE), l_quantity FROM lineitem
+WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND CAST(l_shipdate AS DATE) BETWEEN DATE '1998-02-01' AND DATE '1998-02-28'
+UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), CAST(o_orderdate AS DATE), o_totalprice FROM orders
+WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW' AND CAST(o_orderdate AS DATE) <= DATE '1996-12-31'
+UNION ALL SELECT 'forecast', product, target_date, predicted_qty FROM forecasts
+WHERE forecast_period = 7 AND product = 'PROMO' AND target_date BETWEEN DATE '2000-05-01' AND DATE '2000-06-30'""", ops="P21")
+def q_admin_lists(spark, d):
+    """The admin filters of batches, waste, orders and forecasts, each by its own columns and dates."""
+    key = lambda c: F.col(c).cast("string").alias("key")
+    one = lambda kind, df, k, date, qty: df.select(F.lit(kind).alias("list"), key(k), F.col(date).alias("date"), F.col(qty).cast("double").alias("quantity"))
+    orders = tables.read(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    batches = views.admin_filter(tables.inventory_batches(spark, d), product_id=7, received_date_from="1996-01-01", supplier_id=None)
+    waste = views.admin_filter(tables.waste_history(spark, d), reason="F", waste_date_from="1998-02-01", waste_date_to="1998-02-28")
+    orders = views.admin_filter(orders, o_orderstatus="P", o_orderpriority="5-LOW", day_to="1996-12-31")
+    runs = views.admin_filter(tables.forecast_results(spark, d), forecast_period=7, product="PROMO", target_date_from="2000-05-01", target_date_to="2000-06-30")
+    return (one("batch", batches, "batch_id", "received_date", "current_qty").unionByName(one("waste", waste, "waste_id", "waste_date", "quantity"))
+            .unionByName(one("order", orders, "o_orderkey", "day", "o_totalprice")).unionByName(one("forecast", runs, "product", "target_date", "predicted_qty")))
+
+
+@query("reorder_by_urgency", f"""WITH {SQL_STOCK},
+r AS (SELECT product, current_stock, CASE WHEN current_stock / 5.0 <= 2 THEN 'high' WHEN current_stock / 5.0 <= 5 THEN 'medium' ELSE 'low' END AS urgency
+      FROM stock WHERE status <> 'high'),
+g AS (SELECT product, urgency, CAST(count(*) AS BIGINT) AS lots, min(current_stock) AS least FROM r GROUP BY product, urgency)
+SELECT urgency, product, lots, least, row_number() OVER (ORDER BY CASE urgency WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, least, product) AS place
+FROM g QUALIFY place <= 100""", ops="T6 I7")
+def q_by_urgency(spark, d):
+    """Products to reorder in the order of urgency (high, medium, low), not of the words: the first hundred."""
+    r = inventory.reorder_list(_stock(spark, d).select("product", "current_stock", "min_stock", "max_stock", "daily_usage"))
+    g = r.groupBy("product", "urgency").agg(F.count(F.lit(1)).alias("lots"), F.min("current_stock").alias("least"))
+    first = g.orderBy(inventory.urgency_rank("urgency"), "least", "product").limit(100)   # a bounded page
+    place = F.row_number().over(Window.orderBy(inventory.urgency_rank("urgency"), "least", "product"))
+    return first.select("urgency", "product", "lots", "least", place.cast("long").alias("place"))

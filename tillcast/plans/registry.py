@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None, ops: str = ""):
 
 def load_all():
     # importing the modules registers their queries
-    from tillcast.plans import q_core, q_reports, q_stock, q_external, q_model, q_state, q_views, q_io, q_rules, q_keyed  # noqa: F401
+    from tillcast.plans import q_core, q_reports, q_stock, q_external, q_model, q_state, q_views, q_io, q_rules, q_keyed, q_spatial  # noqa: F401
     return QUERIES, ORACLE

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.session import scratch_path
+
 # Fixed "today" for the lineitem calendar and for the events calendar, so every
 # report is reproducible (the wall clock is never read).
 AS_OF_SALES = "2001-06-30"
@@ -72,6 +74,14 @@ def sales_lines(spark, sf_dir) -> DataFrame:
     )
 
 
+def day_product_grid(spark, sf_dir) -> DataFrame:
+    """``product_day_sales`` written once: what a report with several inputs reads in place of the lines."""
+    path = scratch_path(spark, "day-product")
+    grid = product_day_sales(spark, sf_dir)
+    grid.write.parquet(path)
+    return spark.read.schema(grid.schema).parquet(path)
+
+
 def product_day_sales(spark, sf_dir) -> DataFrame:
     """Sales pre-aggregated to (date, product) *before* the product join.
 
@@ -191,7 +201,7 @@ def weather_long_from(events: DataFrame) -> DataFrame:
     )
 
 
-def forecast_results(spark, sf_dir) -> DataFrame:
+def forecast_results(spark, sf_dir, sales: DataFrame | None = None) -> DataFrame:
     """Stored forecasts (target_date, product, predicted_qty, created_at, forecast_period).
 
     Two runs per (target date, item), both seasonal-naive over the daily
@@ -200,11 +210,14 @@ def forecast_results(spark, sf_dir) -> DataFrame:
     forecasts and "latest wins" matters.
     """
     from pyspark.sql import Window
-    li = _lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
-    part = read(spark, sf_dir, "part").select("p_partkey", "p_type")
-    daily = (li.groupBy(F.col("l_shipdate").cast("date").alias("date"), "l_partkey").agg(F.sum("l_quantity").alias("q"))
-               .join(part, F.col("l_partkey") == F.col("p_partkey"))
-               .groupBy("date", F.col("p_type").alias("product")).agg(F.sum("q").alias("q")))
+    if sales is None:
+        li = _lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
+        part = read(spark, sf_dir, "part").select("p_partkey", "p_type")
+        daily = (li.groupBy(F.col("l_shipdate").cast("date").alias("date"), "l_partkey").agg(F.sum("l_quantity").alias("q"))
+                   .join(part, F.col("l_partkey") == F.col("p_partkey"))
+                   .groupBy("date", F.col("p_type").alias("product")).agg(F.sum("q").alias("q")))
+    else:  # the same sums from the day and product rows
+        daily = sales.groupBy("date", F.col("item_id").alias("product")).agg(F.sum("qty").alias("q"))
     o = Window.partitionBy("product").orderBy("date")
     runs = []
     for k in (7, 1):
