@@ -174,7 +174,7 @@ def test_gate_skips_bad_sources_with_reasons(spark, tmp_path):
           + [f"{d.replace('-', '')},beverage,x,sale,m,s,2,10" for d in days] + ["20240101,food,1,sale,m,s,2,10"])
     write("short.csv", ["date,item_id,demand_qty", "2024-01-01,a,1"])
     write("wrong.csv", ["foo,bar", "1,2"])
-    write("empty.csv", [])
+    write("empty.csv", ["", ""])
     for i, name in enumerate(("good.csv", "pos.csv", "short.csv", "wrong.csv", "empty.csv")):
         os.utime(tmp_path / name, (1_700_000_000 + i, 1_700_000_000 + i))               # the last is the newest
     rows, verdicts = pos.gated_source(spark, f"{tmp_path}/*.csv")

@@ -243,7 +243,8 @@ def gated_source(spark: SparkSession, pattern: str, *, min_days: int = 21,
     """(daily rows of the best-ranked source that passes the data checks, verdicts of all sources).
 
     All candidates are loaded by one plan and chosen inside it: neither files nor
-    verdicts come to the driver.
+    verdicts come to the driver.  Files without a byte are not listed, so they are no
+    candidates.
     """
     path = scratch_path(spark, "sources")
     rows = all_sources(spark, pattern, category=category)
