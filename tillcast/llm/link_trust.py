@@ -29,7 +29,7 @@ from tillcast.llm.registry import query
 # (rule, verdict): a host with all its subdomains, and the start of the path
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 DAMPING = 0.85
-TOLERANCE = 1e-6  # weight that may be missing from all ranks of a kind together
+TOLERANCE = 1e-4  # weight that may be missing from all ranks of a kind together
 STORE_EVERY = 4
 DOMAIN_LABELS = 2 # labels of the shortest name in the domain tree
 RATIO = 2.0       # distrust over trust from which a host is blocked
@@ -85,15 +85,18 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, toleran
 
     A walk ends at a host without edges, so a kind's ranks sum to 1 at most.
     """
-    # ``on``: weight on its way after the steps so far; ``r``: the rank so far
+    # ``on``: weight on its way after the steps so far; ``r``: the rank so far, which an edge to oneself hands on
+    hosts = edges.select("kind", F.explode(F.array("src", "dst")).alias("src")).unionByName(seeds.select("kind", F.col("host").alias("src"))).distinct()
+    ways = stored(edges.select("kind", "src", "dst", "share", F.lit(0.0).alias("keep")).unionByName(
+        hosts.select("kind", "src", F.col("src").alias("dst"), F.lit(0.0).alias("share"), F.lit(1.0).alias("keep"))), "link-ways")
     state = stored(seeds.select("kind", "host", F.col("r").alias("on"), ((1 - F.lit(damping)) * F.col("r")).alias("r")), "link-ranks")
     left = 1.0
     while left > tolerance:
         for _ in range(STORE_EVERY):
-            step = (state.where("on > 0").join(edges, (state["kind"] == edges["kind"]) & (state["host"] == edges["src"]))
-                    .select(state["kind"], F.col("dst").alias("host"), (F.lit(damping) * F.col("on") * F.col("share")).alias("on"), F.lit(0.0).alias("r")))
-            state = (step.unionByName(state.select("kind", "host", F.lit(0.0).alias("on"), "r")).groupBy("kind", "host")
-                     .agg(F.sum("on").alias("on"), (F.sum("r") + (1 - F.lit(damping)) * F.sum("on")).alias("r")))
+            step = state.withColumnRenamed("host", "src").join(ways, ["kind", "src"])
+            state = (step.groupBy("kind", F.col("dst").alias("host"))
+                         .agg((F.lit(damping) * F.sum(F.col("on") * F.col("share"))).alias("on"), F.sum(F.col("r") * F.col("keep")).alias("r"))
+                         .withColumn("r", F.col("r") + (1 - F.lit(damping)) * F.col("on")))
         state = stored(state, "link-ranks")
         left = state.groupBy("kind").agg(F.sum("on").alias("on")).agg(F.coalesce(F.max("on"), F.lit(0.0))).first()[0]
     return state.select("kind", "host", "r")
