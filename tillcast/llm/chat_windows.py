@@ -162,8 +162,9 @@ def format_windows(conversations: DataFrame, tokenizer: str, budget: int = BUDGE
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role"), empty("text"))
     order = ["conv_id", "turn", "role", "text"]
-    sums = stored(rows.mapInArrow(count_turns(tokenizer), "conv_id long, turn long, role string, text string, tokens long")
-                  .repartitionByRange(*order).sortWithinPartitions(*order)
+    # ranges are sampled on the plain rows, so each turn is counted once, and in its place
+    sums = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order)
+                  .mapInArrow(count_turns(tokenizer), "conv_id long, turn long, role string, text string, tokens long")
                   .mapInArrow(local_sums, "conv_id long, role string, text string, tokens long, part int, at long, cum long"), "chat-turns")
     parts = sums.groupBy("conv_id", "part").agg(F.count("*").alias("rows"), F.sum("tokens").alias("sum"))
     w = Window.partitionBy("conv_id").orderBy("part")
