@@ -151,9 +151,14 @@ class Parity:
         self.good: set[str] = set()
         self.bad: set[str] = set()
 
+    @staticmethod
+    def _plain(text: str) -> bool:
+        """Whether single spaces part the words of a text, and nothing else looks like one."""
+        return "  " not in text and MARK not in text and text[:1] != " " and text[-1:] != " "
+
     def _words(self, text: str) -> set[str]:
         """The parts of a text, without the one space that a lone part gets as its prefix."""
-        if "  " not in text and MARK not in text and text[:1] != " " and text[-1:] != " ":
+        if self._plain(text):
             return set(text.split(" "))
         return {x[1:] for x in PART.findall(" " + text.replace(MARK, " "))}
 
@@ -161,13 +166,19 @@ class Parity:
         """Numbers of the texts on which the encoders may differ."""
         if not self.by_word:
             return [i for i, (a, b) in enumerate(zip(self.own.encode(texts, num_threads=1), ids)) if a != b]
-        words = [self._words(t) for t in texts]
-        new = list(set().union(*words) - self.good - self.bad)
+        words = set(" ".join(t for t in texts if self._plain(t)).split(" "))
+        for t in texts:
+            if not self._plain(t):
+                words |= self._words(t)
+        words -= self.good
+        words -= self.bad
         if len(self.good) > KNOWN_WORDS:
             self.good = set()
-        for w, a, b in zip(new, self.own.encode(new, num_threads=1), self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            (self.good if a == b.ids else self.bad).add(w)
-        return [i for i, w in enumerate(words) if not self.bad.isdisjoint(w)] if self.bad else []
+        new = list(words)
+        wrong = {w for w, a, b in zip(new, self.own.encode(new, num_threads=1), self.tok.encode_batch_fast(new, add_special_tokens=False)) if a != b.ids}
+        self.good |= words - wrong
+        self.bad |= wrong
+        return [i for i, t in enumerate(texts) if not self.bad.isdisjoint(self._words(t))] if self.bad else []
 
 
 def load(path: str):
