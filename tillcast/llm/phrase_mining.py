@@ -2,20 +2,23 @@
 
 A phrase is frequent only if every shorter phrase inside it is.  A sample of the
 documents proposes words and pairs, by a threshold lowered below the sample's
-share.  The proposals and their negative border, the phrases whose parts are all
-proposed while they are not, are then counted exactly in one pass over all
-documents: every word, every pair of proposed words, every triple of proposed
-pairs.  Where a border phrase turns out frequent the sample has failed to propose
-it; it joins the proposals, which widens the border, and a further pass counts
-what the border has gained and nothing else.  Passes follow until no border phrase
-is frequent, so that the sample decides how many passes there are and never what
-they find.
-
-Proposals grow with the corpus, so tasks do not get them as a list but as a bitmap
-of a fixed number of bits, one for each hash.  Phrases that share a bit with a
-proposal are counted too; that costs rows and changes no result.  A task cuts its
-texts into words with array operations, counts its own phrases by number, and only
-distinct phrases of a block of text leave it.
+share.  One pass over all documents then counts the proposals and their negative
+border, the phrases whose parts are all proposed while they are not: every word,
+every pair of proposed words, every triple of proposed pairs.  Where a border
+phrase turns out frequent the sample has failed to propose it; it joins the
+proposals, which widens the border, and a further pass counts what the border has
+gained and nothing else.  Passes follow until no border phrase is frequent, so that
+the sample decides how many passes there are and never what they find.
+
+These passes count by hash: the phrases of a block of text leave a task as sorted
+bins of 24-bit numbers, which takes three bytes for a phrase instead of a row.  Sums
+by hash are never too small, so what they leave below the threshold is proven rare.
+A last pass counts the rest by its words, which makes the result exact whatever
+hashes collide.
+
+Proposals grow with the corpus, so tasks do not get them as a list but as bitmaps
+of a fixed number of bits.  Phrases that share a bit with another one are counted
+too; that costs work and changes no result.
 
 Results for odd input: null and empty texts have no words; a null ``lang`` is
 ``und``; repeated rows and null ids count like any others, as ids are not read; a
@@ -26,6 +29,7 @@ whatever their names, are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +46,11 @@ MIN_COUNT = 10
 TOP = 2000
 OVERLAP_PERCENT = 50    # a candidate goes if a longer one has this share of its count
 SAMPLE = 0.25           # share of the documents that propose; any share gives the same result
-LOWERED = 0.8           # of the sample's share of the threshold
-BLOCK_BYTES = 16 << 20  # text whose phrases a task counts at a time
-BITS = 1 << 25          # of each bitmap of proposals: 4 MB
-BUCKET = 1 << 15        # bits of one piece of a bitmap, as Spark builds them
+LOWERED = (0.4, 0.8)    # of the sample's share of the threshold, for words and for pairs
+BLOCK_BYTES = 3 << 20   # text whose phrases a task counts at a time
+BITS = 1 << 25          # of each bitmap, one for each length of phrase: 4 MB
+BINS = 1 << 9           # least number of bins of the hashed counts
+BIN_BYTES = 16 << 20    # text of one bin
 SALTS = 64
 NO_LANG = "und"
 
@@ -55,9 +60,12 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[[ord(c) for c in ".,;:!?"] + [0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
-COUNTS = "lang string, size int, phrase string, bit int, n long"
+COUNTS = "lang string, size int, phrase string, n long"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
+# a random 64-bit number for each byte, the same in every task
+LETTER = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), np.uint64)
+
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of the pair, from the hashes of its halves."""
@@ -67,14 +75,23 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class Proposed:
-    """Bitmaps of proposed words and pairs; every task has the same ones."""
+def _powers(x: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(x))
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """A polynomial in the bytes of each word, modulo 2**64."""
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[:at[-1]]
+    total = np.r_[np.uint64(0), np.cumsum(LETTER[data] * _powers(int(MIX[0]), len(data)))]
+    return (total[at[1:]] - total[at[:-1]]) * _powers(pow(int(MIX[0]), -1, 1 << 64), len(data) + 1)[at[:-1]]
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.words, self.pairs = words, pairs
 
-    def has(self, bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+def has(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h & np.uint64(BITS - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 class Block:
@@ -91,79 +108,91 @@ class Block:
         first[1:] &= ~inside[:-1] | edge[1:-1]
         last[:-1] &= ~inside[1:] | edge[1:-1]
         starts = np.flatnonzero(first)
-        lengths = np.flatnonzero(last) - starts + 1
         doc = np.searchsorted(ends, starts, "right")
-        piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
+        piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
         self.joined = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
         offsets = np.zeros(len(starts) + 1, np.int32)
-        np.cumsum(lengths, out=offsets[1:])
+        np.cumsum(np.flatnonzero(last) - starts + 1, out=offsets[1:])
         words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(LOWERED_BYTES[data[inside]])])
         found = words.dictionary_encode()
         vocab = found.dictionary
-        at = langs[doc].astype(np.int64) * len(vocab) + found.indices.to_numpy(zero_copy_only=False)
+        size = max(len(vocab), 1)
         # a word of a language is one number
-        used, self.word, self.n = np.unique(at, return_inverse=True, return_counts=True)
-        self.lang = pa.array(names, pa.string()).take(pa.array(used // max(len(vocab), 1)))
-        self.text = vocab.take(pa.array(used % max(len(vocab), 1)))
-        seeds = [xxhash.xxh64_intdigest(x, 42) for x in names]
-        self.hash = np.fromiter((xxhash.xxh64_intdigest(w, seeds[k]) for w, k in
-                                 zip(self.text.to_pylist(), (used // max(len(vocab), 1)).tolist())), np.uint64, len(used))
+        at = langs[doc].astype(np.int64) * size + found.indices.to_numpy(zero_copy_only=False)
+        if len(names) * size <= 4 * len(at) + 1024:
+            n = np.bincount(at, minlength=len(names) * size)
+            used = np.flatnonzero(n)
+            number = np.cumsum(n > 0) - 1
+            self.word, self.n = number[at], n[used]
+        else:
+            used, self.word, self.n = np.unique(at, return_inverse=True, return_counts=True)
+        self.lang = pa.array(names, pa.string()).take(pa.array(used // size))
+        self.text = vocab.take(pa.array(used % size))
+        seeds = np.array([xxhash.xxh64_intdigest(x, 42) for x in names], np.uint64)
+        self.hash = _mix(word_hashes(vocab)[used % size], seeds[used // size]) if len(used) else np.empty(0, np.uint64)
+
+    def _pairs(self, good: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct pairs of ``good`` words: (left, right, hash, n), and the number of the pair at each word, or -1."""
+        w, k = self.word, max(len(self.hash), 1)
+        at = np.flatnonzero(self.joined & good[w[:-1]] & good[w[1:]])
+        keys, pair, n = np.unique(w[:-1][at] * k + w[1:][at], return_inverse=True, return_counts=True)
+        number = np.full(len(w), -1, np.int64)
+        number[at] = pair
+        return keys // k, keys % k, _mix(self.hash[keys // k], self.hash[keys % k]), n, number
 
     @staticmethod
-    def bit(h: np.ndarray) -> np.ndarray:
-        return (h % np.uint64(BITS)).astype(np.int64)
-
-    def _rows(self, lang, size, text, bit, n) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([
-            lang, pa.array(np.full(len(n), size, np.int32)), text, pa.array(bit.astype(np.int32)), pa.array(n, pa.int64()),
-        ], names=["lang", "size", "phrase", "bit", "n"])
-
-    def count(self, now: Proposed | None, before: Proposed | None, triples: bool = True) -> Iterator[pa.RecordBatch]:
-        """Counts of the phrases that ``now`` admits and ``before`` did not; without ``now``, of all words and pairs."""
+    def _triples(number: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct triples of ``good`` pairs: (first pair, second pair, n)."""
+        k = max(len(good), 1)
+        x, y = number[:-1], number[1:]
+        at = np.flatnonzero((x >= 0) & (y >= 0))
+        at = at[good[x[at]] & good[y[at]]]
+        keys, n = np.unique(x[at] * k + y[at], return_counts=True)
+        return keys // k, keys % k, n
+
+    def hashed(self, now: list | None, before: list | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, hashes, counts) of the phrases that ``now`` admits and ``before`` did not; without ``now``,
+        of all words and pairs."""
         if not len(self.word):
             return
-        bit = self.bit(self.hash)
         if before is None:
-            yield self._rows(self.lang, 1, self.text, bit, self.n)
-        w = self.word
-        left, right = w[:-1], w[1:]
-        open_ = self.joined
-        if now is not None:
-            good = now.has(now.words, bit)
-            open_ = open_ & good[left] & good[right]
-        at = np.flatnonzero(open_)
-        if not len(at):
-            return
-        k = len(self.hash)
-        keys, pair, n = np.unique(left[at].astype(np.int64) * k + right[at], return_inverse=True, return_counts=True)
-        a, b = keys // k, keys % k
-        h = _mix(self.hash[a], self.hash[b])
-        pair_bit = self.bit(h)
-        join = lambda x, y: pc.binary_join_element_wise(self.text.take(pa.array(x)), y, " ")
-        new = np.ones(len(keys), bool)
+            yield 1, self.hash, self.n
+        every = np.ones(len(self.hash), bool)
+        a, b, h, n, number = self._pairs(every if now is None else has(now[0], self.hash))
+        old = np.zeros(len(h), bool)
         if before is not None:
-            old = before.has(before.words, bit)
-            new = ~(old[a] & old[b])
-        if new.any():
-            yield self._rows(self.lang.take(pa.array(a[new])), 2, join(a[new], self.text.take(pa.array(b[new]))), pair_bit[new], n[new])
-        if now is None or not triples:
+            known = has(before[0], self.hash)
+            old = known[a] & known[b]
+        yield 2, h[~old], n[~old]
+        if now is None:
             return
-        good = now.has(now.pairs, pair_bit)
-        # a triple is two pairs one word apart
-        number = np.full(len(w), -1, np.int64)
-        number[at] = np.where(good[pair], pair, -1)
-        two = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0))
-        x, y = number[two], number[two + 1]
+        x, y, n = self._triples(number, has(now[1], h))
         if before is not None:
-            old = before.has(before.pairs, pair_bit) & ~new
-            fresh = ~(old[x] & old[y])
-            x, y = x[fresh], y[fresh]
-        if not len(x):
+            old &= has(before[1], h)
+            new = ~(old[x] & old[y])
+            x, y, n = x[new], y[new], n[new]
+        yield 3, _mix(h[x], self.hash[b[y]]), n
+
+    def phrases(self, bits: list) -> Iterator[pa.RecordBatch]:
+        """Counts of the phrases with a bit in ``bits``, by their words."""
+        def rows(size, first, text, n):
+            return pa.RecordBatch.from_arrays([self.lang.take(pa.array(first)), pa.array(np.full(len(n), size, np.int32)), text,
+                                               pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
+
+        if not len(self.word):
             return
-        keys, n = np.unique(x * len(good) + y, return_counts=True)
-        x, y = keys // len(good), keys % len(good)
-        yield self._rows(self.lang.take(pa.array(a[x])), 3, join(a[x], join(a[y], self.text.take(pa.array(b[y])))),
-                         np.zeros(len(keys), np.int64), n)
+        word = lambda i: self.text.take(pa.array(i))
+        good = has(bits[0], self.hash)
+        k = np.flatnonzero(good)
+        yield rows(1, k, word(k), self.n[k])
+        a, b, h, n, number = self._pairs(good)
+        good = has(bits[1], h)
+        k = np.flatnonzero(good)
+        yield rows(2, a[k], pc.binary_join_element_wise(word(a[k]), word(b[k]), " "), n[k])
+        x, y, n = self._triples(number, good)
+        k = np.flatnonzero(has(bits[2], _mix(h[x], self.hash[b[y]])))
+        x, y, n = x[k], y[k], n[k]
+        yield rows(3, a[x], pc.binary_join_element_wise(word(a[x]), word(b[x]), word(b[y]), " "), n)
 
 
 def _cuts(data: np.ndarray, ends: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
@@ -216,58 +245,118 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
         yield from cut(held)
 
 
-def counter(now: Proposed | None, before: Proposed | None, block: int):
+# ------------------------------------------------------------------ counts by hash
+def hash_counter(now: list | None, before: list | None, bins: int, block: int):
+    """For each block, length and bin: hashes (24 bits beside those of the bin) found once, and others with counts."""
+    width = np.uint64(BITS // bins)
+    three = lambda r: r.view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, block):
-            for rows in b.count(now, before):
-                for i in range(0, rows.num_rows, 1 << 16):
-                    yield rows.slice(i, 1 << 16)
+        for blk in blocks(batches, block):
+            for size, h, n in blk.hashed(now, before):
+                # the bitmap's bits choose the bin, the bin's own bits and the upper ones are kept
+                at = ((h & np.uint64(BITS - 1)) // width).astype(np.int64)
+                rest = ((h & (width - np.uint64(1))) | (h >> np.uint64(32)) // width * width).astype("<u4")
+                by = np.argsort(at, kind="stable")
+                at, rest, n = at[by], rest[by], np.minimum(n[by], 255).astype(np.uint8)
+                found, first = np.unique(at, return_index=True)
+                cut = [*first.tolist(), len(at)]
+                parts = [(rest[i:j], n[i:j]) for i, j in zip(cut, cut[1:])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((size * BITS + found).astype(np.int64)),
+                    pa.array([three(r[k == 1]) for r, k in parts], pa.binary()),
+                    pa.array([three(r[k > 1]) for r, k in parts], pa.binary()),
+                    pa.array([k[k > 1].tobytes() for r, k in parts], pa.binary()),
+                ], names=["bin", "once", "more", "counts"])
     return run
 
 
-def counted(docs: DataFrame, now: Proposed | None, before: Proposed | None, block: int) -> DataFrame:
-    rows = docs.mapInArrow(counter(now, before, block), COUNTS)
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.first("bit").alias("bit"))
+def frequent_bits(bins: int, least: tuple[int, ...]):
+    """For each bin its piece of the bitmap of hashes that are found ``least`` times, by length."""
+    width = BITS // bins
+
+    def numbers(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 3, 4), np.uint8)
+        out[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+        return out.view("<u4").ravel()
+
+    def done(k: int, held: list[tuple]) -> pa.RecordBatch:
+        once, more, counts = (b"".join(x) for x in zip(*held))
+        h = np.concatenate([numbers(once), numbers(more)])
+        n = np.concatenate([np.ones(len(once) // 3, np.int64), np.frombuffer(counts, np.uint8).astype(np.int64)])
+        by = np.argsort(h, kind="stable")
+        h, n = h[by], n[by]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        total = np.add.reduceat(n, first)
+        piece = np.zeros(width, np.uint8)
+        piece[h[first][total >= least[k // BITS - 1]] & (width - 1)] = 1
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.packbits(piece, bitorder="little").tobytes()], pa.binary())],
+                                          names=["bin", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("bin", "once", "more", "counts"))):
+                if r[0] != now and held:
+                    yield done(now, held)
+                    held = []
+                now = r[0]
+                held.append(r[1:])
+        if held:
+            yield done(now, held)
+    return run
 
 
-def bitmap(phrases: DataFrame) -> np.ndarray:
-    """Bits of these phrases: pieces of 4 KB, of which there are ``BITS / BUCKET``."""
-    parts = (phrases.groupBy((F.col("bit") / BUCKET).cast("int").alias("part"))
-                    .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit").cast("long") + 1)).alias("bits")).collect())
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in parts:
-        out[r["part"] * (BUCKET // 8):(r["part"] + 1) * (BUCKET // 8)] = np.frombuffer(bytes(r["bits"]), np.uint8)
+def hashed_bitmaps(texts: DataFrame, now: list | None, before: list | None, least: tuple[int, ...], bins: int, block: int) -> list[np.ndarray]:
+    """Bitmaps of the words, pairs and triples whose hashes are found ``least`` times: ``3 * BITS`` bits in all."""
+    found = (texts.mapInArrow(hash_counter(now, before, bins, block), "bin long, once binary, more binary, counts binary")
+                  .repartition("bin").sortWithinPartitions("bin").mapInArrow(frequent_bits(bins, least), "bin long, bits binary"))
+    out = [np.zeros(BITS // 8, np.uint8) for _ in range(3)]
+    width = BITS // bins // 8
+    for r in found.collect():
+        size, k = divmod(r["bin"], BITS)
+        out[size - 1][k * width:(k + 1) * width] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
+def phrase_counter(bits: list, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blk in blocks(batches, block):
+            for rows in blk.phrases(bits):
+                for i in range(0, rows.num_rows, 1 << 14):
+                    yield rows.slice(i, 1 << 14)
+            # all words of a language as one row
+            if len(blk.word):
+                t = pa.table({"lang": blk.lang, "n": blk.n}).group_by("lang").aggregate([("n", "sum")])
+                yield pa.RecordBatch.from_arrays([t.column("lang").combine_chunks(), pa.array([0] * len(t), pa.int32()),
+                                                  pa.array([""] * len(t)), t.column("n_sum").combine_chunks().cast(pa.int64())],
+                                                 names=["lang", "size", "phrase", "n"])
+    return run
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: float = SAMPLE,
                      block: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, n) of every phrase of 1 to 3 words found ``min_count`` times, and (lang, n) of all words."""
+    if min_count > 255:
+        raise ValueError("counts by hash are kept up to 255")
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), whole_text().alias("text"))
-    least = max(1, int(LOWERED * sample * min_count))
-    tried = stored(counted(texts.sample(sample, 7), None, None, block).where(F.col("n") >= least), "phrases-sample")
-    now = Proposed(bitmap(tried.where(F.col("size") == 1)), bitmap(tried.where(F.col("size") == 2)))
-    before, found, total = None, None, None
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bins = BINS
+    while bins < BITS // 8 and size > bins * BIN_BYTES:
+        bins *= 2
+    least = tuple(max(1, int(low * sample * min_count)) for low in LOWERED)
+    now = hashed_bitmaps(texts.sample(sample, 7), None, None, least, bins, block)
+    before, found = None, [np.zeros(BITS // 8, np.uint8) for _ in range(3)]
     while True:
-        n = counted(texts, now, before, block)
-        if before is None:
-            # the words below the threshold are left as one sum for each language and shard
-            rare = (F.col("n") < min_count) & (F.col("size") == 1)
-            n = (n.where((F.col("n") >= min_count) | rare)
-                  .groupBy("lang", F.when(rare, 0).otherwise(F.col("size")).alias("size"), F.when(~rare, F.col("phrase")).alias("phrase"),
-                           F.when(rare, F.pmod(F.col("bit"), F.lit(SALTS))).otherwise(F.col("bit")).alias("bit"))
-                  .agg(F.sum("n").alias("n")))
-        else:
-            n = n.where(F.col("n") >= min_count)
-        more = stored(n, "phrases")
-        if before is None:
-            total = more.where(F.col("size") <= 1).groupBy("lang").agg(F.sum("n").alias("n_words"))
-        more = more.where(F.col("size") > 0)
-        found = more if found is None else found.unionByName(more)
-        words, pairs = (now.__dict__[k] | bitmap(more.where(F.col("size") == s)) for k, s in (("words", 1), ("pairs", 2)))
-        if (words == now.words).all() and (pairs == now.pairs).all():
-            return found.select("lang", "size", "phrase", "n"), total  # no border phrase is frequent
-        before, now = now, Proposed(words, pairs)
+        got = hashed_bitmaps(texts, now, before, (min_count,) * 3, bins, block)
+        found = [a | b for a, b in zip(found, got)]
+        wider = [a | b for a, b in zip(now, got)]
+        if (wider[0] == now[0]).all() and (wider[1] == now[1]).all():
+            break  # no border phrase is frequent
+        before, now = now, wider
+    n = texts.mapInArrow(phrase_counter(found, block), COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    n = stored(n.where((F.col("n") >= min_count) | (F.col("size") == 0)), "phrases")
+    return n.where(F.col("size") > 0), n.where(F.col("size") == 0).select("lang", F.col("n").alias("n_words"))
 
 
 def collocations(found: DataFrame, total: DataFrame, top: int = TOP, overlap_percent: int = OVERLAP_PERCENT) -> DataFrame:
