@@ -502,10 +502,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tupl
 def drop_near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """The documents with one row of each component, that of the least id (null last).
 
-    Rows are told apart by a number that is written with them, so rows that repeat an
-    id, or have none, are judged one by one.  Columns may have any names.
+    Rows are told apart by a hash of all their columns, or, where two rows share it, by
+    a number that is written with them; so rows that repeat an id, or have none, are
+    judged one by one.  Columns may have any names.
     """
-    rows = stored(docs.select(packed(docs).alias("row"), F.monotonically_increasing_id().alias("key")), "shingle-rows")
+    rows = docs.select(packed(docs).alias("row"))
+    rows = rows.withColumn("key", F.xxhash64("row"))
+    if not rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        rows = stored(rows.withColumn("key", F.monotonically_increasing_id()), "shingle-rows", compression="zstd")
     near = near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), words, threshold)
     near = stored(near.select(F.col("doc_id").alias("key"), "component_id"), "shingle-near")
     shared = near.where(F.col("key") != F.col("component_id")).select("component_id").distinct()

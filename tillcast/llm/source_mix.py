@@ -186,7 +186,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES
     told apart by a number that is written with them.  Documents without words are
     not taken; an empty table gives no rows; columns may have any names.
     """
-    rows = stored(docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    rows = stored(docs.select(packed(docs).alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows", compression="zstd")
     flat = rows.select("doc.doc_id", "doc.text", "doc.source", "row", F.xxhash64("doc").alias("tie"))
     sizes = stored(document_sizes(flat, seed, [F.col("tie"), F.col("row")]), "mix-sizes")
     targets = stored(source_targets(sizes, weights, max_passes), "mix-sources")
