@@ -1,9 +1,11 @@
 """Quantile boosting against a booster in plain Python; search over folds; packed trees; recursion is sane."""
 
 import math
+import pickle
 import random
 
 import numpy as np
+from pyspark import RDD
 from pyspark.sql import functions as F
 
 from tillcast.operators import quantile
@@ -152,3 +154,25 @@ def test_thinned_leaf_keeps_its_quantiles():
     for q in (0.05, 0.5, 0.95):
         quantile.leaf_quantiles(tree, x, q)
         assert abs((v <= tree.leaf[0]).mean() - q) < 2 / 1024
+
+
+def test_driver_gets_splits_and_leaves_and_no_counts(spark, monkeypatch):
+    """Whatever the number of partitions: the same trees, and some numbers for each node on the driver."""
+    rnd = random.Random(9)
+    rows = [(1, r[1], rnd.random(), rnd.random(), r[4]) for r in _rows(9)]
+    frame, got, trees = _frame(spark, rows), [], []
+    plain = RDD.collect
+
+    def spy(rdd):
+        out = plain(rdd)
+        got.append(len(pickle.dumps(out)))
+        return out
+
+    monkeypatch.setattr(RDD, "collect", spy)
+    for part_rows, parts in ((1 << 18, 1), (90, 4), (18, 20)):
+        monkeypatch.setattr(quantile, "PART_ROWS", part_rows)
+        got.clear()
+        qm = quantile.train_quantile_models(frame, feature_cols=("item_id", *NUMS), quantiles=(0.5, 0.95), n_stages=3, max_depth=3)
+        trees.append([qm.models[q].trees for q in (0.5, 0.95)])
+        assert len(got) == 3 * 4 and max(got) < 1500, (parts, got)
+    assert trees[0] == trees[1] == trees[2]

@@ -13,9 +13,10 @@ targets, the fold tiles and the scores ``F`` of all models for some thousand row
 All models (quantile x depth x fold) grow together: one pass over the blocks counts
 every (model, node, feature, bin) of a tree level, one more gives all leaf quantiles,
 so a search costs as many passes as its longest model and its deepest tree ask for.
-Tasks add up the counts of their own blocks, more than sixteen partitions are added up
-before the driver reads them, so it gets a bounded number of bounded arrays.  As g has two values, the
-counts are whole numbers, and no split depends on how rows are dealt out.
+Tasks add up the counts of their own blocks and send them, and their residuals, to one task
+for each model, which picks the splits of the level or the leaf values.  So the driver gets
+a few numbers for each node of a tree, and no counts.  As g has two values, the counts are
+whole numbers, and no split depends on how rows are dealt out.
 
 The blocks are written to the shared folder every few stages; in between, a pass first
 adds the trees since then to the scores that it reads.  So a lost executor costs its
@@ -29,7 +30,7 @@ scored inside one projection by a fold over the trees; nothing is compiled per t
 
 from __future__ import annotations
 
-import itertools
+import copy
 import json
 import logging
 import math
@@ -53,7 +54,7 @@ BLOCK_ROWS = 8192        # rows of one record
 PART_ROWS = 1 << 18      # rows of one partition at most
 EVEN_ROWS = 4096         # rows of one partition at least, as far as there are cores
 LEAF_POINTS = 1024       # values by which a task describes the residuals of one leaf
-FAN_IN = 16              # partitions that are added up at a time
+FAN_IN = 16              # tasks that add up at most; residuals of more partitions are thinned on the way
 WRITE_EVERY = 8          # stages between two written states
 NO_GAIN = 1e-9
 
@@ -186,6 +187,12 @@ class Chain:
         # trees that are not in the written scores yet
         self.pending: list[dict[int, Tree]] = []
 
+    def bare(self) -> "Chain":
+        """The models without any tree."""
+        out = copy.copy(self)
+        out.pending = []
+        return out
+
     def blocks(self, records: Iterator[tuple]) -> Iterator[Block]:
         """Blocks with the scores of today."""
         for r in records:
@@ -295,21 +302,52 @@ class Grower:
         if before is not None:
             before.unpersist()
 
-    def _total(self, task: Callable, merge: Callable) -> dict[int, list]:
-        """Results of a task over all blocks, by model: one array from each of ``FAN_IN`` partitions at most."""
+    def _by_model(self, task: Callable, merge: Callable, pick: Callable) -> dict[int, tuple]:
+        """What ``pick(model, result)`` makes of each model's merged results of a task over all blocks.
+
+        Merging and picking are work of the tasks, so the driver gets what is picked only.
+        """
         out = self.records.mapPartitions(task)
-        if self.parts > FAN_IN:
-            out = out.reduceByKey(merge, FAN_IN)
-        got: dict[int, list] = {}
-        for m, x in out.collect():
-            got.setdefault(m, []).append(x)
-        return got
+        if self.parts > 1:
+            out = out.reduceByKey(merge, min(self.parts, FAN_IN, len(self.specs)))
+        return dict(out.map(lambda r: (r[0], pick(*r))).collect())
 
     def _split(self, trees: dict[int, Tree], level: int) -> None:
-        got = self._total(self.chain.level_counts(trees, level), np.add)
-        for m, tree in trees.items():
-            counts = sum(got[m]).reshape(1 << level, -1, 2)
-            best_splits(tree, level, counts.sum(axis=2), counts[:, :, 1], self.specs[m], self.chain)
+        chain = self.chain.bare()
+        at = slice((1 << level) - 1, (2 << level) - 1)
+
+        def pick(m, counts):
+            tree, counts = Tree(level + 1), counts.reshape(1 << level, -1, 2)
+            best_splits(tree, level, counts.sum(axis=2), counts[:, :, 1], chain.specs[m], chain)
+            return tree.feature[at], tree.bin[at], tree.gain[at]
+
+        for m, found in self._by_model(self.chain.level_counts(trees, level), np.add, pick).items():
+            trees[m].feature[at], trees[m].bin[at], trees[m].gain[at] = found
+
+    def _set_leaves(self, trees: dict[int, Tree]) -> None:
+        specs, many = self.specs, self.parts > FAN_IN
+
+        def merge(a, b):
+            both = np.concatenate([a, b], axis=1)
+            return thinned(both, LEAF_POINTS) if many else both
+
+        def pick(m, x):
+            tree = Tree(specs[m].depth)
+            leaf_quantiles(tree, x, specs[m].quantile)
+            return tree.leaf
+
+        for m, leaf in self._by_model(self.chain.leaf_values(trees, LEAF_POINTS), merge, pick).items():
+            trees[m].leaf = leaf
+
+    def _losses(self) -> list[float]:
+        """Mean loss of each model; every partition has two numbers of each, added up in their order."""
+        total = self.records.mapPartitions(self.chain.losses)
+        if self.parts > FAN_IN:
+            total = total.reduceByKey(np.add, FAN_IN)
+        got = np.zeros((len(self.specs), 2))
+        for m, x in total.collect():
+            got[m] += x
+        return [float(a / n) if n else float("inf") for a, n in got]
 
     def grow(self, score_at=(), progress: Callable | None = None) -> tuple[list[list[Tree]], dict[int, list]]:
         """Trees of each model, and the losses of all models after the stages of ``score_at``."""
@@ -319,15 +357,12 @@ class Grower:
             trees = {m: Tree(s.depth) for m, s in enumerate(self.specs) if stage <= s.stages}
             for level in range(max(t.depth for t in trees.values())):
                 self._split({m: t for m, t in trees.items() if t.depth > level}, level)
-            got = self._total(self.chain.leaf_values(trees, LEAF_POINTS),
-                              lambda a, b: thinned(np.concatenate([a, b], axis=1), LEAF_POINTS))
+            self._set_leaves(trees)
             for m, tree in trees.items():
-                leaf_quantiles(tree, np.concatenate(got[m], axis=1), self.specs[m].quantile)
                 grown[m].append(tree)
             self.chain.pending.append(trees)
             if stage in score_at:
-                total = self._total(self.chain.losses, np.add)
-                losses[stage] = [float(a / n) if n else float("inf") for a, n in (sum(total[m]) for m in range(len(self.specs)))]
+                losses[stage] = self._losses()
             if len(self.chain.pending) == WRITE_EVERY:
                 self._write(self.written.mapInArrow(self.chain.advance, BLOCK))
             if progress:
@@ -362,7 +397,7 @@ def best_splits(tree: Tree, level: int, n: np.ndarray, above: np.ndarray, spec:
 
 def leaf_quantiles(tree: Tree, x: np.ndarray, q: float) -> None:
     """The least value at which the weights of a leaf reach the share ``q``."""
-    x = x[:, np.lexsort((x[1], x[0]))]
+    x = x[:, np.lexsort((x[2], x[1], x[0]))]
     for leaf in np.unique(x[0]).astype(int):
         part = x[:, x[0] == leaf]
         reach = np.cumsum(part[2])
