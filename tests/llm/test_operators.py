@@ -279,6 +279,29 @@ def test_piece_wrong_words_are_mended_in_every_text(monkeypatch):
     assert piece_codec.encode_texts(texts, MODEL) == [own.encode(t) for t in texts]
 
 
+def test_piece_words_are_encoded_once(monkeypatch):
+    """Texts of the same words cost no more encoding, and have sentencepiece's ids all the same."""
+    model, tok, own, _ = piece_codec.load(MODEL)
+    sent = []
+
+    class Counting:
+        pre_tokenizer = tok.pre_tokenizer
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setitem(piece_codec._models, MODEL, (model, Counting(), own, piece_codec.Parity(model, Counting(), own)))
+    rng = random.Random(2)
+    words = ["the", "日本", "\n\n", "zqx", "<s>", "a\tb", "🙂", "wordy", "x" * 50]
+    texts = [rng.choice([" ", " ", "  "]).join(rng.choices(words, k=200)) for _ in range(60)] + ["", " ", "a ", " a  ", "▁ ▁b▁", "zqx "]
+    for _ in range(2):
+        assert piece_codec.encode_texts(texts, MODEL) == [own.encode(t) for t in texts]
+    assert sum(map(len, sent)) < sum(map(len, texts)) / 20
+    monkeypatch.setattr(piece_codec, "KNOWN_WORDS", 3)
+    assert [x for t in texts for x in piece_codec.encode_texts([t], MODEL)] == [own.encode(t) for t in texts]
+
+
 # ------------------------------------------------------------------ link trust
 def test_link_trust_against_numpy(ready):
     pages = [(1, "http://a.Good.org/fr/1", '<a href="http://b.org/x">'), (2, "http://b.org/en/", "<a href='//spam.example.com/'>"),

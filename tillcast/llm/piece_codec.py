@@ -8,11 +8,12 @@ byte fallback, and the decoder that undoes them.  Where no piece has a marker
 after another character, texts are cut before each run of markers: no merge can
 cross there, and words repeat, so the library's cache works.
 
-Batches are encoded on several threads, and every text is verified against
-sentencepiece itself.  Where texts may be cut before markers, and the normaliser
-only marks spaces, a text's ids are those of its words, so each distinct word of a
-task is encoded by both; a text with a word on which they differ is encoded by
-sentencepiece instead.  Other models are verified text by text.
+Every text is verified against sentencepiece itself.  Where texts may be cut before
+markers, and the normaliser only marks spaces, a text's ids are those of its words.
+Words repeat, so each distinct word of a task is encoded once, by both, some dozens
+in a line, and a text's ids are put together from those of its words; a text with a
+word on which they differ is encoded by sentencepiece instead.  Other models are
+encoded and verified text by text.
 
 Results for odd input: null text is empty and has no tokens; strings of control
 pieces in texts are ordinary text; repeated rows and null ids each give their
@@ -26,6 +27,7 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,8 @@ MARK = "▁"
 PART = re.compile(" *[^ ]+| +")
 UNIGRAM, BPE = 1, 2                    # trainer_spec.model_type
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types
-KNOWN_WORDS = 1 << 20  # verified words that a task remembers; beyond that they are verified again
+KNOWN_WORDS = 1 << 20  # verified words that a task remembers; beyond that they are encoded again
+LINE_WORDS = 64        # words that are encoded at a time
 
 _models: dict = {}
 _bytes: dict = {}
@@ -142,43 +145,58 @@ def build_tokenizer(model: ModelFile):
 
 
 class Parity:
-    """Whether the two encoders agree, by text."""
+    """What the two encoders agree on, by word or by text."""
 
     def __init__(self, model: ModelFile, tok, own):
         self.tok, self.own = tok, own
         # the tokenizer cuts before each run of markers, and each cut part begins with one
         self.by_word = bool(model.marks and model.dummy_prefix and not model.charsmap and not model.strip_extra and tok.pre_tokenizer)
-        self.good: set[str] = set()
+        self.first = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
+        self.good: dict[str, bytes] = {}  # ids of the words on which both agree, as int32
         self.bad: set[str] = set()
 
-    @staticmethod
-    def _plain(text: str) -> bool:
-        """Whether single spaces part the words of a text, and nothing else looks like one."""
-        return "  " not in text and MARK not in text and text[:1] != " " and text[-1:] != " "
-
-    def _words(self, text: str) -> set[str]:
-        """The parts of a text, without the one space that a lone part gets as its prefix."""
-        if self._plain(text):
-            return set(text.split(" "))
-        return {x[1:] for x in PART.findall(" " + text.replace(MARK, " "))}
-
-    def differing(self, texts: list[str], ids: list[list[int]]) -> list[int]:
-        """Numbers of the texts on which the encoders may differ."""
-        if not self.by_word:
-            return [i for i, (a, b) in enumerate(zip(self.own.encode(texts, num_threads=1), ids)) if a != b]
-        words = set(" ".join(t for t in texts if self._plain(t)).split(" "))
-        for t in texts:
-            if not self._plain(t):
-                words |= self._words(t)
-        words -= self.good
-        words -= self.bad
-        if len(self.good) > KNOWN_WORDS:
-            self.good = set()
-        new = list(words)
-        wrong = {w for w, a, b in zip(new, self.own.encode(new, num_threads=1), self.tok.encode_batch_fast(new, add_special_tokens=False)) if a != b.ids}
-        self.good |= words - wrong
-        self.bad |= wrong
-        return [i for i, t in enumerate(texts) if not self.bad.isdisjoint(self._words(t))] if self.bad else []
+    def words(self, text: str) -> list[str] | None:
+        """The parts of a text, each without the space that a lone part gets as its prefix; None where a last part is
+        such a space only, which is no text of its own."""
+        if "  " not in text and MARK not in text and text[:1] != " " and text[-1:] != " ":
+            return text.split(" ")
+        out = [x[1:] for x in PART.findall(" " + text.replace(MARK, " "))]
+        return out if out[-1] else None
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes the words that are not known yet."""
+        if len(self.good) + len(self.bad) > KNOWN_WORDS:
+            self.good, self.bad = {}, set()
+        new = [w for w in words if w not in self.good and w not in self.bad]
+        plain, single = [w for w in new if w[:1] not in ("", " ")], [w for w in new if w[:1] in ("", " ")]
+        lines = [plain[i:i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        for line, ids in zip(lines, self._agreed([" ".join(x) for x in lines])):
+            # no piece has a marker after another character, so a word has one piece that begins with one
+            at = None if ids is None else np.flatnonzero(self.first[ids])
+            if at is None or len(at) != len(line):
+                single += line
+                continue
+            raw, cut = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.good.update((w, raw[i:j]) for w, i, j in zip(line, cut, cut[1:]))
+        for w, ids in zip(single, self._agreed(single)):
+            if ids is None:
+                self.bad.add(w)
+            else:
+                self.good[w] = ids.tobytes()
+
+    def _agreed(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts, None where the encoders differ."""
+        if not texts:
+            return []
+        theirs = self.tok.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(a, np.int32) if a == b.ids else None for a, b in zip(self.own.encode(texts, num_threads=1), theirs)]
+
+    def ids(self, words: list[str]) -> list[int] | None:
+        """Ids of a text from those of its words; None where the encoders differ on one."""
+        try:
+            return np.frombuffer(b"".join(map(self.good.__getitem__, words)), np.int32).tolist()
+        except KeyError:
+            return None
 
 
 def load(path: str):
@@ -195,10 +213,18 @@ def load(path: str):
 def encode_texts(texts: list[str], path: str) -> list[list[int]]:
     """Ids of whole texts, as sentencepiece gives them."""
     _, tok, own, parity = load(path)
-    ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    for i in parity.differing(texts, ids):
-        ids[i] = own.encode(texts[i])
-    return ids
+    words = [parity.words(t) if parity.by_word else None for t in texts]
+    parity.learn(set(chain.from_iterable(w for w in words if w is not None)))
+    out = [None if w is None else parity.ids(w) for w in words]
+    whole = [i for i, w in enumerate(words) if w is None]
+    for i, e in zip(whole, tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
+        out[i] = e.ids
+    # what was encoded whole is verified whole, and a text with a word on which the encoders differ is encoded again
+    check = sorted({*whole, *(i for i, x in enumerate(out) if x is None)})
+    for i, x in zip(check, own.encode([texts[i] for i in check], num_threads=1)):
+        if out[i] != x:
+            out[i] = x
+    return out
 
 
 def piece_bytes(model: ModelFile) -> list[bytes]:
