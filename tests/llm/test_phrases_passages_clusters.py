@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,30 @@ def brute_phrases(rows, min_count=10, top=2000):
     return sorted(out)
 
 
+def test_last_pass_sends_bins_and_counts_every_phrase(monkeypatch):
+    """The phrases of a bin leave a task as one compressed row, in the same sums however often a task sends."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=9)) for _ in range(300)]
+    rows = [(rnd.choice(["en", "und"]), " ".join(rnd.choices(words, k=400))) for _ in range(60)]
+    want = Counter()
+    for lang, text in rows:
+        w = text.split(" ")
+        want[lang, 0, ""] += len(w)
+        for k in (1, 2, 3):
+            want.update((lang, k, " ".join(w[i:i + k])) for i in range(len(w) - k + 1))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["lang", "text"])
+    every = [np.full(pm.BITS // 8, 255, np.uint8) for _ in range(3)]
+    for held in (1 << 20, 1000):
+        monkeypatch.setattr(pm, "HELD_ROWS", held)
+        sent = list(pm.phrase_counter(every, 8, 1 << 15)(iter([batch])))
+        assert held == 1000 or (sum(b.num_rows for b in sent) == 8 and sum(b.nbytes for b in sent) < 25 * len(want))
+        table = pa.Table.from_batches(sent).sort_by("bin")
+        got = pa.Table.from_batches(pm.phrase_sums(1)(iter(table.to_batches()))).to_pylist()
+        assert {(r["lang"], r["size"], r["phrase"]): r["n"] for r in got} == want and len(got) == len(want)
+        few = pa.Table.from_batches(pm.phrase_sums(3)(iter(table.to_batches()))).to_pylist()
+        assert {(r["lang"], r["size"], r["phrase"]) for r in few} == {k for k, n in want.items() if n >= 3 or not k[1]}
+
+
 def mined(df, **options):
     got = pm.collocations(*pm.frequent_phrases(df, **options))
     return sorted(tuple(r) for r in got.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())

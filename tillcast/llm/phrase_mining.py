@@ -14,7 +14,8 @@ These passes count by hash: the phrases of a block of text leave a task as sorte
 bins of 24-bit numbers, which takes three bytes for a phrase instead of a row.  Sums
 by hash are never too small, so what they leave below the threshold is proven rare.
 A last pass counts the rest by its words, which makes the result exact whatever
-hashes collide.
+hashes collide.  Its tasks add up their blocks and send the phrases of a bin as one
+compressed record batch, and not as a row each.
 
 Proposals grow with the corpus, so tasks do not get them as a list but as bitmaps
 of a fixed number of bits.  Phrases that share a bit with another one are counted
@@ -51,6 +52,7 @@ BLOCK_BYTES = 3 << 20   # text whose phrases a task counts at a time
 BITS = 1 << 25          # of each bitmap, one for each length of phrase: 4 MB
 BINS = 1 << 9           # least number of bins of the hashed counts
 BIN_BYTES = 16 << 20    # text of one bin
+HELD_ROWS = 1 << 20     # phrases that a task of the last pass holds before it adds them up and sends them
 SALTS = 64
 NO_LANG = "und"
 
@@ -174,25 +176,27 @@ class Block:
         yield 3, _mix(h[x], self.hash[b[y]]), n
 
     def phrases(self, bits: list) -> Iterator[pa.RecordBatch]:
-        """Counts of the phrases with a bit in ``bits``, by their words."""
-        def rows(size, first, text, n):
+        """Counts of the phrases with a bit in ``bits``, by their words, with the place of the bit."""
+        def rows(size, first, text, n, h):
             return pa.RecordBatch.from_arrays([self.lang.take(pa.array(first)), pa.array(np.full(len(n), size, np.int32)), text,
-                                               pa.array(n, pa.int64())], names=["lang", "size", "phrase", "n"])
+                                               pa.array(n, pa.int64()), pa.array((h & np.uint64(BITS - 1)).astype(np.int64))],
+                                              names=["lang", "size", "phrase", "n", "at"])
 
         if not len(self.word):
             return
         word = lambda i: self.text.take(pa.array(i))
         good = has(bits[0], self.hash)
         k = np.flatnonzero(good)
-        yield rows(1, k, word(k), self.n[k])
+        yield rows(1, k, word(k), self.n[k], self.hash[k])
         a, b, h, n, number = self._pairs(good)
         good = has(bits[1], h)
         k = np.flatnonzero(good)
-        yield rows(2, a[k], pc.binary_join_element_wise(word(a[k]), word(b[k]), " "), n[k])
+        yield rows(2, a[k], pc.binary_join_element_wise(word(a[k]), word(b[k]), " "), n[k], h[k])
         x, y, n = self._triples(number, good)
-        k = np.flatnonzero(has(bits[2], _mix(h[x], self.hash[b[y]])))
+        h = _mix(h[x], self.hash[b[y]])
+        k = np.flatnonzero(has(bits[2], h))
         x, y, n = x[k], y[k], n[k]
-        yield rows(3, a[x], pc.binary_join_element_wise(word(a[x]), word(b[x]), word(b[y]), " "), n)
+        yield rows(3, a[x], pc.binary_join_element_wise(word(a[x]), word(b[x]), word(b[y]), " "), n, h[k])
 
 
 def _cuts(data: np.ndarray, ends: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
@@ -319,18 +323,69 @@ def hashed_bitmaps(texts: DataFrame, now: list | None, before: list | None, leas
     return out
 
 
-def phrase_counter(bits: list, block: int):
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Rows of the same phrase as one."""
+    keys = [c for c in tables[0].column_names if c != "n"]
+    t = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return t.rename_columns(["n" if c == "n_sum" else c for c in t.column_names])
+
+
+def phrase_counter(bits: list, bins: int, block: int):
+    """For each bin its phrases with their counts, as a compressed record batch."""
+    width = BITS // bins
+
+    def send(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t, packed = _added(held), pa.ipc.IpcWriteOptions(compression="zstd")
+        at = t.column("at").to_numpy() // width
+        by = np.argsort(at, kind="stable")
+        t = t.select(["lang", "size", "phrase", "n"]).take(pa.array(by)).combine_chunks()
+        found, first = np.unique(at[by], return_index=True)
+        for i in range(0, len(found), 64):
+            raw = []
+            for k, stop in zip(first[i:i + 64].tolist(), [*first[i + 1:i + 65].tolist(), len(by)]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, t.schema, options=packed) as out:
+                    out.write_table(t.slice(k, stop - k))
+                raw.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found[i:i + 64], pa.int64()), pa.array(raw, pa.binary())], names=["bin", "phrases"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for blk in blocks(batches, block):
             for rows in blk.phrases(bits):
-                for i in range(0, rows.num_rows, 1 << 14):
-                    yield rows.slice(i, 1 << 14)
+                held.append(pa.Table.from_batches([rows]))
+                n += rows.num_rows
             # all words of a language as one row
             if len(blk.word):
                 t = pa.table({"lang": blk.lang, "n": blk.n}).group_by("lang").aggregate([("n", "sum")])
-                yield pa.RecordBatch.from_arrays([t.column("lang").combine_chunks(), pa.array([0] * len(t), pa.int32()),
-                                                  pa.array([""] * len(t)), t.column("n_sum").combine_chunks().cast(pa.int64())],
-                                                 names=["lang", "size", "phrase", "n"])
+                held.append(pa.table({"lang": t.column("lang"), "size": pa.array([0] * len(t), pa.int32()), "phrase": [""] * len(t),
+                                      "n": t.column("n_sum").cast(pa.int64()), "at": pa.array([0] * len(t), pa.int64())}))
+            if n >= HELD_ROWS:
+                yield from send(held)
+                held, n = [], 0
+        if held:
+            yield from send(held)
+    return run
+
+
+def phrase_sums(min_count: int):
+    """For each bin the phrases found ``min_count`` times, and the words of each language."""
+    def done(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        t = _added([pa.ipc.open_stream(x).read_all() for x in held])
+        t = t.filter(pc.or_(pc.greater_equal(t.column("n"), min_count), pc.equal(t.column("size"), 0)))
+        yield from t.select(["lang", "size", "phrase", "n"]).to_batches(1 << 14)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for k, raw in zip(b.column("bin").to_pylist(), b.column("phrases").to_pylist()):
+                if k != now and held:
+                    yield from done(held)
+                    held = []
+                now = k
+                held.append(raw)
+        if held:
+            yield from done(held)
     return run
 
 
@@ -354,8 +409,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, sample: float
         if (wider[0] == now[0]).all() and (wider[1] == now[1]).all():
             break  # no border phrase is frequent
         before, now = now, wider
-    n = texts.mapInArrow(phrase_counter(found, block), COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    n = stored(n.where((F.col("n") >= min_count) | (F.col("size") == 0)), "phrases")
+    n = (texts.mapInArrow(phrase_counter(found, bins, block), "bin long, phrases binary")
+              .repartition("bin").sortWithinPartitions("bin").mapInArrow(phrase_sums(min_count), COUNTS))
+    n = stored(n, "phrases")
     return n.where(F.col("size") > 0), n.where(F.col("size") == 0).select("lang", F.col("n").alias("n_words"))
 
 
@@ -363,13 +419,14 @@ def collocations(found: DataFrame, total: DataFrame, top: int = TOP, overlap_per
     """The best ``top`` phrases of each language by the lowest score of their cuts."""
     cand = found.where(F.col("size") > 1).withColumn("w", F.split("phrase", " "))
     part = lambda i, j: F.concat_ws(" ", F.slice("w", i, j))
-    cut = lambda k: F.struct(F.lit(k).alias("k"), part(1, k).alias("left"),
-                             F.concat_ws(" ", F.slice("w", k + 1, 3)).alias("right"))
+    cut = lambda k: F.struct(F.lit(k).alias("k"), part(1, k).alias("left"))
     cuts = cand.select("lang", "size", "phrase", F.col("n").alias("a"),
                        F.explode(F.when(F.col("size") == 2, F.array(cut(1))).otherwise(F.array(cut(1), cut(2)))).alias("c"))
     cuts = cuts.select("lang", "size", "phrase", "a", "c.*")
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(found.select("lang", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", side])
+        if side == "left":  # the rest of a phrase isn't sent with its first part
+            cuts = cuts.withColumn("right", F.expr("substring(phrase, length(left) + 2)"))
     big = lambda c: F.col(c).cast("decimal(38,0)")
     cuts = cuts.withColumns({"top": F.lit(1000000).cast("decimal(38,0)") * big("a") * big("a"), "under": big("l") * big("r")})
     cuts = cuts.withColumn("score", F.expr("top div under"))
